@@ -164,11 +164,11 @@ def normalize_units(c: Column | str, legacy: bool = False) -> Column:
     ``legacy=True`` leaves it out to reproduce that.
     """
     end = "" if legacy else rf"(?![{WORD}])"
-    t = F.regexp_replace(_col(c), r"(\p{Nd}+)\s*tháng", "$1 tháng")
-    t = F.regexp_replace(t, rf"(\p{{Nd}}+)\s*(?:tuổi|t{end})", "$1 tuổi")
-    t = F.regexp_replace(t, rf"(\p{{Nd}}+)\s*(kg|gram|g)(?![{WORD}])", "$1 $2")
-    t = F.regexp_replace(t, rf"(\p{{Nd}}+)\s*(ml|l)(?![{WORD}])", "$1 $2")
-    return F.regexp_replace(t, r"(\p{Nd}+)\s*(?:sao|star|⭐)", "$1 sao")
+    t = F.regexp_replace(_col(c), rf"(\p{{Nd}}+){WS}*tháng", "$1 tháng")
+    t = F.regexp_replace(t, rf"(\p{{Nd}}+){WS}*(?:tuổi|t{end})", "$1 tuổi")
+    t = F.regexp_replace(t, rf"(\p{{Nd}}+){WS}*(kg|gram|g)(?![{WORD}])", "$1 $2")
+    t = F.regexp_replace(t, rf"(\p{{Nd}}+){WS}*(ml|l)(?![{WORD}])", "$1 $2")
+    return F.regexp_replace(t, rf"(\p{{Nd}}+){WS}*(?:sao|star|⭐)", "$1 sao")
 
 
 def squash_repeats(c: Column | str) -> Column:
@@ -248,10 +248,7 @@ def point_id(product: Column, review: Column, aspect: Column, sentiment: Column,
 
 def contains_any(text: Column, needles: list[str]) -> Column:
     """True when any of a fixed, short list of strings occurs."""
-    hit = F.lit(False)
-    for needle in needles:
-        hit = hit | F.contains(text, F.lit(needle))
-    return hit
+    return F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(text, n))
 
 
 def keyword_match(aspect: Column, lowered: Column, required: dict[str, list[str]],

@@ -61,12 +61,11 @@ def opinion_table(items: DataFrame, limit: int = 25) -> DataFrame:
     The example is the first keyword-valid sentence, where the original draws
     one at random from the first ten.
     """
-    low = F.lower(F.col("sentence"))
-    valid = X.keyword_match(F.col("aspect"), low, K.REQUIRED_KEYWORDS, K.FORBIDDEN_KEYWORDS)
+    valid = X.keyword_match(F.col("aspect"), F.col("__low"), K.REQUIRED_KEYWORDS, K.FORBIDDEN_KEYWORDS)
     pool = items.filter(F.col("sentiment") != "none")
     keys = ["product_id", "aspect", "sentiment"]
     counted = pool.groupBy(*keys).agg(F.count("*").alias("count"), round_up(mean("confidence"), 3).alias("confidence"))
-    examples = top_rows(pool.filter(valid), keys, ["item_id", "sentence"], 1).select(
+    examples = top_rows(pool.withColumn("__low", F.lower("sentence")).filter(valid), keys, ["item_id", "sentence"], 1).select(
         *keys, F.col("sentence").alias("example")
     )
     top = top_rows(counted, ["product_id"], [F.desc("count"), "aspect", "sentiment"], limit, rank="rank")

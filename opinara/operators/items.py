@@ -104,7 +104,8 @@ def cap_item_reviews(items: DataFrame, k: int = K.COMPARE_REVIEW_CAP) -> DataFra
 
 def rule_items(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     """Rule scorer: keyword sentiment, and the first four matching aspects."""
-    low = F.lower(F.col(sentence))
+    df = df.withColumn("__low", F.lower(F.col(sentence)))
+    low = F.col("__low")
 
     def hits(words: list[str]) -> Column:
         found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
@@ -127,7 +128,7 @@ def rule_items(df: DataFrame, sentence: str = "sentence") -> DataFrame:
             "confidence": round_up(F.least(F.lit(0.8), 0.5 + F.abs("__diff") / 10)),
             "aspect": F.explode(found),
         })
-        .drop("__diff")
+        .drop("__diff", "__low")
     )
 
 

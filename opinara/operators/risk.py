@@ -21,7 +21,8 @@ def detect_risks(items: DataFrame, fold_accents: bool = False) -> DataFrame:
     base = lookup(F.col("aspect"), {a: weight for a, (_, weight) in K.RISK_ASPECTS.items()})
     found = items.filter((F.col("sentiment") == "negative") & F.col("aspect").isin(list(K.RISK_ASPECTS)))
     found = found.withColumn("risk_type", kind)
-    low = X.fold_accents("sentence") if fold_accents else F.lower(F.col("sentence"))
+    found = found.withColumn("__low", X.fold_accents("sentence") if fold_accents else F.lower("sentence"))
+    low = F.col("__low")
     boost = F.lit(0)
     for name, words in K.RISK_KEYWORDS.items():
         boost = F.when(F.col("risk_type") == name, X.contains_any(low, words).cast("int")).otherwise(boost)
