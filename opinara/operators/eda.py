@@ -164,8 +164,8 @@ def potential_score(products: DataFrame, k: int = 5) -> DataFrame:
     top = products.agg(F.max("review_count").cast("double").alias("m")).scalar()
     dear = products.agg(F.max("price").cast("double").alias("m")).scalar()
     score = F.col("rating_average") * 0.5 + F.col("review_count") / top * 0.3 + (1 - F.col("price") / dear) * 0.2
-    out = products.withColumn("potential_score", round_up(score, 6))
-    out = out.orderBy(F.desc("potential_score"), "product_id").limit(k)
+    out = products.withColumn("__s", score).orderBy(F.desc("__s"), "product_id").limit(k)
+    out = out.withColumn("potential_score", round_up(F.col("__s"), 6))
     return out.select("product_id", "name", "brand", "rating_average", "review_count", "price", "potential_score")
 
 

@@ -140,9 +140,10 @@ def term_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("potential_score", with_views(V.PRODUCTS_SQL, body="""SELECT product_id, name, brand, rating_average, review_count, price,
-    round(rating_average * 0.5 + review_count / (SELECT max(review_count)::DOUBLE FROM products) * 0.3
-      + (1 - price / (SELECT max(price) FROM products)) * 0.2 + 1e-9, 6) AS potential_score
-  FROM products ORDER BY potential_score DESC, product_id LIMIT 5"""))
+    round(s + 1e-9, 6) AS potential_score FROM (
+    SELECT *, rating_average * 0.5::DOUBLE + review_count / (SELECT max(review_count)::DOUBLE FROM products) * 0.3::DOUBLE
+      + (1 - price / (SELECT max(price) FROM products)) * 0.2::DOUBLE AS s FROM products)
+  ORDER BY s DESC, product_id LIMIT 5"""))
 def potential_score(spark: SparkSession, d: str) -> DataFrame:
     return E.potential_score(V.products(spark, d))
 
