@@ -12,6 +12,7 @@ from opinara.functions import text as X
 from opinara.operators import metrics as M
 from opinara.operators import votes as VT
 from opinara.plans.analytics import ITEMS
+from opinara.session import materialise
 from opinara.plans.registry import query, sql_case, sql_list, with_views
 from opinara.sources import fixtures as V
 from opinara.sources import labels as SL
@@ -183,7 +184,8 @@ def _human_export(spark: SparkSession, d: str) -> DataFrame:
     old = F.struct(F.slice(result, 1, 1).alias("result"))
     annotations = F.when(order % 19 == 0, F.array().cast("array<struct<result:array<struct<from_name:string,value:struct<choices:array<string>,text:array<string>>>>>>")).otherwise(F.array(old, last))
     task = F.struct(F.struct("review_id").alias("data"), annotations.alias("annotations"))
-    return nested.select(F.to_json(task).alias("task"))
+    # the export arrives as text, so it is written as text before it is parsed
+    return materialise(nested.select(F.to_json(task).alias("task")), "label-export")
 
 
 @query("parse_human_export", with_views(*QUADS, V.ANNOTATED_SQL, body="""SELECT review_id, CAST(n AS INT) AS slot,
