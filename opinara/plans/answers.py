@@ -304,10 +304,10 @@ keyed AS (SELECT *, min(place) OVER (PARTITION BY question_id, review_id) AS fir
     row_number() OVER (PARTITION BY question_id, review_id ORDER BY hybrid_score DESC, place) AS n FROM scored)"""
 
 
-@query("hybrid_rank", with_views(ITEMS_T, V.QUESTIONS_SQL, RULES, HYBRID, body="""SELECT question_id,
-    row_number() OVER (PARTITION BY question_id ORDER BY hybrid_score DESC, first_place) AS rank, review_id, aspect AS aspect_code, aspect, sentiment,
+@query("hybrid_rank", with_views(ITEMS_T, V.QUESTIONS_SQL, RULES, HYBRID, body="""SELECT * EXCLUDE (new_rank), new_rank AS rank FROM (SELECT question_id,
+    row_number() OVER (PARTITION BY question_id ORDER BY hybrid_score DESC, first_place) AS new_rank, review_id, aspect AS aspect_code, aspect, sentiment,
     confidence, text, source, hybrid_score, CASE WHEN stat THEN 'structured_first' ELSE 'vector_first' END AS strategy
-  FROM keyed WHERE n = 1 QUALIFY rank <= 6"""))
+  FROM keyed WHERE n = 1) WHERE new_rank <= 6"""))
 def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     return RT.hybrid_rank(*_two_sources(spark, d))
 
