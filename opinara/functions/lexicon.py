@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from opinara import constants as K
 from opinara.functions import text as X
+from opinara.operators.ranking import compute_once
 
 MAX_INLINE_ENTRIES = 5000
 
@@ -109,7 +110,7 @@ def normalize_reviews(df: DataFrame, lexicon: list[tuple[str, str]], emoji: dict
     source = next((c for c in ("cleaned_content", "content") if c in df.columns), None)
     if source is None:
         return df
-    out = df.withColumn("normalized_text", normalize_text(source, lexicon, emoji, legacy_units))
+    out = compute_once(df, "normalized_text", normalize_text(source, lexicon, emoji, legacy_units))
     out = out.filter(F.length("normalized_text") > 0)
     if "sentiment_label" in df.columns:
         from opinara.functions.casts import rating_label

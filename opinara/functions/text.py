@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +22,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for an expression that reads it several times."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def squeeze(c: Column | str) -> Column:
     """Runs of whitespace become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(_col(c), WS + "+", " "))
+    # single blanks, the common case, are no match
+    return F.trim(F.regexp_replace(_col(c), f"{WS}{{2,}}|[{WS[1:-1]}&&[^ ]]", " "))
 
 
 def strip_ws(c: Column | str) -> Column:
@@ -197,18 +204,19 @@ def _cut_at_blank(t: Column, limit: int) -> Column:
 
 def compress(c: Column | str, limit: int = 180) -> Column:
     """At most ``limit`` characters, cut at the last blank."""
-    t = squeeze(c)
-    return F.when(F.length(t) <= limit, t).otherwise(_cut_at_blank(t, limit))
+    return let(squeeze(c), lambda t: F.when(F.length(t) <= limit, t).otherwise(_cut_at_blank(t, limit)))
 
 
 def compress_evidence(c: Column | str, limit: int = 180) -> Column:
     """Keep short texts; else cut at a clause end past 80, else at a blank."""
-    t = squeeze(c)
-    out = F.when(F.length(t) <= limit, t)
-    for marker in (". ", "; ", ", "):
-        at = F.locate(marker, t, 81) - 1
-        out = out.when((at > 0) & (at <= limit), F.trim(F.substring(t, F.lit(1), at)))
-    return out.otherwise(_cut_at_blank(t, limit))
+    def cut(t: Column) -> Column:
+        out = F.when(F.length(t) <= limit, t)
+        for marker in (". ", "; ", ", "):
+            at = F.locate(marker, t, 81) - 1
+            out = out.when((at > 0) & (at <= limit), F.trim(F.substring(t, F.lit(1), at)))
+        return out.otherwise(_cut_at_blank(t, limit))
+
+    return let(squeeze(c), cut)
 
 
 CODE_PATTERN = rf"(?<![{WORD}])(PRODUCT|PRICE|DELIVERY|SELLER)#[A-Z_]+(?![{WORD}])"
@@ -217,9 +225,10 @@ RISK_NAME_PATTERN = rf"(?i)(?<![{WORD}])(delivery_accuracy|delivery_packaging|si
 
 def summarize_opinion(c: Column | str, limit: int = 150) -> Column:
     """Compressed evidence without internal codes."""
-    t = compress_evidence(c, limit)
-    t = F.regexp_replace(t, CODE_PATTERN, "")
-    return squeeze(F.regexp_replace(t, RISK_NAME_PATTERN, ""))
+    scrub = lambda t: squeeze(F.regexp_replace(F.regexp_replace(t, CODE_PATTERN, ""), RISK_NAME_PATTERN, ""))
+    # every code holds a '#' and every internal name a '_'
+    coded = lambda t: F.contains(t, F.lit("#")) | F.contains(t, F.lit("_"))
+    return let(compress_evidence(c, limit), lambda t: F.when(coded(t), scrub(t)).otherwise(t))
 
 
 def public_text(c: Column | str) -> Column:

@@ -16,20 +16,23 @@ from opinara.functions.numbers import round_up
 MAX_FEATURES = 50_000
 
 
-def ngrams(c: Column | str, low: int = 1, high: int = 3) -> Column:
-    """Word n-grams of lower-case, blank-separated words."""
-    words = X.words(F.lower(F.col(c) if isinstance(c, str) else c))
-
-    def of(n: int) -> Column:
-        last = F.size(words) - (n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+def ngrams(c: Column | str, high: int = 3) -> Column:
+    """Word n-grams, n = 1 .. high, of lower-case, blank-separated words.
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    Each length is zipped from the one below, so the work grows with the
+    number of words and no lambda reads the word list again.
+    """
+    words = X.words(F.lower(F.col(c) if isinstance(c, str) else c))
+    grams, out = words, [words]
+    for n in range(2, high + 1):
+        # concat gives NULL past the end of the shorter list
+        grams = F.zip_with(grams, F.slice(words, n, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+        out.append(F.array_compact(grams))
+    return F.concat(*out)
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    grams = docs.select(key, F.explode(ngrams(text)).alias("term"))
+    grams = docs.select(key, F.explode_outer(ngrams(text)).alias("term")).filter(F.col("term").isNotNull())
     return grams.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -113,9 +116,13 @@ def fit(train: DataFrame, key: str = "review_id", text: str = "text", max_iter:
         if len(present) == 1:
             model.polarity[i] = next(iter(present))
             continue
-        some = rows.filter(F.get("labels", i) != 0).withColumn("label", F.get("labels", i).cast("double"))
-        some = _balanced(some, "label", {float(v): n for v, n in present.items()})
-        model.polarity[i] = OneVsRest(classifier=svc, featuresCol="features", labelCol="label", weightCol="class_weight").fit(some)
+        # classes are numbered without gaps, as one-vs-rest trains one model per number
+        kinds = sorted(present)
+        place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.get("labels", i)) - 1
+        some = rows.filter(F.get("labels", i) != 0).withColumn("label", place.cast("double"))
+        some = _balanced(some, "label", {float(j): present[k] for j, k in enumerate(kinds)})
+        one_vs_rest = OneVsRest(classifier=svc, featuresCol="features", labelCol="label", weightCol="class_weight")
+        model.polarity[i] = (one_vs_rest.fit(some), kinds)
     return model
 
 
@@ -136,8 +143,9 @@ def predict(model: AspectModel, docs: DataFrame, key: str = "review_id", text: s
         elif isinstance(kind, int):
             label = F.lit(kind)
         else:
-            rows = kind.setPredictionCol(f"p{i}").setRawPredictionCol(f"pr{i}").transform(rows)
-            label = F.col(f"p{i}").cast("int")
+            fitted, kinds = kind
+            rows = fitted.setPredictionCol(f"p{i}").transform(rows).drop("rawPrediction")
+            label = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col(f"p{i}").cast("int") + 1)
         rows = rows.withColumn(name, F.when(F.col(f"d{i}") == 1, label).otherwise(0))
         slots.append(F.col(name))
     return rows.select(key, F.array(*[s.cast("int") for s in slots]).alias("y_pred"))

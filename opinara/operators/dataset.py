@@ -113,7 +113,7 @@ def vocabulary(samples: DataFrame, text: str = "text", min_freq: int = 2, max_si
 
     Only the ``max_size`` leading tokens reach the single numbering task.
     """
-    counts = samples.select(F.explode(X.tokens(text)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    counts = samples.select(F.explode_outer(X.tokens(text)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     head = counts.orderBy(F.desc("freq"), "word").limit(max_size).filter(F.col("freq") >= min_freq)
     numbered = head.select(
         "word", (F.row_number().over(Window.orderBy(F.desc("freq"), "word")) + 1).cast("int").alias("id"), "freq"

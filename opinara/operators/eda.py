@@ -151,8 +151,8 @@ def yearly_extremes(months: DataFrame) -> DataFrame:
 
 def term_frequency(segments: DataFrame, text: str = "content") -> DataFrame:
     """Word counts by segment."""
-    words = segments.select("segment", F.explode(X.words(X.clean_text(text))).alias("term"))
-    return words.groupBy("segment", "term").agg(F.count("*").alias("n"))
+    words = segments.select("segment", F.explode_outer(X.words(X.clean_text(text))).alias("term"))
+    return words.filter(F.col("term").isNotNull()).groupBy("segment", "term").agg(F.count("*").alias("n"))
 
 
 def segment_counts(segments: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from opinara import constants as K
 from opinara.functions import text as X
 from opinara.functions.labels import aspect_label, risk_label
-from opinara.operators.ranking import top_rows
+from opinara.operators.ranking import compute_once, top_rows
 
 EVIDENCE_LIMIT = 6
 SENTIMENT_ORDER = ["negative", "positive", "neutral"]
@@ -34,14 +34,15 @@ def select_evidence(items: DataFrame, sentiment: str | None = None, limit: int =
 
 def is_quality(aspect: Column, sentiment: Column, summary: Column) -> Column:
     """Known aspect, valid sentiment, and a summary that says something."""
-    plain = F.btrim(F.lower(summary), F.lit(" .,!?:;"))
+    def says_something(plain: Column) -> Column:
+        return (F.size(X.words(plain)) >= 5) & ~plain.isin(K.WEAK_PHRASES)
+
     return (
         (F.coalesce(aspect, F.lit("")) != "")
         & (aspect_label(aspect) != K.UNKNOWN_ASPECT_LABEL)
         & sentiment.isin(K.SENTIMENTS)
         & (F.length(summary) >= 28)
-        & (F.size(X.words(plain)) >= 5)
-        & ~plain.isin(K.WEAK_PHRASES)
+        & X.let(F.btrim(F.lower(summary), F.lit(" .,!?:;")), says_something)
     )
 
 
@@ -61,9 +62,11 @@ def evidence_candidates(items: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFr
     order = [F.desc("confidence"), "item_id", "text"]
     pool = items.withColumn("text", F.substring(F.trim("sentence"), 1, 350)).filter(F.length("text") > 0)
     pool = pool.select("product_id", "aspect", "sentiment", "review_id", "confidence", "item_id", "text")
-    # keep the regular expressions out of the window sorts
-    pool = pool.withColumns({"key": X.evidence_key("text"), "summary": X.summarize_opinion("text", 180)})
-    pool = pool.withColumn("quality", is_quality(F.col("aspect"), F.col("sentiment"), F.col("summary"))).drop("summary")
+    judged = F.struct(
+        X.evidence_key("text").alias("key"),
+        X.let(X.summarize_opinion("text", 180), lambda s: is_quality(F.col("aspect"), F.col("sentiment"), s)).alias("quality"),
+    )
+    pool = compute_once(pool, "judged", judged).select("*", "judged.key", "judged.quality").drop("judged")
     group = ["product_id", "sentiment", "aspect"]
     # rows without a review id block no review, so each counts as its own
     who = F.when(F.coalesce("review_id", F.lit("")) == "", F.col("key")).otherwise(F.col("review_id"))
@@ -212,7 +215,8 @@ def evidence_for_questions(requests: DataFrame, items: DataFrame, risks: DataFra
     """
     what = ["product_id", "intent", "target_aspects"]
     distinct = requests.select(*what).distinct()
-    lists = candidate_lists(evidence_candidates(items, limit))
+    asked = requests.select("product_id").distinct()
+    lists = candidate_lists(evidence_candidates(items.join(asked, "product_id", "left_semi"), limit))
     joined = distinct.join(lists, "product_id", "left").join(risk_evidence(risks), "product_id", "left")
     targets = F.col("target_aspects")
     any_target = F.size(targets) > 0

@@ -19,7 +19,8 @@ ITEM_SCHEMA = "sentence string, aspect string, sentiment string, confidence doub
 def explode_sentences(reviews: DataFrame, text: str, lengths: tuple[int, int] = K.SENTENCE_LENGTH) -> DataFrame:
     """One row per sentence whose length is in range, numbered from 0."""
     keep = [c for c in reviews.columns if c != text]
-    out = reviews.select(*keep, F.posexplode(X.sentences(text)).alias("sentence_no", "sentence"))
+    # the outer form keeps the split from being evaluated again in an inferred filter
+    out = reviews.select(*keep, F.posexplode_outer(X.sentences(text)).alias("sentence_no", "sentence"))
     return out.filter(F.length("sentence").between(*lengths))
 
 
@@ -126,8 +127,9 @@ def rule_items(df: DataFrame, sentence: str = "sentence") -> DataFrame:
             .otherwise("neutral"),
             "rule_score": F.signum("__diff") * 0.7,
             "confidence": round_up(F.least(F.lit(0.8), 0.5 + F.abs("__diff") / 10)),
-            "aspect": F.explode(found),
+            "aspect": F.explode_outer(found),
         })
+        .filter(F.col("aspect").isNotNull())
         .drop("__diff", "__low")
     )
 

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 RANK_BUCKETS = 4096
 
 
+def compute_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a costly column that later filters read.
+
+    A filter on a plain column is pushed below it, and its expression is then
+    evaluated in the filter and again in the projection. A one-element
+    ``explode_outer`` stops that and costs no shuffle.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(expr)).alias(name))
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list, k: int, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each key in ``order``, which should be total.
 
@@ -15,8 +25,11 @@ def top_rows(df: DataFrame, keys: list[str], order: list, k: int, rank: str | No
     each task sends at most ``k`` rows of a key, however hot the key is.
     """
     name = rank or "__rank"
+    if len(keys) > 1:
+        # rows sort by the eight bytes of a hash first, and by the keys only on a tie
+        df, keys = df.withColumn("__key", F.xxhash64(*keys)), ["__key", *keys]
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
-    return out if rank else out.drop(name)
+    return out.drop("__key") if rank else out.drop("__key", name)
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -46,7 +59,7 @@ def rank_in_group(df: DataFrame, keys: list[str], hash_col: str, ties: list[str]
         *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)],
         F.col("__range").alias("__r"),
         (F.sum("__n").over(before) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
+        F.sum("__n").over(Window.partitionBy(*keys)).alias("__of"),
     )
     inside = Window.partitionBy(*keys, "__range").orderBy(hash_col, *ties)
     ranked = parted.withColumn("__inside", F.row_number().over(inside))
@@ -55,8 +68,8 @@ def rank_in_group(df: DataFrame, keys: list[str], hash_col: str, ties: list[str]
         match = match & F.col(c).eqNullSafe(F.col(f"__k{i}"))
     out = ranked.join(sizes, match).withColumn(rank, F.col("__before") + F.col("__inside"))
     if total:
-        out = out.withColumn(total, F.col("__total"))
-    return out.drop("__range", "__r", "__inside", "__before", "__total", *[f"__k{i}" for i in range(len(keys))])
+        out = out.withColumn(total, F.col("__of"))
+    return out.drop("__range", "__r", "__inside", "__before", "__of", *[f"__k{i}" for i in range(len(keys))])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float],

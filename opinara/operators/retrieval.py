@@ -27,7 +27,7 @@ def opinion_chunks(items: DataFrame) -> DataFrame:
         "product_id", F.coalesce("review_id", F.lit("")).alias("review_id"), F.trim("aspect").alias("aspect"),
         F.trim(F.coalesce("sentiment", F.lit("neutral"))).alias("sentiment"),
         F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"),
-        X.compress("sentence").alias("text"), "item_id",
+        F.explode_outer(F.array(X.compress("sentence"))).alias("text"), "item_id",
     ).filter(indexable(F.col("text"), F.col("aspect"), F.col("sentiment")))
     out = out.withColumn("low", F.lower("text"))
     out = first_rows(out, ["product_id", "review_id", "aspect", "sentiment", "low"], ["item_id", "text"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinara import constants as K
 from opinara.functions import text as X
 from opinara.functions.casts import safe_double
-from opinara.operators.ranking import first_rows
+from opinara.operators.ranking import compute_once, first_rows
 
 
 def clean_reviews(reviews: DataFrame, order: list, min_length: int = K.MIN_CLEAN_LENGTH) -> DataFrame:
@@ -17,7 +17,7 @@ def clean_reviews(reviews: DataFrame, order: list, min_length: int = K.MIN_CLEAN
     Copies are grouped by a hash and the text itself, so that the sort mostly
     compares eight bytes; each task drops its own copies before the shuffle.
     """
-    out = reviews.dropna(subset=["content", "title"]).withColumn("cleaned_content", X.clean_text("content"))
+    out = compute_once(reviews.dropna(subset=["content", "title"]), "cleaned_content", X.clean_text("content"))
     out = out.filter(F.length("cleaned_content") >= min_length)
     out = out.withColumn("__h", F.xxhash64("cleaned_content"))
     out = first_rows(out, ["__h", "cleaned_content"], order).drop("__h")
@@ -27,7 +27,7 @@ def clean_reviews(reviews: DataFrame, order: list, min_length: int = K.MIN_CLEAN
 def preprocess_reviews(reviews: DataFrame, min_length: int = K.MIN_DASHBOARD_LENGTH) -> DataFrame:
     """Title and content in one light-cleaned text; defaults for rating and helpful count."""
     out = reviews.withColumn("full_text", X.full_text("title", "content"))
-    out = out.withColumn("clean_text", X.light_clean("full_text")).filter(F.length("clean_text") > min_length)
+    out = compute_once(out, "clean_text", X.light_clean("full_text")).filter(F.length("clean_text") > min_length)
     return out.withColumns({
         "helpful_count": safe_double("helpful_count", 0.0).cast("int"),
         "rating": safe_double("rating", 3.0).cast("int"),

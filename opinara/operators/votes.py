@@ -22,11 +22,12 @@ def parse_responses(responses: DataFrame, raw: str = "raw", ids: str | None = No
     keep = [c for c in responses.columns if c not in (raw, ids)]
     parsed = responses.withColumn("__v", F.try_parse_json(repair_json(raw)))
     results = F.try_variant_get("__v", "$.results", "map<string,variant>")
-    rows = parsed.select(*keep, *([ids] if ids else []), F.explode(results).alias("review_id", "__quads"))
+    rows = parsed.select(*keep, *([ids] if ids else []), F.explode_outer(results).alias("review_id", "__quads"))
+    rows = rows.filter(F.col("review_id").isNotNull())
     if ids:
         rows = rows.filter(F.array_contains(ids, F.col("review_id")))
     rows = rows.select(
-        *keep, "review_id", F.posexplode(F.try_variant_get("__quads", "$", "array<variant>")).alias("pos", "__q")
+        *keep, "review_id", F.posexplode_outer(F.try_variant_get("__quads", "$", "array<variant>")).alias("pos", "__q")
     )
 
     def field(name: str, default: str):

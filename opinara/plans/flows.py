@@ -90,10 +90,10 @@ def flatten_listing(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("p_partkey") % 3 != 0, F.struct(F.col("p_size").alias("value"), F.lit("x").alias("text"))).alias("quantity_sold"),
     )
     page = F.to_json(F.struct(F.array(item, item).alias("data")))
-    pages = part.select(
-        page.alias("payload"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page"), (F.col("p_size") % 5).cast("int").alias("cat")
-    )
+    pages = part.select(page.alias("payload"), (F.col("p_size") % 5).cast("int").alias("cat"))
+    pages = pages.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"))
     pages = pages.withColumn("category_id", F.when(F.col("page") == 1, F.col("cat")).otherwise(F.col("cat") + 1))
+    pages = materialise(pages.select("payload", "page", "category_id"), "listing-pages")
     return P.flatten_listing(pages, ["page", "category_id"]).drop("quantity_sold_text")
 
 
@@ -171,7 +171,7 @@ def raw_payload(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stored_products", with_views(V.PRODUCTS_SQL, V.CATEGORIES_SQL, body="""SELECT CAST(o_custkey AS VARCHAR) AS product_id, coalesce(name, '') AS name,
-    coalesce(CAST(trunc(price) AS BIGINT), 0) AS price, coalesce(brand, '') AS brand_name, rating_average, coalesce(category_lv3, '') AS category_lv3
+    coalesce(CAST(trunc(price) AS BIGINT), 0) AS price, coalesce(brand, '') AS brand_name, rating_average, coalesce(c.category_lv3, '') AS category_lv3
   FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN products p ON p.product_id = CAST(o_custkey AS VARCHAR)
   LEFT JOIN (SELECT product_id, min(category_lv3) AS category_lv3 FROM categories GROUP BY 1) c ON c.product_id = CAST(o_custkey AS VARCHAR)"""))
 def stored_products(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,7 @@ from opinara.plans.analytics import ITEMS
 from opinara.plans.labelling import QUADS, _vector_sql
 from opinara.plans.registry import query, sql_list, with_views
 from opinara.plans.texts import tokens_sql
+from opinara.session import materialise
 from opinara.sources import fixtures as V
 
 ANNOTATED = [*QUADS, V.ANNOTATED_SQL]
@@ -135,7 +136,7 @@ def bio_blocks(spark: SparkSession, d: str) -> DataFrame:
 def parse_bio(spark: SparkSession, d: str) -> DataFrame:
     from opinara.sources.labels import parse_bio as parse
 
-    out = parse(DS.bio_blocks(_samples(spark, d)), "block")
+    out = parse(materialise(DS.bio_blocks(_samples(spark, d)), "bio"), "block")
     return out.select("review_id", "labels", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -151,7 +152,7 @@ def encode_bio(spark: SparkSession, d: str) -> DataFrame:
     from opinara.sources.labels import parse_bio as parse
 
     samples = _samples(spark, d)
-    blocks = parse(DS.bio_blocks(samples), "block")
+    blocks = parse(materialise(DS.bio_blocks(samples), "bio"), "block")
     return encode(blocks, "review_id", DS.vocabulary(samples)).select("review_id", "token_ids", "length")
 
 

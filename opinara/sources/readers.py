@@ -68,7 +68,8 @@ def stored_products(wanted: DataFrame, detail: DataFrame, categories: DataFrame)
     from opinara.operators.ranking import top_rows
 
     keyed = lambda df: df.withColumn("product_id", F.trim(F.col("product_id").cast("string")))
-    one = top_rows(keyed(detail), ["product_id"], ["name", "price"], 1)
+    paths = [c for c in detail.columns if c.startswith("category_lv")]
+    one = top_rows(keyed(detail).drop(*paths), ["product_id"], ["name", "price"], 1)
     cat = top_rows(keyed(categories), ["product_id"], ["category_lv3", "category_lv2"], 1).select(
         "product_id", "category_lv1", "category_lv2", "category_lv3"
     )
