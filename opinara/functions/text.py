@@ -226,8 +226,14 @@ RISK_NAME_PATTERN = rf"(?i)(?<![{WORD}])(delivery_accuracy|delivery_packaging|si
 def summarize_opinion(c: Column | str, limit: int = 150) -> Column:
     """Compressed evidence without internal codes."""
     scrub = lambda t: squeeze(F.regexp_replace(F.regexp_replace(t, CODE_PATTERN, ""), RISK_NAME_PATTERN, ""))
-    # every code holds a '#' and every internal name a '_'
-    coded = lambda t: F.contains(t, F.lit("#")) | F.contains(t, F.lit("_"))
+
+    def coded(t: Column) -> Column:
+        # a plain search first, as few texts hold a code or an internal name
+        hit = F.lit(False)
+        for mark in ("PRODUCT#", "PRICE#", "DELIVERY#", "SELLER#"):
+            hit = hit | F.contains(t, F.lit(mark))
+        return hit | F.contains(t, F.lit("_"))
+
     return let(compress_evidence(c, limit), lambda t: F.when(coded(t), scrub(t)).otherwise(t))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +53,8 @@ def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: Column, key: str) -> Data
 
 
 @F.udf(VectorUDT())
-def _sparse(size: int, pairs: list) -> SparseVector:
+def _sparse(size, pairs):
+    # a sparse vector column has no built-in constructor, so this runs once per document
     return Vectors.sparse(size, [(p["idx"], p["weight"]) for p in pairs])
 
 

@@ -60,23 +60,32 @@ def evidence_candidates(items: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFr
     are, so the first ``limit`` of each aspect are kept for it.
     """
     order = [F.desc("confidence"), "item_id", "text"]
-    pool = items.withColumn("text", F.substring(F.trim("sentence"), 1, 350)).filter(F.length("text") > 0)
-    pool = pool.select("product_id", "aspect", "sentiment", "review_id", "confidence", "item_id", "text")
-    judged = F.struct(
-        X.evidence_key("text").alias("key"),
-        X.let(X.summarize_opinion("text", 180), lambda s: is_quality(F.col("aspect"), F.col("sentiment"), s)).alias("quality"),
-    )
-    pool = compute_once(pool, "judged", judged).select("*", "judged.key", "judged.quality").drop("judged")
     group = ["product_id", "sentiment", "aspect"]
+    enough = 2 * limit * (limit - 1) + 1
+    pool = items.withColumn("text", F.substring(F.trim("sentence"), 1, 350)).filter(F.length("text") > 0)
+    pool = pool.select(*group, "review_id", "confidence", "item_id", "text")
+    # most groups are small enough as they are; only the large ones are ranked
+    large = items.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > enough).select(*group)
+    whole = _judge(pool.join(large, group, "left_anti")).filter("quality")
     # rows without a review id block no review, so each counts as its own
     who = F.when(F.coalesce("review_id", F.lit("")) == "", F.col("key")).otherwise(F.col("review_id"))
-    picks = pool.filter("quality").withColumn("who", who)
+    picks = _judge(pool.join(large, group, "left_semi")).filter("quality").withColumn("who", who)
     picks = top_rows(picks, [*group, "key", "who"], order, 1)
     picks = top_rows(picks, [*group, "key"], order, limit)
     picks = top_rows(picks, [*group, "who"], order, limit)
-    picks = top_rows(picks, group, order, 2 * limit * (limit - 1) + 1).drop("who")
-    fill = top_rows(pool, ["product_id", "aspect"], order, limit)
-    return picks.withColumn("phase", F.lit(0)).unionByName(fill.withColumn("phase", F.lit(1)))
+    picks = top_rows(picks, group, order, enough).drop("who")
+    fill = _judge(top_rows(pool, ["product_id", "aspect"], order, limit))
+    picks = whole.unionByName(picks).withColumn("phase", F.lit(0))
+    return picks.unionByName(fill.withColumn("phase", F.lit(1)))
+
+
+def _judge(rows: DataFrame) -> DataFrame:
+    """Add the text key and the quality flag."""
+    judged = F.struct(
+        X.evidence_key("text").alias("key"),
+        X.let(X.summarize_opinion("text", 180), lambda s: is_quality(F.col("aspect"), F.col("sentiment"), s)).alias("quality"),
+    )
+    return compute_once(rows, "judged", judged).select("*", "judged.key", "judged.quality").drop("judged")
 
 
 def _row(sentiment_rank: Column) -> Column:
