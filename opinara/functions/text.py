@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opinara import constants as K
+
 WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 NOT_WS = r"[^\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 WORD = r"\p{L}\p{N}_"
@@ -152,7 +154,7 @@ def product_id_from_url(c: Column | str) -> Column:
     )
 
 
-def product_name_from_url(c: Column | str, host: str = r"tiki\.vn", end: str = r"-p\d+") -> Column:
+def product_name_from_url(c: Column | str, host: str = K.SHOP_HOST_PATTERN, end: str = r"-p\d+") -> Column:
     """Words of the URL slug, each with an upper-case first letter."""
     slug = F.regexp_extract(F.coalesce(_col(c), F.lit("")), rf"{host}/(.+?){end}", 1)
     named = F.transform(

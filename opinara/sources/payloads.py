@@ -40,7 +40,7 @@ def flatten_products(payloads: DataFrame, column: str = "payload") -> DataFrame:
         "rating_average", "review_count", "order_count", F.col("stock_item.qty").alias("stock_qty"),
         F.col("stock_item.max_sale_qty").alias("max_sale_qty"), F.col("brand.id").alias("brand_id"), F.col("brand.name").alias("brand_name"),
         "inventory_status", "is_visible",
-        F.coalesce(F.nullif("short_url", F.lit("")), F.concat(F.lit("https://tiki.vn/p/"), "id")).alias("product_url"),
+        F.coalesce(F.nullif("short_url", F.lit("")), F.concat(F.lit(K.SHOP_URL + "p/"), "id")).alias("product_url"),
         X.html_to_text("description").alias("description"), F.to_json(specification_map(F.col("specifications"))).alias("specifications"),
         *[F.col(f"current_seller.{field}").alias(f"seller_{name}") for name, field in seller.items()],
         F.coalesce("current_seller.is_official", F.lit(False)).alias("seller_is_official"),
@@ -75,7 +75,7 @@ def flatten_product_pages(payloads: DataFrame, column: str = "payload") -> DataF
         F.coalesce(get("quantity_sold.value", "bigint"), get("quantity_sold", "bigint"), F.lit(0)).alias("sold_quantity"),
         F.coalesce(F.nullif(get("thumbnail_url"), F.lit("")), F.get("imgs", 0), F.lit("")).alias("thumbnail_url"),
         F.slice("imgs", 1, 6).alias("images"),
-        F.when(F.startswith(url, F.lit("https://tiki.vn/")), url).otherwise(F.concat(F.lit("https://tiki.vn/p/"), get("id"))).alias("product_url"),
+        F.when(F.startswith(url, F.lit(K.SHOP_URL)), url).otherwise(F.concat(F.lit(K.SHOP_URL + "p/"), get("id"))).alias("product_url"),
         lv1.alias("category_lv1"), crumb(1).alias("category_lv2"), crumb(2).alias("category_lv3"),
     )
 

@@ -79,7 +79,7 @@ def stored_products(wanted: DataFrame, detail: DataFrame, categories: DataFrame)
         safe_string("brand").alias("brand_name"), safe_string("seller").alias("seller_name"),
         safe_double("rating_average", None).alias("rating_average"), safe_long("review_count", 0).alias("review_count"),
         *[safe_string(c).alias(c) for c in ("category_lv1", "category_lv2", "category_lv3")],
-        F.concat(F.lit("https://tiki.vn/p/"), "product_id").alias("product_url"),
+        F.concat(F.lit(K.SHOP_URL + "p/"), "product_id").alias("product_url"),
     )
 
 
