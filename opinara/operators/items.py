@@ -12,6 +12,7 @@ from opinara import constants as K
 from opinara.functions import text as X
 from opinara.functions.casts import lookup
 from opinara.functions.numbers import clamp01, count_if, dec, round_up, share
+from opinara.operators.ranking import compute_once
 
 ITEM_SCHEMA = "sentence string, aspect string, sentiment string, confidence double"
 
@@ -103,21 +104,25 @@ def cap_item_reviews(items: DataFrame, k: int = K.COMPARE_REVIEW_CAP) -> DataFra
     return items.withColumn("__n", rank).filter(F.col("__n") <= k).drop("__n")
 
 
-def rule_items(df: DataFrame, sentence: str = "sentence") -> DataFrame:
-    """Rule scorer: keyword sentiment, and the first four matching aspects."""
-    df = df.withColumn("__low", F.lower(F.col(sentence)))
-    low = F.col("__low")
+def _texts(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
-    def hits(words: list[str]) -> Column:
-        found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
-        return F.size(found)
 
-    diff = hits(K.POSITIVE_WORDS) - hits(K.NEGATIVE_WORDS)
+def rule_items(df: DataFrame, sentence: str = "sentence") -> DataFrame:
+    """Rule scorer: keyword sentiment, and the first four matching aspects."""
+    lists = [K.POSITIVE_WORDS, K.NEGATIVE_WORDS, *K.REQUIRED_KEYWORDS.values(), *K.FORBIDDEN_KEYWORDS.values()]
+    every = list(dict.fromkeys(w for words in lists for w in words))
+    # each word is looked for once; the tests below read the few that occur
+    hits = X.let(F.lower(F.col(sentence)), lambda low: F.filter(_texts(every), lambda w: F.contains(low, w)))
+    df = compute_once(df, "__hits", hits)
+    found_in = lambda words: F.arrays_overlap("__hits", _texts(words))
+    number = lambda words: F.size(F.array_intersect("__hits", _texts(words)))
+    diff = number(K.POSITIVE_WORDS) - number(K.NEGATIVE_WORDS)
     aspects = []
     for code, words in K.REQUIRED_KEYWORDS.items():
-        ok = X.contains_any(low, words)
+        ok = found_in(words)
         if code in K.FORBIDDEN_KEYWORDS:
-            ok = ok & ~X.contains_any(low, K.FORBIDDEN_KEYWORDS[code])
+            ok = ok & ~found_in(K.FORBIDDEN_KEYWORDS[code])
         aspects.append(F.when(ok, F.lit(code)))
     found = F.slice(F.array_compact(F.array(*aspects)), 1, 4)
     return (
@@ -130,7 +135,7 @@ def rule_items(df: DataFrame, sentence: str = "sentence") -> DataFrame:
             "aspect": F.explode_outer(found),
         })
         .filter(F.col("aspect").isNotNull())
-        .drop("__diff", "__low")
+        .drop("__diff", "__hits")
     )
 
 
