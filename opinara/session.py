@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -30,16 +32,23 @@ def get_spark(app_name: str = "opinara", master: str | None = None, shuffle_part
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="opinara-")
+
+
 def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder for intermediate tables.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. A local
-    folder is used only when that setting is missing, as in tests.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a
+    single-machine session (``local[...]``) may do without it: executors on
+    other machines could not read a folder of this one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="opinara-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_base()
     return f"{base.rstrip('/')}/opinara/{tag}-{uuid.uuid4().hex}"
 
 
