@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import packing, token_counts
+from opinara.llm import exact_dedup, packing, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,9 +21,26 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), WORD_BPE, size=2048)
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_documents(spark, sf_dir), words=4, distance=4)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_best_fit_packing, op8_token_counts)}
-CHECK_SQL: dict[str, str] = {}
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_documents(spark, sf_dir)).drop("n_chars")
+
+
+OP9_SQL = """
+WITH rows AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents
+), ranked AS (
+  SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM rows
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_best_fit_packing, op5_simhash_near_dedup, op8_token_counts, op9_exact_dedup)}
+CHECK_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
