@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import exact_dedup, packing, simhash, token_counts
+from opinara.llm import exact_dedup, packing, secrets, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), WORD_BPE, size=2048)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir), words=4, distance=4)
 
@@ -42,5 +46,5 @@ WITH rows AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_best_fit_packing, op5_simhash_near_dedup, op8_token_counts, op9_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scans, op5_simhash_near_dedup, op8_token_counts, op9_exact_dedup)}
 CHECK_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
