@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import exact_dedup, packing, secrets, simhash, token_counts
+from opinara.llm import bpe, exact_dedup, language, packing, quality, secrets, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE, BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +26,29 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_documents(spark, sf_dir), BYTE_BPE, BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir), words=4, distance=4)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_documents(docs, model)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language.predict(docs, language.fit(docs))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir)).drop("n_chars")
 
@@ -46,5 +62,11 @@ WITH rows AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scans, op5_simhash_near_dedup, op8_token_counts, op9_exact_dedup)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op2_best_fit_packing, op3_secret_scans, op4_bpe_round_trip, op5_simhash_near_dedup, op6_quality_classifier, op8_token_counts,
+        op9_exact_dedup, op10_language_id,
+    )
+}
 CHECK_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
