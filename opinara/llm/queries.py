@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import bpe, exact_dedup, language, packing, quality, secrets, simhash, token_counts
+from opinara.llm import bpe, exact_dedup, imatch, language, packing, quality, secrets, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_documents(spark, sf_dir))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), WORD_BPE, size=2048)
 
@@ -65,7 +69,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op2_best_fit_packing, op3_secret_scans, op4_bpe_round_trip, op5_simhash_near_dedup, op6_quality_classifier, op8_token_counts,
+        op1_imatch_fingerprints, op2_best_fit_packing, op3_secret_scans, op4_bpe_round_trip, op5_simhash_near_dedup, op6_quality_classifier, op8_token_counts,
         op9_exact_dedup, op10_language_id,
     )
 }
