@@ -52,13 +52,13 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/opinara/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, partitioned ``by`` columns if given, and read it back.
 
     Used where several outputs share one expensive input: the written table
     survives the loss of executors, which cached blocks do not.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, tag)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
