@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import bpe, exact_dedup, imatch, language, packing, quality, secrets, simhash, token_counts
+from opinara.llm import bpe, exact_dedup, imatch, katz, language, packing, quality, secrets, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model)
 
 
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), WORD_BPE, limit=2048)
 
@@ -69,7 +73,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_imatch_fingerprints, op2_best_fit_packing, op3_secret_scans, op4_bpe_round_trip, op5_simhash_near_dedup, op6_quality_classifier, op8_token_counts,
+        op1_imatch_fingerprints, op2_best_fit_packing, op3_secret_scans, op4_bpe_round_trip, op5_simhash_near_dedup, op6_quality_classifier, op7_katz_scores, op8_token_counts,
         op9_exact_dedup, op10_language_id,
     )
 }
