@@ -1,13 +1,54 @@
-"""Training-data pipeline over ``documents``: stages, each on what its predecessor kept."""
+"""Training-data pipeline over ``documents``: each stage works on all that its predecessor kept.
+
+Documents that the quality classifier rejects go; of equal texts one stays; of
+near copies one stays; secrets are masked in the text; what is left is packed
+into sequences of 2048 tokens.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from opinara.llm import exact_dedup, packing, quality, secrets, simhash
+from opinara.session import materialise
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.kept_rows(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_per_group(docs, words=4, distance=4)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.without_secrets(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack),
+]
+
+#: A trained classifier and a genetic algorithm have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of each document that stays, with its place in a sequence."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{i}")
     return docs

@@ -4,19 +4,18 @@ A normalised text is cut where its own characters say so, so equal stretches of
 different texts give equal chunks. A chunk's 64-bit hash serves as its
 identifier once verified: all chunks of one hash must be the same text, which
 is checked by moving each distinct chunk once. Documents are then compared by
-their lists of identifiers; whole texts are never moved. A hash shared by
-different chunks is no identifier, and documents with such a chunk are told
-apart by the SHA-256 of their texts as well.
+their lists of identifiers; whole texts are never moved. Should different
+chunks ever share a hash, the SHA-256 of the texts is compared as well.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import SPACES
+from opinara.llm.common import SPACES, fresh
 from opinara.session import materialise
 
 #: A chunk has at least LEAST code points and ends after three characters of the cut class, or after MOST.
@@ -47,6 +46,11 @@ def shared_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("h")
 
 
+def _also(docs: DataFrame, text_col: str) -> Column:
+    """What must be equal beside the recipes: nothing, or the texts' SHA-256 if some hash isn't an identifier."""
+    return F.lit("") if materialise(shared_hashes(docs, text_col), "shared-hashes").isEmpty() else F.col("text_sha256")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256, n_chars`` for each row of ``docs``.
 
@@ -56,13 +60,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     length as the row that stays are all ``kept``. An empty table gives an
     empty one; other columns of ``docs`` are ignored.
     """
-    rows = materialise(recipes(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "recipes")
-    shared = materialise(shared_hashes(docs, text_col), "shared-hashes")
-    if shared.isEmpty():
-        rows = rows.withColumn("also", F.lit(""))
-    else:
-        unsure = rows.select("uid", F.explode("recipe").alias("h")).join(shared, "h", "left_semi").select("uid").distinct()
-        rows = rows.join(unsure.withColumn("unsure", F.lit(True)), "uid", "left").withColumn("also", F.when(F.col("unsure"), F.col("text_sha256")).otherwise(F.lit(""))).drop("unsure")
+    rows = materialise(recipes(docs, id_col, text_col).withColumn("also", _also(docs, text_col)), "recipes")
     rows = rows.withColumn("recipe_hash", F.xxhash64("recipe"))
     key = ["recipe_hash", "recipe", "also"]
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
@@ -70,3 +68,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = rows.join(groups, key)
     kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == -F.col("best.n"))
     return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "n_chars")
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay; of rows equal in all columns, one.
+
+    A task sends at most one row per group, however many copies there are.
+    """
+    t, n, recipe, sha, first = (fresh(docs, f"dedup_{x}") for x in ("text", "n", "recipe", "sha", "first"))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.withColumns({t: without_spaces(text), n: F.char_length(text)}).withColumn(recipe, F.transform(chunks(F.col(t)), lambda c: F.xxhash64(c)))
+    exact = materialise(shared_hashes(docs, text_col), "shared-hashes").isEmpty()
+    rows = rows.withColumn(sha, F.lit("") if exact else F.sha2(t, 256)).drop(t)
+    group = Window.partitionBy(F.xxhash64(recipe), F.col(recipe), F.col(sha)).orderBy(F.desc(n), docs[id_col].asc_nulls_last(), F.xxhash64(*[docs[c] for c in docs.columns]))
+    return rows.withColumn(first, F.row_number().over(group)).filter(F.col(first) == 1).drop(n, recipe, sha, first)

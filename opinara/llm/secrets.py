@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinara.llm.common import fresh
+
 #: The base patterns, one per kind, and the least length of the group that counts.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
@@ -149,6 +151,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
+def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs``, all rows and columns, with every secret in the texts masked and ``chars_col``, if there is one, counted anew for those texts."""
+    model, spans = train(labelled_samples(docs, id_col, text_col)), fresh(docs, "secret_spans")
+    rows = with_spans(docs, model, spans, text_col)
+    rows = rows.withColumn(text_col, F.when(F.size(spans) > 0, masked(F.col(f"`{text_col}`"), F.col(spans))).otherwise(F.col(f"`{text_col}`")))
+    if chars_col in docs.columns:
+        rows = rows.withColumn(chars_col, F.when(F.size(spans) > 0, F.char_length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"`{chars_col}`")))
+    return rows.drop(spans)
+
+
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """``text`` with each span, overlapping ones together, replaced by ``mask``."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -17,10 +17,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import add_columns
+from opinara.llm.common import add_columns, fresh
 from opinara.llm.graph import components
 from opinara.session import materialise
 
@@ -138,12 +138,13 @@ def close_links(prints: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def classes(rows: DataFrame, distance: int = 4) -> DataFrame:
-    """``fp, component_id`` for the distinct ``fp`` of ``rows``; ``component_id`` is the least ``doc_id`` reachable."""
+    """``fp, component_id, stays`` for the distinct ``fp`` of ``rows``: the least ``doc_id`` reachable, and the fingerprint that has it."""
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
     roots = materialise(components(materialise(close_links(prints.select("fp"), distance), "links")).withColumnRenamed("node", "fp"), "roots")
     known = prints.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return known.join(least, "root").select("fp", "component_id")
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp"))
+    least = known.groupBy("root").agg(first.alias("x")).select("root", F.col("x.first_id").alias("component_id"), F.col("x.fp").alias("stays"))
+    return known.join(least, "root").select("fp", "component_id", "stays")
 
 
 def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,3 +157,17 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str
     rows = with_fingerprint(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "fp", words).select("doc_id", "fp")
     rows = materialise(rows, "fingerprints")
     return rows.join(classes(rows, distance), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the one with the least ``doc_id`` (null last).
+
+    A task sends at most one row per fingerprint, however many copies there are.
+    """
+    fp, first = fresh(docs, "near_fp"), fresh(docs, "near_first")
+    rows = materialise(with_fingerprint(docs, fp, words, text_col), "with-fingerprints")
+    known = classes(rows.select(rows[id_col].alias("doc_id"), rows[fp].alias("fp")), distance)
+    order = Window.partitionBy(fp).orderBy(F.col(f"`{id_col}`").asc_nulls_last(), F.xxhash64(*[rows[c] for c in docs.columns]))
+    alone = rows.withColumn(first, F.row_number().over(order)).filter(F.col(first) == 1).drop(first)
+    stay = known.filter("fp = stays").select(F.col("fp").alias(fp))
+    return alone.join(stay, fp, "left_semi").drop(fp)
