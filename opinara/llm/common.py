@@ -28,6 +28,11 @@ def py_remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns, whatever they are called."""
+    return F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """``name``, with underscores before it as long as ``docs`` has a column so named."""
     taken = {c.lower() for c in docs.columns}

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import SPACES, fresh
+from opinara.llm.common import SPACES, fresh, row_hash
 from opinara.session import materialise
 
 #: A chunk has at least LEAST code points and ends after three characters of the cut class, or after MOST.
@@ -80,5 +80,5 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.withColumns({t: without_spaces(text), n: F.char_length(text)}).withColumn(recipe, F.transform(chunks(F.col(t)), lambda c: F.xxhash64(c)))
     exact = materialise(shared_hashes(docs, text_col), "shared-hashes").isEmpty()
     rows = rows.withColumn(sha, F.lit("") if exact else F.sha2(t, 256)).drop(t)
-    group = Window.partitionBy(F.xxhash64(recipe), F.col(recipe), F.col(sha)).orderBy(F.desc(n), docs[id_col].asc_nulls_last(), F.xxhash64(*[docs[c] for c in docs.columns]))
+    group = Window.partitionBy(F.xxhash64(recipe), F.col(recipe), F.col(sha)).orderBy(F.desc(n), docs[id_col].asc_nulls_last(), row_hash(docs))
     return rows.withColumn(first, F.row_number().over(group)).filter(F.col(first) == 1).drop(n, recipe, sha, first)

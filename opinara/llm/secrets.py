@@ -23,9 +23,11 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 KEY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-SAMPLE_DOCS = 400
+SAMPLE_DOCS, LONGEST_SAMPLE = 400, 200
 #: A secret's log-likelihood ratio is this large in all, and this large per character.
-LEAST_TOTAL, LEAST_MEAN = 30.0, 1.8
+LEAST_TOTAL, LEAST_MEAN = 15.0, 0.4
+#: Share of the even distribution in each model's transition chances, so that no unseen transition decides alone.
+FLAT = 0.1
 
 
 SPANS = "array<struct<start:int,rank:int,end:int>>"
@@ -67,7 +69,8 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Random: what the base patterns find, and digests of the texts in the
     alphabets of keys (hexadecimal, base 64, capitals and digits). Ordinary:
     the texts' other words, and identifiers composed of them (joined by ``_``
-    or ``-``, in camel case, with numbers).
+    or ``-``, in camel case, with numbers). Words that are candidates themselves
+    have no label, and no sample is longer than ``LONGEST_SAMPLE``.
     """
     n = docs.count()
     share = F.pmod(F.xxhash64(docs[id_col], F.lit("secrets")), F.lit(1 << 20)) < F.lit(math.ceil(bound / max(1, n) * (1 << 20)))
@@ -80,9 +83,9 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 F.array(F.lower(F.hex(digest)), F.base64(digest), F.translate(F.upper(F.base64(digest)), "+/=", ""), F.translate(F.base64(digest), "+/=", "")),
             )
         ).alias("s")
-    ).filter(F.length("s") >= 16)
+    ).filter(F.length("s").between(16, LONGEST_SAMPLE))
     plain = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    words = text.select(F.filter(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0)), lambda w: F.length(w) >= 3).alias("w"))
+    words = text.select(F.filter(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0)), lambda w: F.length(w).between(3, 19) | (F.length(w).between(20, LONGEST_SAMPLE) & ~w.rlike("[0-9]"))).alias("w"))
     pairs = words.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1_000_000_000).alias("b"))).alias("p")).select("p.a", "p.b")
     number = F.pmod(F.hash("a", "b"), F.lit(100)).cast("string")
     b = F.coalesce("b", F.lit(""))
@@ -101,8 +104,9 @@ def train(samples: DataFrame) -> list[float]:
     counts = {(r.random, r.a, r.b): r.n for r in steps.groupBy("random", "x.a", "x.b").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = []
     for a in range(width):
-        total = {k: sum(counts.get((k, a, b), 0) + 0.5 for b in range(width)) for k in (True, False)}
-        out += [math.log((counts.get((True, a, b), 0) + 0.5) / total[True]) - math.log((counts.get((False, a, b), 0) + 0.5) / total[False]) for b in range(width)]
+        total = {k: sum(counts.get((k, a, b), 0) for b in range(width)) for k in (True, False)}
+        share = lambda k, b: (1 - FLAT) * counts.get((k, a, b), 0) / total[k] + FLAT / width if total[k] else 1 / width  # noqa: B023, E731
+        out += [math.log(share(True, b)) - math.log(share(False, b)) for b in range(width)]
     return out
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import add_columns, fresh
+from opinara.llm.common import add_columns, fresh, row_hash
 from opinara.llm.graph import components
 from opinara.session import materialise
 
@@ -167,7 +167,7 @@ def one_per_group(docs: DataFrame, words: int = 4, distance: int = 4, id_col: st
     fp, first = fresh(docs, "near_fp"), fresh(docs, "near_first")
     rows = materialise(with_fingerprint(docs, fp, words, text_col), "with-fingerprints")
     known = classes(rows.select(rows[id_col].alias("doc_id"), rows[fp].alias("fp")), distance)
-    order = Window.partitionBy(fp).orderBy(F.col(f"`{id_col}`").asc_nulls_last(), F.xxhash64(*[rows[c] for c in docs.columns]))
+    order = Window.partitionBy(fp).orderBy(F.col(f"`{id_col}`").asc_nulls_last(), row_hash(docs))
     alone = rows.withColumn(first, F.row_number().over(order)).filter(F.col(first) == 1).drop(first)
     stay = known.filter("fp = stays").select(F.col("fp").alias(fp))
     return alone.join(stay, fp, "left_semi").drop(fp)
