@@ -14,14 +14,14 @@ QUADS = "array<struct<aspect_term:string,aspect_category:string,opinion_term:str
 
 
 def repair_json(c: Column | str) -> Column:
-    """Drop a code fence and close up to five open braces."""
+    """Drop a code fence and close open braces."""
     t = X.strip_ws(c)
     opened = F.regexp_replace(t, r"^```[a-z]*\n?", "")
     fenced = F.regexp_replace(X.strip_ws(opened), r"\n?```$", "")
     t = F.when(F.startswith(t, F.lit("```")), fenced).otherwise(t)
     count = lambda ch: F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))
     missing = count("{") - count("}")
-    return F.when(missing.between(1, 5), F.concat(t, F.repeat(F.lit("}"), missing))).otherwise(t)
+    return F.when(missing > 0, F.concat(t, F.repeat(F.lit("}"), missing))).otherwise(t)
 
 
 def strip_thinking(c: Column | str) -> Column:
@@ -93,7 +93,7 @@ def sanitize_answer(answer: Column, evidence: Column) -> Column:
                    answer["citations"]).otherwise(evidence)
     known = lambda a: lookup(a, K.ASPECT_LABELS).isNotNull()
     cites = F.transform(
-        F.slice(given, 1, 4),
+        given,
         lambda c: F.struct(
             F.substring(
                 F.when(known(F.coalesce(c["aspect"], F.lit("Bang chung"))), aspect_label(c["aspect"]))

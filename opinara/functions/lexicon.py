@@ -13,8 +13,6 @@ from opinara import constants as K
 from opinara.functions import text as X
 from opinara.operators.ranking import compute_once
 
-MAX_INLINE_ENTRIES = 5000
-
 
 def _word_lookup(table: dict[str, str]):
     """Lookup function over a literal table.
@@ -22,8 +20,6 @@ def _word_lookup(table: dict[str, str]):
     Map lookups scan their keys, so larger tables are split into small maps
     addressed by a checksum of the word.
     """
-    if len(table) > MAX_INLINE_ENTRIES:
-        raise ValueError(f"more than {MAX_INLINE_ENTRIES} entries: use replace_words_joined")
     slots = max(1, len(table) // 8)
     parts: list[list[Column]] = [[] for _ in range(slots)]
     for key, value in table.items():

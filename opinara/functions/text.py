@@ -158,7 +158,7 @@ def product_name_from_url(c: Column | str, host: str = K.SHOP_HOST_PATTERN, end:
     """Words of the URL slug, each with an upper-case first letter."""
     slug = F.regexp_extract(F.coalesce(_col(c), F.lit("")), rf"{host}/(.+?){end}", 1)
     named = F.transform(
-        F.split(slug, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100000))
+        F.split(slug, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))
     )
     return squeeze(F.array_join(named, " "))
 

@@ -30,7 +30,7 @@ def aspect_table(items: DataFrame) -> DataFrame:
     )
 
 
-def ranked_aspect_table(table: DataFrame, limit: int = 15) -> DataFrame:
+def ranked_aspect_table(table: DataFrame, limit: int | None = None) -> DataFrame:
     return top_rows(table, ["product_id"], [F.desc("mentions"), "aspect"], limit, rank="rank")
 
 
@@ -55,7 +55,7 @@ def weaknesses(table: DataFrame, limit: int = 4) -> DataFrame:
     return top_rows(pool, ["product_id"], order, limit, rank="rank")
 
 
-def opinion_table(items: DataFrame, limit: int = 25) -> DataFrame:
+def opinion_table(items: DataFrame, limit: int | None = None) -> DataFrame:
     """Count, mean confidence and an example sentence per aspect and sentiment.
 
     The example is the first keyword-valid sentence, where the original draws
@@ -101,7 +101,7 @@ def aspect_stats(items: DataFrame) -> DataFrame:
     )
 
 
-def rank_stats(stats: DataFrame, by: list[str], limit: int, rank: str = "rank") -> DataFrame:
+def rank_stats(stats: DataFrame, by: list[str], limit: int | None, rank: str = "rank") -> DataFrame:
     """Per product, the aspects ordered by the given columns, highest first."""
     return top_rows(stats, ["product_id"], [*[F.desc(c) for c in by], "aspect"], limit, rank=rank)
 
@@ -123,7 +123,7 @@ def positive_ratio_by_aspect(stats: DataFrame, limit: int = 8) -> DataFrame:
     return rank_stats(stats, ["positive_ratio", "positive", "total"], limit)
 
 
-def aspect_distribution(stats: DataFrame, limit: int = 8) -> DataFrame:
+def aspect_distribution(stats: DataFrame, limit: int | None = 8) -> DataFrame:
     return rank_stats(stats, ["total"], limit)
 
 

@@ -6,14 +6,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara import constants as K
 from opinara.functions import text as X
 from opinara.functions.numbers import round_up
-
-MAX_FEATURES = 50_000
+from opinara.operators.ranking import number_rows
 
 
 def ngrams(c: Column | str, high: int = 3) -> Column:
@@ -36,12 +35,12 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return grams.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def fit_vocabulary(counts: DataFrame, key: str, min_df: int = 2, max_features: int = MAX_FEATURES) -> DataFrame:
-    """Terms with their document frequency: the most frequent in the corpus, numbered by term."""
+def fit_vocabulary(counts: DataFrame, key: str, min_df: int = 2, max_features: int | None = None) -> DataFrame:
+    """Terms with their document frequency, numbered by term: all, or the ``max_features`` most frequent in the corpus."""
     df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    head = df.orderBy(F.desc("total"), "term").limit(max_features)
-    # at most max_features rows are numbered
-    return head.select("term", "df", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"))
+    if max_features is not None:
+        df = number_rows(df, [F.desc("total"), "term"], "place").filter(F.col("place") <= max_features)
+    return number_rows(df, ["term"], "idx").select("term", "df", (F.col("idx") - 1).cast("int").alias("idx"))
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: Column, key: str) -> DataFrame:

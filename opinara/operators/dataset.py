@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara import constants as K
 from opinara.functions import arrays as R
 from opinara.functions import text as X
-from opinara.operators.ranking import rank_in_group, seeded_hash, top_rows
+from opinara.operators.ranking import number_rows, rank_in_group, seeded_hash, top_rows
 
 
 def training_samples(annotated: DataFrame) -> DataFrame:
@@ -108,16 +108,18 @@ def oversample(train: DataFrame, seed: int = 42) -> DataFrame:
     return rows.withColumns({"text": changed, "is_augmented": c > 0})
 
 
-def vocabulary(samples: DataFrame, text: str = "text", min_freq: int = 2, max_size: int = 40000) -> DataFrame:
+def vocabulary(samples: DataFrame, text: str = "text", min_freq: int = 2, max_size: int | None = None) -> DataFrame:
     """Token ids from 2 in order of frequency, with PAD 0 and UNK 1.
 
-    Only the ``max_size`` leading tokens reach the single numbering task.
+    The ``max_size`` leading tokens, or all. Words are numbered inside ranges
+    and shifted by the sizes of the ranges before, so no task orders them all.
     """
     counts = samples.select(F.explode_outer(X.tokens(text)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    head = counts.orderBy(F.desc("freq"), "word").limit(max_size).filter(F.col("freq") >= min_freq)
-    numbered = head.select(
-        "word", (F.row_number().over(Window.orderBy(F.desc("freq"), "word")) + 1).cast("int").alias("id"), "freq"
-    )
+    counts = counts.filter(F.col("word").isNotNull() & (F.col("freq") >= min_freq))
+    numbered = number_rows(counts, [F.desc("freq"), "word"], "id")
+    if max_size is not None:
+        numbered = numbered.filter(F.col("id") <= max_size)
+    numbered = numbered.select("word", (F.col("id") + 1).cast("int").alias("id"), "freq")
     spark = samples.sparkSession
     special = spark.range(1).select(
         F.explode(F.array(

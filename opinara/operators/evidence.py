@@ -28,7 +28,7 @@ def select_evidence(items: DataFrame, sentiment: str | None = None, limit: int =
     top = top_rows(pool, ["product_id"], [F.desc("confidence"), "item_id", "sentence"], limit, rank="rank")
     return top.select(
         "product_id", "review_id", "aspect", "sentiment", F.col("confidence").cast("double").alias("confidence"),
-        F.substring(F.trim("sentence"), 1, 350).alias("text"), "rank",
+        F.trim("sentence").alias("text"), "rank",
     )
 
 
@@ -62,7 +62,7 @@ def evidence_candidates(items: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFr
     order = [F.desc("confidence"), "item_id", "text"]
     group = ["product_id", "sentiment", "aspect"]
     enough = 2 * limit * (limit - 1) + 1
-    pool = items.withColumn("text", F.substring(F.trim("sentence"), 1, 350)).filter(F.length("text") > 0)
+    pool = items.withColumn("text", F.trim("sentence")).filter(F.length("text") > 0)
     pool = pool.select(*group, "review_id", "confidence", "item_id", "text")
     # most groups are small enough as they are; only the large ones are ranked
     large = items.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > enough).select(*group)

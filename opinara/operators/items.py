@@ -17,12 +17,13 @@ from opinara.operators.ranking import compute_once
 ITEM_SCHEMA = "sentence string, aspect string, sentiment string, confidence double"
 
 
-def explode_sentences(reviews: DataFrame, text: str, lengths: tuple[int, int] = K.SENTENCE_LENGTH) -> DataFrame:
-    """One row per sentence whose length is in range, numbered from 0."""
+def explode_sentences(reviews: DataFrame, text: str, least: int = K.SENTENCE_LENGTH, most: int | None = None) -> DataFrame:
+    """One row per sentence of at least ``least`` characters, and of at most ``most`` if given, numbered from 0."""
     keep = [c for c in reviews.columns if c != text]
     # the outer form keeps the split from being evaluated again in an inferred filter
     out = reviews.select(*keep, F.posexplode_outer(X.sentences(text)).alias("sentence_no", "sentence"))
-    return out.filter(F.length("sentence").between(*lengths))
+    out = out.filter(F.length("sentence") >= least)
+    return out if most is None else out.filter(F.length("sentence") <= most)
 
 
 def item_weight(rating: Column, helpful: Column, confidence: Column) -> Column:
@@ -92,13 +93,13 @@ def product_score(items: DataFrame) -> DataFrame:
     )
 
 
-def cap_reviews(reviews: DataFrame, order: list, k: int = K.REVIEW_CAP) -> DataFrame:
+def cap_reviews(reviews: DataFrame, order: list, k: int) -> DataFrame:
     """The first ``k`` reviews of each product: a limit of the analysis itself."""
     rank = F.row_number().over(Window.partitionBy("product_id").orderBy(*order))
     return reviews.withColumn("__n", rank).filter(F.col("__n") <= k).drop("__n")
 
 
-def cap_item_reviews(items: DataFrame, k: int = K.COMPARE_REVIEW_CAP) -> DataFrame:
+def cap_item_reviews(items: DataFrame, k: int) -> DataFrame:
     """Items of the first ``k`` reviews of each product."""
     rank = F.dense_rank().over(Window.partitionBy("product_id").orderBy("review_id"))
     return items.withColumn("__n", rank).filter(F.col("__n") <= k).drop("__n")
@@ -108,8 +109,8 @@ def _texts(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def rule_items(df: DataFrame, sentence: str = "sentence") -> DataFrame:
-    """Rule scorer: keyword sentiment, and the first four matching aspects."""
+def rule_items(df: DataFrame, sentence: str = "sentence", limit: int | None = None) -> DataFrame:
+    """Rule scorer: keyword sentiment, and the matching aspects, all or the first ``limit``."""
     lists = [K.POSITIVE_WORDS, K.NEGATIVE_WORDS, *K.REQUIRED_KEYWORDS.values(), *K.FORBIDDEN_KEYWORDS.values()]
     every = list(dict.fromkeys(w for words in lists for w in words))
     # each word is looked for once; the tests below read the few that occur
@@ -124,7 +125,8 @@ def rule_items(df: DataFrame, sentence: str = "sentence") -> DataFrame:
         if code in K.FORBIDDEN_KEYWORDS:
             ok = ok & ~found_in(K.FORBIDDEN_KEYWORDS[code])
         aspects.append(F.when(ok, F.lit(code)))
-    found = F.slice(F.array_compact(F.array(*aspects)), 1, 4)
+    found = F.array_compact(F.array(*aspects))
+    found = F.slice(found, 1, limit) if limit else found
     return (
         df.withColumn("__diff", diff)
         .withColumns({

@@ -28,11 +28,22 @@ def _both(human: DataFrame, model: DataFrame, columns: list[Column]) -> DataFram
     return h.unionByName(m)
 
 
-def quad_matches(human: DataFrame, model: DataFrame, match: str = "partial") -> DataFrame:
+Reviewed = tuple[DataFrame, DataFrame] | None
+
+
+def _common(human: DataFrame, model: DataFrame, reviewed: Reviewed) -> DataFrame:
+    """Reviews that both sides labelled, with quadruples or without."""
+    a, b = (df.select("review_id").distinct() for df in (reviewed or (human, model)))
+    return a.join(b, "review_id", "left_semi")
+
+
+def quad_matches(human: DataFrame, model: DataFrame, match: str = "partial", reviewed: Reviewed = None) -> DataFrame:
     """Per review: sizes of both sets, tp, fp, fn and exact match.
 
-    Only reviews labelled by both sides are kept. ``partial`` compares category
-    and sentiment, ``full`` all four fields.
+    Reviews labelled by both sides are kept. ``reviewed`` names the reviews
+    that each side labelled, as a review may have been found to hold nothing;
+    without it, only reviews with quadruples count as labelled. ``partial``
+    compares category and sentiment, ``full`` all four fields.
     """
     key = [_norm("aspect_category", True).alias("k1"), _norm("sentiment").alias("k2")]
     if match == "full":
@@ -44,7 +55,7 @@ def quad_matches(human: DataFrame, model: DataFrame, match: str = "partial") ->
         count_if(h).alias("human_quads"), count_if(m).alias("model_quads"), count_if(h & m).alias("tp"),
         count_if(m & ~h).alias("fp"), count_if(h & ~m).alias("fn"),
     )
-    out = out.filter((F.col("human_quads") > 0) & (F.col("model_quads") > 0))
+    out = _common(human, model, reviewed).join(out, "review_id", "left").na.fill(0)
     return out.withColumn("exact_match", (F.col("fp") == 0) & (F.col("fn") == 0))
 
 
@@ -62,7 +73,7 @@ def quad_f1(per_review: DataFrame, match: str = "partial") -> DataFrame:
     )
 
 
-def category_counts(human: DataFrame, model: DataFrame) -> DataFrame:
+def category_counts(human: DataFrame, model: DataFrame, reviewed: Reviewed = None) -> DataFrame:
     """tp, fp, fn, tn of each category's presence, and the number of reviews.
 
     The categories of a review are one bit mask per side, so a review is one
@@ -72,8 +83,8 @@ def category_counts(human: DataFrame, model: DataFrame) -> DataFrame:
     mask = F.coalesce(lookup(F.col("c"), CATEGORY_BIT), F.lit(0))
     per = rows.groupBy("review_id").agg(
         F.bit_or(F.when(F.col("h"), mask).otherwise(0)).alias("hm"), F.bit_or(F.when(F.col("m"), mask).otherwise(0)).alias("mm"),
-        F.max("h").alias("h"), F.max("m").alias("m"),
-    ).filter(F.col("h") & F.col("m"))
+    )
+    per = _common(human, model, reviewed).join(per, "review_id", "left").na.fill(0)
     aggs = [F.count("*").alias("n")]
     for i in range(len(K.CATEGORIES)):
         h, m = F.col("hm").bitwiseAND(1 << i) != 0, F.col("mm").bitwiseAND(1 << i) != 0

@@ -114,8 +114,9 @@ def scope_risks(questions: DataFrame, risks: DataFrame) -> DataFrame:
     return rows.filter(keep).select("question_id", "product_id", "intent", "risk_type", "severity", "rank")
 
 
-def citations(evidence: Column, limit: int = 4) -> Column:
-    cited = F.filter(F.slice(evidence, 1, limit), lambda e: F.coalesce(e["text"], F.lit("")) != "")
+def citations(evidence: Column, limit: int | None = None) -> Column:
+    kept = evidence if limit is None else F.slice(evidence, 1, limit)
+    cited = F.filter(kept, lambda e: F.coalesce(e["text"], F.lit("")) != "")
     return F.transform(
         cited, lambda e: F.struct(e["aspect"].alias("aspect"), X.summarize_opinion(e["text"]).alias("evidence"))
     )

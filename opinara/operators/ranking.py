@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.session import materialise
+
 RANK_BUCKETS = 4096
 
 
@@ -18,8 +20,8 @@ def compute_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(expr)).alias(name))
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list, k: int, rank: str | None = None) -> DataFrame:
-    """The first ``k`` rows of each key in ``order``, which should be total.
+def top_rows(df: DataFrame, keys: list[str], order: list, k: int | None, rank: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each key in ``order``, which should be total; all rows, numbered, without ``k``.
 
     ``row_number() <= k`` is planned with a group limit before the shuffle, so
     each task sends at most ``k`` rows of a key, however hot the key is.
@@ -28,7 +30,8 @@ def top_rows(df: DataFrame, keys: list[str], order: list, k: int, rank: str | No
     if len(keys) > 1:
         # rows sort by the eight bytes of a hash first, and by the keys only on a tie
         df, keys = df.withColumn("__key", F.xxhash64(*keys)), ["__key", *keys]
-    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    out = out if k is None else out.filter(F.col(name) <= k)
     return out.drop("__key") if rank else out.drop("__key", name)
 
 
@@ -42,6 +45,20 @@ def seeded_hash(seed: int, *cols: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows numbered from 1 in a total ``order``.
+
+    The rows are sorted into ranges once, as a written table, and numbered
+    inside them; the ranges' sizes, one row each, give the numbers before.
+    """
+    part = F.spark_partition_id()
+    rows = df.repartitionByRange(*order).withColumn("__part", part)
+    rows = materialise(rows.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order))), "numbered")
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return rows.join(before, "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
+
+
 def rank_in_group(df: DataFrame, keys: list[str], hash_col: str, ties: list[str], rank: str,
                   total: str | None = None, buckets: int = RANK_BUCKETS) -> DataFrame:
     """Exact rank by ``hash_col`` (then ``ties``) inside each key.

@@ -12,55 +12,39 @@ from opinara.operators.ranking import top_rows
 
 
 def similar_products(products: DataFrame, categories: DataFrame, listing: DataFrame | None = None,
-                     pool: int = K.CANDIDATE_POOL, top_k: int = K.RECOMMENDATION_TOP_K) -> DataFrame:
+                     top_k: int = K.RECOMMENDATION_TOP_K) -> DataFrame:
     """Best-rated products sharing category level 3 or 2, per product.
 
-    The pool of a product is the first ``pool`` candidates by id, itself left
-    out. Instead of pairing products inside a category, the pool is worked out
-    once per category pair: its first ``pool + 1`` ids serve every product of
-    the pair, since leaving one product out frees at most one place. Each
-    product then joins a single row.
+    Instead of pairing products inside a category, the best ``top_k + 1`` of
+    each category serve all its products, since a product leaves out only
+    itself. Products of the same two categories then join a single short list.
     """
     ids = categories.select("product_id", "category_lv2", "category_lv3").distinct()
-
-    def head(level: str) -> DataFrame:
-        group = ids.select(F.col(level).alias("group"), "product_id").filter(F.col("group") != "").distinct()
-        return top_rows(group, ["group"], ["product_id"], pool + 1)
-
-    own = top_rows(ids, ["product_id"], ["category_lv3", "category_lv2"], 1)
-    pairs = own.select("category_lv2", "category_lv3").distinct()
-    by3 = pairs.join(head("category_lv3"), F.col("category_lv3") == F.col("group")).drop("group")
-    by2 = pairs.join(head("category_lv2"), F.col("category_lv2") == F.col("group")).drop("group")
-    pair = ["category_lv2", "category_lv3"]
-    members = top_rows(by3.unionByName(by2).distinct(), pair, ["product_id"], pool + 1, rank="place")
-
-    info = products.select("product_id", "name", "price", "rating_average")
+    info = products.filter(F.col("name").isNotNull()).select("product_id", "name", "price", "rating_average")
     if listing is not None:
         info = info.join(listing.select("product_id", "quantity_sold"), "product_id", "left")
     else:
         info = info.withColumn("quantity_sold", F.lit(0))
-    known = members.join(info.filter(F.col("name").isNotNull()), "product_id", "left")
-
-    candidate = F.struct(
-        # sort keys first: rating and sales high to low, then id
-        (-F.coalesce(F.col("rating_average").cast("double"), F.lit(-1.0))).alias("k1"),
-        (-F.coalesce(F.col("quantity_sold").cast("bigint"), F.lit(0))).alias("k2"),
-        "product_id", "name", F.col("price").cast("double").alias("price"),
-        F.col("rating_average").cast("double").alias("rating_average"), "place",
+    info = info.select(
+        "product_id", "name", F.col("price").cast("double").alias("price"), F.col("rating_average").cast("double").alias("rating_average"),
+        (-F.coalesce(F.col("rating_average").cast("double"), F.lit(-1.0))).alias("k1"), (-F.coalesce(F.col("quantity_sold").cast("bigint"), F.lit(0))).alias("k2"),
     )
-    # at most pool + 1 rows per pair
-    lists = known.groupBy(*pair).agg(
-        F.sort_array(F.collect_list(F.when(F.col("name").isNotNull(), candidate))).alias("ranked"),
-        F.collect_set("product_id").alias("ids"),
-    )
-    outside = F.slice(F.filter("ranked", lambda c: c["place"] <= pool), 1, top_k)
-    lists = lists.select(*pair, "ids", outside.alias("outside"), F.slice("ranked", 1, top_k + 1).alias("inside"))
-    rows = own.join(lists, pair)
-    chosen = F.when(
-        F.array_contains("ids", F.col("product_id")),
-        F.slice(F.filter("inside", lambda c: c["product_id"] != F.col("product_id")), 1, top_k),
-    ).otherwise(F.col("outside"))
-    return rows.select("product_id", F.posexplode(chosen).alias("pos", "c")).select(
+    order = ["k1", "k2", "product_id"]
+
+    def best(level: str) -> DataFrame:
+        group = ids.select(F.col(level).alias("group"), "product_id").filter(F.col("group") != "").distinct()
+        return top_rows(group.join(info, "product_id"), ["group"], order, top_k + 1)
+
+    own = top_rows(ids, ["product_id"], ["category_lv3", "category_lv2"], 1)
+    pair = ["category_lv2", "category_lv3"]
+    pairs = own.select(*pair).distinct()
+    by3 = pairs.join(best("category_lv3"), F.col("category_lv3") == F.col("group")).drop("group")
+    by2 = pairs.join(best("category_lv2"), F.col("category_lv2") == F.col("group")).drop("group")
+    # at most 2 * (top_k + 1) rows per pair
+    candidate = F.struct(*order, "name", "price", "rating_average")
+    lists = by3.unionByName(by2).distinct().groupBy(*pair).agg(F.sort_array(F.collect_list(candidate)).alias("ranked"))
+    others = F.slice(F.filter("ranked", lambda c: c["product_id"] != F.col("product_id")), 1, top_k)
+    return own.join(lists, pair).select("product_id", F.posexplode(others).alias("pos", "c")).select(
         "product_id",
         F.col("c.product_id").alias("candidate_id"),
         F.col("c.name").alias("name"),
@@ -71,12 +55,14 @@ def similar_products(products: DataFrame, categories: DataFrame, listing: DataFr
     )
 
 
-def compare_with_top(recommended: DataFrame, items: DataFrame, review_cap: int = K.COMPARE_REVIEW_CAP) -> DataFrame:
-    """Unweighted aspect scores of each product's best recommendation."""
+def compare_with_top(recommended: DataFrame, items: DataFrame, review_cap: int | None = None) -> DataFrame:
+    """Unweighted aspect scores of each product's best recommendation, from all its reviews or the first ``review_cap``."""
     top = recommended.filter(F.col("rank") == 1).select("product_id", "candidate_id")
     wanted = top.select(F.col("candidate_id").alias("product_id")).distinct()
-    capped = cap_item_reviews(items.join(wanted, "product_id", "left_semi"), review_cap)
-    scores = capped.groupBy(F.col("product_id").alias("candidate_id"), "aspect").agg(
+    rated = items.join(wanted, "product_id", "left_semi")
+    if review_cap is not None:
+        rated = cap_item_reviews(rated, review_cap)
+    scores = rated.groupBy(F.col("product_id").alias("candidate_id"), "aspect").agg(
         round_up(clamp01((F.sum("sentiment_score") / F.count("*") + 1) / 2)).alias("score")
     )
     return top.join(scores, "candidate_id").select("product_id", "candidate_id", "aspect", "score")
@@ -109,7 +95,7 @@ def representative_reviews(reviews: DataFrame, scores: DataFrame) -> DataFrame:
     once = top_rows(rows, ["product_id", "review_id"], ["__role"], 1)
     kept = top_rows(once, ["product_id", "role"], [F.desc("helpful_count"), "review_id"], 1)
     return kept.select(
-        "product_id", "review_id", "role", F.substring("clean_text", 1, 500).alias("text"), "label", "rating", "score"
+        "product_id", "review_id", "role", F.col("clean_text").alias("text"), "label", "rating", "score"
     )
 
 

@@ -30,7 +30,7 @@ def opinion_chunks(items: DataFrame) -> DataFrame:
         F.explode_outer(F.array(X.compress("sentence"))).alias("text"), "item_id",
     ).filter(indexable(F.col("text"), F.col("aspect"), F.col("sentiment")))
     out = out.withColumn("low", F.lower("text"))
-    out = first_rows(out, ["product_id", "review_id", "aspect", "sentiment", "low"], ["item_id", "text"])
+    out = first_rows(out, ["product_id", "review_id", "aspect", "sentiment", "low"], ["item_id", F.desc("confidence"), "text"])
     columns = [F.col(c) for c in ("product_id", "review_id", "aspect", "sentiment", "text")]
     return out.select(
         X.point_id(*columns).alias("point_id"), *columns, "confidence", chunk_label(F.col("aspect")).alias("aspect_label")

@@ -49,13 +49,13 @@ def merge_reviews(reviews: DataFrame, products: DataFrame, categories: DataFrame
     return keyed.join(info, "product_id", "left").join(cats, "product_id", "left")
 
 
-def text_or_fallback(df: DataFrame, columns: list[str], id_col: str = "review_id", limit: int = 2048) -> DataFrame:
-    """First non-empty of the text columns, cut to ``limit``; rows without id or text dropped."""
+def text_or_fallback(df: DataFrame, columns: list[str], id_col: str = "review_id", limit: int | None = None) -> DataFrame:
+    """First non-empty of the text columns, cut to ``limit`` if given; rows without id or text dropped."""
     # a blank column stops the search, as only empty strings fall through
     text = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns if c in df.columns])
     out = df.select(X.strip_ws(F.col(id_col).cast("string")).alias("review_id"), X.strip_ws(text).alias("text"))
     out = out.filter((F.length("review_id") > 0) & (F.length("text") > 0))
-    return out.withColumn("text", F.substring("text", 1, limit))
+    return out if limit is None else out.withColumn("text", F.substring("text", 1, limit))
 
 
 def exclude_categories(df: DataFrame, column: str, unwanted: list[str]) -> DataFrame:

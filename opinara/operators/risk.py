@@ -31,7 +31,7 @@ def detect_risks(items: DataFrame, fold_accents: bool = False) -> DataFrame:
         F.sum(confidence * (base + boost)).cast("double").alias("total"),
         F.count("*").alias("n"),
         F.max_by(
-            F.struct(F.substring("sentence", 1, 350).alias("evidence"), "review_id"),
+            F.struct(F.col("sentence").alias("evidence"), "review_id"),
             F.struct(F.coalesce("confidence", dec("0")), -F.col("item_id")),
         ).alias("best"),
     )

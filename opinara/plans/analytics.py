@@ -70,7 +70,7 @@ risk_sums AS (
   SELECT product_id, risk_type, CAST(sum(confidence * w) AS DOUBLE) AS total, count(*) AS n
   FROM risk_items GROUP BY ALL),
 risk_best AS (
-  SELECT product_id, risk_type, substr(sentence, 1, 350) AS evidence, review_id FROM risk_items
+  SELECT product_id, risk_type, sentence AS evidence, review_id FROM risk_items
   QUALIFY row_number() OVER (PARTITION BY product_id, risk_type ORDER BY confidence DESC, item_id) = 1),
 risks0 AS (
   SELECT product_id, risk_type,
@@ -94,9 +94,9 @@ PURCHASE = f"""scores AS (
     GROUP BY product_id))"""
 
 
-def _top(source: str, order: str, k: int, where: str = "TRUE", cols: str = "*") -> str:
+def _top(source: str, order: str, k: int | None, where: str = "TRUE", cols: str = "*") -> str:
     return f"""SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {order}) AS rank
-  FROM {source} WHERE {where}) WHERE rank <= {k}"""
+  FROM {source} WHERE {where}){f" WHERE rank <= {k}" if k else ""}"""
 
 
 # ---------------------------------------------------------------- queries
@@ -105,7 +105,7 @@ def aspect_table(spark: SparkSession, d: str) -> DataFrame:
     return A.aspect_table(V.aspect_items(spark, d))
 
 
-@query("aspect_table_ranked", with_views(ITEMS, ASPECT_TABLE, body=_top("aspect_table", "mentions DESC, aspect", 15)))
+@query("aspect_table_ranked", with_views(ITEMS, ASPECT_TABLE, body=_top("aspect_table", "mentions DESC, aspect", None)))
 def aspect_table_ranked(spark: SparkSession, d: str) -> DataFrame:
     return A.ranked_aspect_table(A.aspect_table(V.aspect_items(spark, d)))
 
@@ -283,7 +283,7 @@ OPINIONS = f"""opinions AS (
     c.confidence, coalesce(e.sentence, '') AS example, c.rank
   FROM ({_top("(SELECT product_id, aspect, sentiment, count(*) AS count,"
     " round(CAST(sum(confidence) AS DOUBLE) / count(*) + 1e-9, 3) AS confidence FROM items GROUP BY ALL)",
-    "count DESC, aspect, sentiment", 25)}) c
+    "count DESC, aspect, sentiment", None)}) c
   LEFT JOIN (SELECT product_id, aspect, sentiment, sentence FROM items WHERE {_keyword_sql()}
     QUALIFY row_number() OVER (PARTITION BY product_id, aspect, sentiment ORDER BY item_id, sentence) = 1) e
   ON c.product_id = e.product_id AND c.aspect = e.aspect AND c.sentiment = e.sentiment)"""
@@ -354,20 +354,18 @@ RECOMMEND = """own AS (
   QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY category_lv3, category_lv2) = 1),
 members AS (SELECT DISTINCT product_id, category_lv2, category_lv3 FROM categories),
 outsider AS (
-  SELECT p.category_lv2, p.category_lv3, m.product_id,
-    row_number() OVER (PARTITION BY p.category_lv2, p.category_lv3 ORDER BY m.product_id) AS place
+  SELECT p.category_lv2, p.category_lv3, m.product_id
   FROM (SELECT DISTINCT category_lv2, category_lv3 FROM own) p
   JOIN (SELECT DISTINCT product_id, category_lv2 FROM members) m ON p.category_lv2 = m.category_lv2),
 cand AS (
-  SELECT o.product_id, c.product_id AS candidate_id, row_number() OVER (PARTITION BY o.product_id ORDER BY place) AS n
-  FROM own o JOIN outsider c USING (category_lv2, category_lv3) WHERE c.place <= 101 AND c.product_id <> o.product_id),
+  SELECT o.product_id, c.product_id AS candidate_id
+  FROM own o JOIN outsider c USING (category_lv2, category_lv3) WHERE c.product_id <> o.product_id),
 recommended AS (
   SELECT c.product_id, candidate_id, p.name, p.price, p.rating_average,
     round(p.rating_average / 5 + 1e-9, 4) AS rating_score,
     row_number() OVER (PARTITION BY c.product_id ORDER BY p.rating_average DESC, coalesce(quantity_sold, 0) DESC, candidate_id)
       AS rank
   FROM cand c JOIN products p ON p.product_id = c.candidate_id LEFT JOIN listing l ON l.product_id = c.candidate_id
-  WHERE n <= 100
   QUALIFY rank <= 5)"""
 
 
@@ -381,8 +379,7 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
   SELECT r.product_id, candidate_id, aspect, score FROM recommended r JOIN (
     SELECT product_id, aspect,
       round(greatest(0.0, least(1.0, (sum(sentiment_score)::DOUBLE / count(*) + 1) / 2)) + 1e-9, 4) AS score
-    FROM (SELECT *, dense_rank() OVER (PARTITION BY product_id ORDER BY review_id) AS n FROM items) WHERE n <= 50
-    GROUP BY ALL) s ON s.product_id = r.candidate_id WHERE rank = 1"""))
+    FROM items GROUP BY ALL) s ON s.product_id = r.candidate_id WHERE rank = 1"""))
 def compare_top1(spark: SparkSession, d: str) -> DataFrame:
     recommended = R.similar_products(V.products(spark, d), V.categories(spark, d), V.listing(spark, d))
     return R.compare_with_top(recommended, V.aspect_items(spark, d))
@@ -414,7 +411,7 @@ LOCAL_SCORES = """local_scores AS (
       ANTI JOIN best b ON v.product_id = b.product_id AND v.review_id = b.review_id
       ) x ANTI JOIN worst_any w ON x.product_id = w.product_id AND x.review_id = w.review_id
     QUALIFY row_number() OVER (PARTITION BY x.product_id ORDER BY helpful_count DESC, review_id) = 1)""",
-  body="""SELECT product_id, review_id, role, substr(clean_text, 1, 500) AS text, label, rating, score FROM (
+  body="""SELECT product_id, review_id, role, clean_text AS text, label, rating, score FROM (
     SELECT * FROM best UNION ALL SELECT * FROM worst UNION ALL SELECT * FROM helpful)"""))
 def representative_reviews(spark: SparkSession, d: str) -> DataFrame:
     pre = preprocess_reviews(V.reviews(spark, d))
@@ -430,7 +427,7 @@ def cap_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("evidence_select", with_views(ITEMS_T, body="""SELECT product_id, review_id, aspect, sentiment,
-    CAST(confidence AS DOUBLE) AS confidence, substr(sentence, 1, 350) AS text, rank FROM (
+    CAST(confidence AS DOUBLE) AS confidence, sentence AS text, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY confidence DESC, item_id, sentence) AS rank FROM items
     WHERE sentiment = 'negative') WHERE rank <= 4"""))
 def evidence_select(spark: SparkSession, d: str) -> DataFrame:

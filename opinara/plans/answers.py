@@ -98,12 +98,12 @@ def quote_pick(spark: SparkSession, d: str) -> DataFrame:
     return EV.pick_quotes(_items(spark, d))
 
 
-@query("quote_pick_corpus", with_views(ITEMS_T, f"""corpus AS (SELECT aspect, sentiment, sentence FROM items WHERE annotator = 'human' AND helpful_count > 25
+@query("quote_pick_corpus", with_views(ITEMS_T, f"""corpus AS (SELECT aspect, sentiment, sentence FROM items WHERE annotator = 'human'
     QUALIFY row_number() OVER (PARTITION BY aspect, sentiment ORDER BY length(sentence) DESC, sentence) = 1)""",
   body="""SELECT DISTINCT i.product_id, i.aspect, i.sentiment, 0 AS tier, c.sentence AS quote FROM items i JOIN corpus c USING (aspect, sentiment)"""))
 def quote_pick_corpus(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    corpus = items.filter((F.col("annotator") == "human") & (F.col("helpful_count") > 25)).select(
+    corpus = items.filter(F.col("annotator") == "human").select(
         F.col("aspect").alias("aspect_category"), "sentiment", F.col("sentence").alias("text_preview")
     )
     return EV.pick_quotes(items, corpus)
@@ -113,7 +113,7 @@ def quote_pick_corpus(spark: SparkSession, d: str) -> DataFrame:
 @query("opinion_chunks", with_views(ITEMS_T, body=f"""SELECT CAST(('0x' || substr(sha1(product_id || '|' || review_id || '|' || aspect || '|' || sentiment || '|' || sentence), 1, 16))::UBIGINT AS DECIMAL(20,0)) AS point_id,
     product_id, review_id, aspect, sentiment, sentence AS text, CAST(confidence AS DOUBLE) AS confidence, {sql_case('aspect', K.ASPECT_LABELS, 'aspect')} AS aspect_label
   FROM items WHERE length(sentence) >= 24
-  QUALIFY row_number() OVER (PARTITION BY product_id, review_id, aspect, sentiment, lower(sentence) ORDER BY item_id, sentence) = 1"""))
+  QUALIFY row_number() OVER (PARTITION BY product_id, review_id, aspect, sentiment, lower(sentence) ORDER BY item_id, confidence DESC, sentence) = 1"""))
 def opinion_chunks(spark: SparkSession, d: str) -> DataFrame:
     return RT.opinion_chunks(_items(spark, d))
 
@@ -121,13 +121,13 @@ def opinion_chunks(spark: SparkSession, d: str) -> DataFrame:
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vectors = V.table(spark, d, "embeddings").withColumn("vector", R.l2_normalize(F.col("embedding")))
     codes = F.array(*[F.lit(c) for c in K.CATEGORIES])
-    chunks = vectors.filter("vec_id >= 20").select(
+    chunks = vectors.select(
         F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("product_id"),
         F.element_at(codes, (F.col("vec_id") % 17 + 1).cast("int")).alias("aspect"),
         F.element_at(F.array(*[F.lit(s) for s in K.SENTIMENTS]), (F.col("vec_id") % 3 + 1).cast("int")).alias("sentiment"), "vector",
     )
     negative = F.array(F.lit("negative"), F.lit("neutral"))
-    queries = vectors.filter("vec_id < 20").select(
+    queries = vectors.filter("vec_id % 20 = 0").select(
         F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("product_id"), F.col("vector").alias("q_vector"),
         F.when(F.col("vec_id") % 2 == 0, negative).alias("sentiments"),
         F.when(F.col("vec_id") % 5 == 0, F.slice(codes, 1, 9)).otherwise(F.slice(codes, 1, 0)).alias("aspects"),
@@ -140,7 +140,7 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
       list_extract([{sql_list(K.CATEGORIES)}], CAST(c.vec_id % 17 + 1 AS INT)) AS aspect,
       list_extract([{sql_list(K.SENTIMENTS)}], CAST(c.vec_id % 3 + 1 AS INT)) AS sentiment,
       round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) + 1e-9, 6) AS semantic_score
-    FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id < 20 AND c.vec_id >= 20
+    FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 20 = 0
     WHERE (q.vec_id % 2 <> 0 OR sentiment IN ('negative', 'neutral')) AND (q.vec_id % 5 <> 0 OR c.vec_id % 17 < 9))
   QUALIFY rank <= 8""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -227,15 +227,14 @@ def accept_analysis(spark: SparkSession, d: str) -> DataFrame:
     return Q.accept_analysis(rules, external).select("question_id", "intent", "confidence", "source")
 
 
-def _stats8(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _all_stats(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = V.aspect_items(spark, d)
-    stats = A.aspect_distribution(A.aspect_stats(items), 8).drop("rank", "mean_confidence")
+    stats = A.aspect_distribution(A.aspect_stats(items), None).drop("rank", "mean_confidence")
     return stats, items.groupBy("product_id").agg(F.count("*").alias("records"))
 
 
-SCOPE = """stats8 AS (SELECT * FROM stats QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY total DESC, aspect) <= 8),
-scope0 AS (SELECT a.question_id, a.product_id, a.intent, intent IN ('PRODUCT_FIT', 'ASPECT_QA', 'PRICE_VALUE', 'DELIVERY_SERVICE') AND len(target_aspects) > 0 AS scoped,
-    target_aspects, s.* EXCLUDE (product_id) FROM analyzed a JOIN stats8 s ON a.product_id = s.product_id),
+SCOPE = """scope0 AS (SELECT a.question_id, a.product_id, a.intent, intent IN ('PRODUCT_FIT', 'ASPECT_QA', 'PRICE_VALUE', 'DELIVERY_SERVICE') AND len(target_aspects) > 0 AS scoped,
+    target_aspects, s.* EXCLUDE (product_id) FROM analyzed a JOIN stats s ON a.product_id = s.product_id),
 scope1 AS (SELECT *, (NOT scoped OR list_contains(target_aspects, aspect)) AND (NOT scoped OR positive > 0) AS in_positive,
     (NOT scoped OR list_contains(target_aspects, aspect)) AND (NOT scoped OR negative > 0) AS in_negative FROM scope0),
 scope AS (SELECT question_id, product_id, intent, aspect, positive, neutral, negative, total, positive_ratio, negative_ratio, avg_confidence, in_positive, in_negative,
@@ -245,7 +244,7 @@ scope AS (SELECT question_id, product_id, intent, aspect, positive, neutral, neg
 
 @query("question_scope", with_views(ITEMS, STATS, V.QUESTIONS_SQL, RULES, SCOPE, body="SELECT * FROM scope"))
 def question_scope(spark: SparkSession, d: str) -> DataFrame:
-    return Q.scope_stats(_analyzed(spark, d), *_stats8(spark, d))
+    return Q.scope_stats(_analyzed(spark, d), *_all_stats(spark, d))
 
 
 RISK_OF = sql_case("x", {a: n for a, (n, _) in K.RISK_ASPECTS.items()})
@@ -265,7 +264,7 @@ def question_risks(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT question_id, max(total_aspect_records) AS records, count(*) FILTER (WHERE in_positive) AS evidence,
       sum(avg_confidence) / count(*) AS conf, sum(negative)::DOUBLE AS neg, sum(total)::DOUBLE AS tot FROM scope GROUP BY 1))"""))
 def answer_confidence(spark: SparkSession, d: str) -> DataFrame:
-    scope = Q.scope_stats(_analyzed(spark, d), *_stats8(spark, d))
+    scope = Q.scope_stats(_analyzed(spark, d), *_all_stats(spark, d))
     evidence = scope.groupBy("question_id").agg(F.count(F.when(F.col("in_positive"), 1)).alias("evidence"))
     return S.answer_confidence(scope, evidence, ["question_id"])
 
@@ -333,4 +332,4 @@ def answer_facts(spark: SparkSession, d: str) -> DataFrame:
     asked = _analyzed(spark, d)
     risks = detect_risks(items)
     evidence = EV.evidence_for_questions(asked.select("question_id", "product_id", "intent", "target_aspects"), items, risks)
-    return Q.answer_facts(asked, evidence, Q.scope_stats(asked, *_stats8(spark, d)), Q.scope_risks(asked, risks))
+    return Q.answer_facts(asked, evidence, Q.scope_stats(asked, *_all_stats(spark, d)), Q.scope_risks(asked, risks))

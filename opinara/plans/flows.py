@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara import constants as K
 from opinara.functions import text as X
 from opinara.operators import aspects as A
 from opinara.operators.risk import detect_risks
 from opinara.plans import jobs
 from opinara.plans.analytics import ASPECT_TABLE, ITEMS, ITEMS_T, PURCHASE, RISKS
 from opinara.plans.answers import hashing_embedder
-from opinara.plans.labelling import POS, QUADS, _f1_sql, _match_sql, _sides
+from opinara.plans.labelling import POS, QUADS, _f1_sql, _match_sql, _reviewed, _sides
 from opinara.plans.registry import query, with_views
 from opinara.plans.texts import CLEANED, LEXICON
 from opinara.plans.training import SPLIT, _draw
@@ -41,7 +42,7 @@ def _product_payloads(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_retailprice").alias("price"), sometimes(3, F.col("p_retailprice") + 10).alias("list_price"),
         sometimes(4, F.struct(F.col("p_size").alias("qty"))).alias("stock_item"),
         sometimes(5, F.struct(F.lit("b").alias("id"), F.col("p_brand").alias("name"))).alias("brand"),
-        F.when(n % 2 == 0, F.concat(F.lit("https://tiki.vn/x-p"), n.cast("string"), F.lit(".html"))).otherwise("").alias("short_url"),
+        F.when(n % 2 == 0, F.concat(F.lit(K.SHOP_URL + "x-p"), n.cast("string"), F.lit(".html"))).otherwise("").alias("short_url"),
         F.concat(F.lit("<div><p>"), "p_name", F.lit("</p><script>x</script>&amp; <b>"), "p_type", F.lit("</b></div>")).alias("description"),
         specs.alias("specifications"),
         sometimes(7, F.struct(F.lit("s").alias("name"), (n % 2 == 0).alias("is_official"))).alias("current_seller"),
@@ -51,11 +52,11 @@ def _product_payloads(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "part").select(F.to_json(body).alias("payload"), n.alias("n"), F.col("p_size").alias("sold"))
 
 
-@query("flatten_product", """SELECT CAST(p_partkey AS VARCHAR) AS product_id, 'sku' || CAST(p_partkey AS VARCHAR) AS sku, p_name AS name, p_retailprice AS price,
+@query("flatten_product", f"""SELECT CAST(p_partkey AS VARCHAR) AS product_id, 'sku' || CAST(p_partkey AS VARCHAR) AS sku, p_name AS name, p_retailprice AS price,
   CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice + 10 END AS list_price, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS BIGINT) END AS stock_qty,
   CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS brand_name,
-  CASE WHEN p_partkey % 2 = 0 THEN 'https://tiki.vn/x-p' || CAST(p_partkey AS VARCHAR) || '.html' ELSE 'https://tiki.vn/p/' || CAST(p_partkey AS VARCHAR) END AS product_url,
-  p_name || ' & ' || p_type AS description, '{"type":"' || p_brand || '","size":"' || CAST(p_size AS VARCHAR) || '"}' AS specifications,
+  CASE WHEN p_partkey % 2 = 0 THEN '{K.SHOP_URL}x-p' || CAST(p_partkey AS VARCHAR) || '.html' ELSE '{K.SHOP_URL}p/' || CAST(p_partkey AS VARCHAR) END AS product_url,
+  p_name || ' & ' || p_type AS description, '{{"type":"' || p_brand || '","size":"' || CAST(p_size AS VARCHAR) || '"}}' AS specifications,
   CASE WHEN p_partkey % 7 <> 0 THEN 's' END AS seller_name, p_partkey % 7 <> 0 AND p_partkey % 2 = 0 AS seller_is_official FROM part""")
 def flatten_product(spark: SparkSession, d: str) -> DataFrame:
     out = P.flatten_products(_product_payloads(spark, d))
@@ -67,7 +68,7 @@ def flatten_product(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flatten_product_page", """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS name, CAST(trunc(p_retailprice) AS BIGINT) AS price,
   CAST(trunc(CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice + 10 ELSE p_retailprice END) AS BIGINT) AS original_price, CAST(p_size AS BIGINT) AS sold_quantity,
-  'img0' AS thumbnail_url, array_to_string(list_transform(list_filter(range(0, p_size % 9 + 1), lambda i: i % 4 <> 1)[1:6], lambda i: 'img' || CAST(i AS VARCHAR)), '|') AS images,
+  'img0' AS thumbnail_url, array_to_string(list_transform(list_filter(range(0, p_size % 9 + 1), lambda i: i % 4 <> 1), lambda i: 'img' || CAST(i AS VARCHAR)), '|') AS images,
   'Mẹ & Bé' AS category_lv1, p_type AS category_lv2, '' AS category_lv3 FROM part""")
 def flatten_product_page(spark: SparkSession, d: str) -> DataFrame:
     rows = _product_payloads(spark, d)
@@ -330,13 +331,13 @@ def build_dataset(spark: SparkSession, d: str) -> DataFrame:
 @query("label_quality", with_views(*QUADS, _match_sql("aspect_category, sentiment"), f"""f AS ({_f1_sql('partial')})""",
   body="SELECT 'quadruples' AS metric, 'partial' AS name, figure, value FROM (UNPIVOT (SELECT precision, recall, f1, exact_match, n_reviews::DOUBLE AS n_reviews FROM f) ON COLUMNS(*) INTO NAME figure VALUE value)"))
 def label_quality(spark: SparkSession, d: str) -> DataFrame:
-    out = jobs.label_quality(*_sides(spark, d), POS)
+    out = jobs.label_quality(*_sides(spark, d), POS, _reviewed(spark, d))
     return out.filter((F.col("metric") == "quadruples") & (F.col("name") == "partial"))
 
 
 @query("label_quality_report")
 def label_quality_report(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.label_quality(*_sides(spark, d), POS)
+    return jobs.label_quality(*_sides(spark, d), POS, _reviewed(spark, d))
 
 
 @query("preprocess", with_views(V.REVIEWS_SQL, CLEANED, V.CATEGORIES_SQL, body="""SELECT 'cleaned' AS name, count(*) AS n FROM cleaned

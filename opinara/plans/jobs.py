@@ -24,13 +24,15 @@ from opinara.session import materialise
 from opinara.sources import writers as W
 
 
-def opinion_items(reviews: DataFrame, score: Callable[[DataFrame], DataFrame] | None = None, order: list | None = None) -> tuple[DataFrame, DataFrame]:
+def opinion_items(reviews: DataFrame, score: Callable[[DataFrame], DataFrame] | None = None, order: list | None = None, review_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Preprocessed reviews and their weighted opinion items.
 
     ``score`` adds aspect, sentiment and confidence to sentences; the rule
     scorer is used by default.
     """
-    pre = I.cap_reviews(RV.preprocess_reviews(reviews), order or ["review_id"])
+    pre = RV.preprocess_reviews(reviews)
+    if review_cap is not None:
+        pre = I.cap_reviews(pre, order or ["review_id"], review_cap)
     columns = ["product_id", "review_id", "rating", "helpful_count"]
     sentences = I.explode_sentences(pre.select(*columns, "clean_text"), "clean_text")
     items = I.weigh_items((score or I.rule_items)(sentences))
@@ -111,7 +113,7 @@ def answer_questions(questions: DataFrame, items: DataFrame, embedder=None, exte
     items = materialise(items.join(questions.select("product_id").distinct(), "product_id", "left_semi"), "asked-items")
     asked = materialise(Q.accept_analysis(Q.analyze_by_rule(questions), external), "questions")
     risks = detect_risks(items)
-    stats = A.aspect_distribution(A.aspect_stats(items), 8)
+    stats = A.aspect_distribution(A.aspect_stats(items), None)
     records = items.groupBy("product_id").agg(F.count("*").alias("records"))
     evidence = EV.evidence_for_questions(asked.select("question_id", "product_id", "intent", "target_aspects"), items, risks)
     if embedder is not None:
@@ -154,9 +156,9 @@ def build_dataset(annotated: DataFrame, folder: str | None = None, seed: int = 4
     return {**sets, "vocabulary": vocab, "report": DS.split_report(everything)}
 
 
-def label_quality(human: DataFrame, model: DataFrame, pos: list[str]) -> DataFrame:
+def label_quality(human: DataFrame, model: DataFrame, pos: list[str], reviewed: M.Reviewed = None) -> DataFrame:
     """All agreement figures of two label sets as long rows."""
-    counts = materialise(M.category_counts(human, model), "category-counts")
+    counts = materialise(M.category_counts(human, model, reviewed), "category-counts")
     pairs = materialise(M.sentiment_pairs(human, model, pos), "sentiment-pairs")
     none = F.lit(None).cast("string")
 
@@ -165,8 +167,8 @@ def label_quality(human: DataFrame, model: DataFrame, pos: list[str]) -> DataFra
         return df.select(F.lit(metric).alias("metric"), name.alias("name"), F.explode(picks).alias("p")).select("metric", "name", "p.figure", "p.value")
 
     prf = ["precision", "recall", "f1"]
-    partial = M.quad_f1(M.quad_matches(human, model))
-    full = M.quad_f1(M.quad_matches(human, model, "full"), "full")
+    partial = M.quad_f1(M.quad_matches(human, model, reviewed=reviewed))
+    full = M.quad_f1(M.quad_matches(human, model, "full", reviewed), "full")
     out = rows(partial.unionByName(full), "quadruples", F.col("match_type"), [*prf, "exact_match", "n_reviews"])
     out = out.unionByName(rows(M.category_f1(counts), "category", F.col("category"), [*prf, "tp", "fp", "fn", "tn"]))
     out = out.unionByName(rows(M.sentiment_agreement(pairs), "sentiment", F.col("sentiment"), [*prf, "accuracy", "n_pairs"]))

@@ -26,6 +26,12 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return q.filter(F.col("annotator") == "human"), q.filter(F.col("annotator") == "model")
 
 
+def _reviewed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides went through every review; some were found to hold nothing."""
+    ids = V.quads(spark, d).select("review_id").distinct()
+    return ids, ids
+
+
 # ------------------------------------------------------------ model output
 def _responses(spark: SparkSession, d: str) -> DataFrame:
     """Model answers as JSON text: fenced, cut or with a bad category at times."""
@@ -257,7 +263,7 @@ def _match_sql(key: str) -> str:
     count(*) FILTER (WHERE h AND m) AS tp, count(*) FILTER (WHERE m AND NOT h) AS fp, count(*) FILTER (WHERE h AND NOT m) AS fn,
     NOT bool_or(h <> m) AS exact_match
   FROM (SELECT review_id, {key}, max(annotator = 'human') AS h, max(annotator = 'model') AS m FROM quads GROUP BY ALL)
-  GROUP BY 1 HAVING human_quads > 0 AND model_quads > 0)"""
+  GROUP BY 1)"""
 
 
 def _f1_sql(kind: str) -> str:
@@ -272,20 +278,20 @@ PARTIAL, FULL = "aspect_category, sentiment", "aspect_category, sentiment, aspec
 
 @query("quad_matches", with_views(*QUADS, _match_sql(PARTIAL), body="SELECT * FROM per"))
 def quad_matches(spark: SparkSession, d: str) -> DataFrame:
-    return M.quad_matches(*_sides(spark, d))
+    return M.quad_matches(*_sides(spark, d), reviewed=_reviewed(spark, d))
 
 
 @query("quad_f1_partial", with_views(*QUADS, _match_sql(PARTIAL), body=_f1_sql("partial")))
 def quad_f1_partial(spark: SparkSession, d: str) -> DataFrame:
-    return M.quad_f1(M.quad_matches(*_sides(spark, d)))
+    return M.quad_f1(M.quad_matches(*_sides(spark, d), reviewed=_reviewed(spark, d)))
 
 
 @query("quad_f1_full", with_views(*QUADS, _match_sql(FULL), body=_f1_sql("full")))
 def quad_f1_full(spark: SparkSession, d: str) -> DataFrame:
-    return M.quad_f1(M.quad_matches(*_sides(spark, d), match="full"), "full")
+    return M.quad_f1(M.quad_matches(*_sides(spark, d), match="full", reviewed=_reviewed(spark, d)), "full")
 
 
-COUNTS = f"""common AS (SELECT review_id FROM quads GROUP BY 1 HAVING count(DISTINCT annotator) = 2),
+COUNTS = f"""common AS (SELECT DISTINCT review_id FROM quads),
 presence AS (SELECT q.review_id, aspect_category AS category, max(annotator = 'human') AS h, max(annotator = 'model') AS m
   FROM quads q JOIN common c ON q.review_id = c.review_id GROUP BY ALL),
 counts AS (SELECT category, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn,
@@ -304,7 +310,7 @@ def _prf_sql(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> str:
 @query("category_f1", with_views(*QUADS, COUNTS, body=f"""SELECT category, {_prf_sql()}, tp, fp, fn, tn, tp + fn AS human_count, tp + fp AS model_count
   FROM counts"""))
 def category_f1(spark: SparkSession, d: str) -> DataFrame:
-    return M.category_f1(M.category_counts(*_sides(spark, d)))
+    return M.category_f1(M.category_counts(*_sides(spark, d), _reviewed(spark, d)))
 
 
 PAIRS = """pairs AS (SELECT h.sentiment AS h_sentiment, m.sentiment AS m_sentiment, count(*) AS n FROM quads h JOIN (
@@ -337,7 +343,7 @@ KAPPA_SQL = """k AS (
     WHEN round(kappa + 1e-9, 4) >= 0.4 THEN 'Trung bình ⚠️' WHEN round(kappa + 1e-9, 4) >= 0.2 THEN 'Yếu 🟠' ELSE 'Rất yếu ❌' END AS meaning FROM k"""))
 def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
     human, model = _sides(spark, d)
-    return M.cohen_kappa(M.category_counts(human, model), M.sentiment_pairs(human, model, POS))
+    return M.cohen_kappa(M.category_counts(human, model, _reviewed(spark, d)), M.sentiment_pairs(human, model, POS))
 
 
 # ------------------------------------------------------------ model quality

@@ -94,7 +94,7 @@ SENTENCES = rf"""sentences AS (
     SELECT review_id, product_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS n FROM (
       SELECT review_id, product_id, list_filter(list_transform(string_split_regex(clean_text, '[\n.!?;]+'),
         lambda s: {strip_sql("s")}), lambda s: length(s) > 0) AS parts FROM pre))
-  WHERE length(sentence) BETWEEN 15 AND 500)"""
+  WHERE length(sentence) >= 15)"""
 
 
 @query("split_sentences", with_views(V.REVIEWS_SQL, PREPROCESSED, SENTENCES, body="""
@@ -272,7 +272,7 @@ def normalize_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("text_or_fallback", rf"""SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS review_id,
-    substr({strip_sql("coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 1 THEN source END, ''), nullif(CASE WHEN doc_id % 7 <> 2 THEN text ELSE '' END, ''))")}, 1, 2048) AS text
+    {strip_sql("coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 1 THEN source END, ''), nullif(CASE WHEN doc_id % 7 <> 2 THEN text ELSE '' END, ''))")} AS text
   FROM documents) WHERE length(text) > 0""")
 def text_or_fallback(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
@@ -337,7 +337,7 @@ def _rule_aspects() -> str:
         if code in K.FORBIDDEN_KEYWORDS:
             test += f" AND NOT {sql_any('low', K.FORBIDDEN_KEYWORDS[code])}"
         out.append(f"CASE WHEN {test} THEN '{code}' END")
-    return "list_filter([" + ", ".join(out) + "], lambda a: a IS NOT NULL)[1:4]"
+    return "list_filter([" + ", ".join(out) + "], lambda a: a IS NOT NULL)"
 
 
 @query("rule_absa", with_views(V.REVIEWS_SQL, PREPROCESSED, SENTENCES, body=f"""

@@ -85,7 +85,7 @@ def word_dropout(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("vocabulary", with_views(f"""words AS (SELECT word, count(*) AS freq FROM (SELECT unnest({tokens_sql('text')}) AS word FROM documents) GROUP BY 1),
-head AS (SELECT * FROM words ORDER BY freq DESC, word LIMIT 40000)""", body="""
+head AS (SELECT * FROM words)""", body="""
   SELECT word, CAST(row_number() OVER (ORDER BY freq DESC, word) + 1 AS INT) AS id, freq FROM head WHERE freq >= 2
   UNION ALL SELECT '<PAD>', 0, 0 UNION ALL SELECT '<UNK>', 1, 0"""))
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,7 @@ grams AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)),
   list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM docs),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
 vocab AS (SELECT term, df, CAST(row_number() OVER (ORDER BY term) - 1 AS INT) AS idx FROM (
-  SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING df >= 2 ORDER BY total DESC, term LIMIT 50000)),
+  SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING df >= 2)),
 w AS (SELECT doc_id, term, idx, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term))"""
 
 
@@ -131,7 +131,7 @@ def bio_blocks(spark: SparkSession, d: str) -> DataFrame:
     return DS.bio_blocks(_samples(spark, d))
 
 
-@query("parse_bio", with_views(*ANNOTATED, f"labelled AS ({_vector_sql('TRUE')})", body="""SELECT review_id, labels, array_to_string(string_split(text, ' ')[1:100], ' ') AS tokens
+@query("parse_bio", with_views(*ANNOTATED, f"labelled AS ({_vector_sql('TRUE')})", body="""SELECT review_id, labels, text AS tokens
   FROM annotated JOIN labelled USING (review_id)"""))
 def parse_bio(spark: SparkSession, d: str) -> DataFrame:
     from opinara.sources.labels import parse_bio as parse
@@ -141,11 +141,11 @@ def parse_bio(spark: SparkSession, d: str) -> DataFrame:
 
 
 VOCAB_IDS = f"""vocab_words AS (SELECT word, CAST(row_number() OVER (ORDER BY freq DESC, word) + 1 AS INT) AS id FROM (
-    SELECT word, count(*) AS freq FROM (SELECT unnest(string_split(text, ' ')) AS word FROM annotated) GROUP BY 1 ORDER BY freq DESC, word LIMIT 40000) WHERE freq >= 2)"""
+    SELECT word, count(*) AS freq FROM (SELECT unnest(string_split(text, ' ')) AS word FROM annotated) GROUP BY 1) WHERE freq >= 2)"""
 
 
 @query("encode_bio", with_views(*ANNOTATED, VOCAB_IDS, body="""SELECT review_id, list(coalesce(id, 1) ORDER BY n) AS token_ids, count(*)::INT AS length FROM (
-    SELECT review_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS n FROM (SELECT review_id, string_split(text, ' ')[1:100] AS toks FROM annotated))
+    SELECT review_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS n FROM (SELECT review_id, string_split(text, ' ') AS toks FROM annotated))
   LEFT JOIN vocab_words USING (word) GROUP BY 1"""))
 def encode_bio(spark: SparkSession, d: str) -> DataFrame:
     from opinara.sources.labels import encode_bio as encode

@@ -60,8 +60,8 @@ def parse_human_export(tasks: DataFrame, column: str = "task") -> tuple[DataFram
 DISPLAY_PATTERN = r"(?i)^\[\d+\]\s+([A-Z#_]+)\s*\|\s*aspect=(.+?)\s*\|\s*opinion=(.+?)\s*\|\s*(\w+)"
 
 
-def parse_display(tasks: DataFrame, column: str = "display") -> tuple[DataFrame, DataFrame]:
-    """Flat quadruples from display lines, and the lines that do not match."""
+def parse_display(tasks: DataFrame, column: str = "display") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flat quadruples from display lines, the lines that do not match, and all reviews, with quadruples or not."""
     lines = tasks.select("review_id", F.posexplode(F.split(X.strip_ws(column), "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", X.strip_ws("line")).filter(F.length("line") > 0)
     hit = F.col("line").rlike(DISPLAY_PATTERN)
@@ -70,7 +70,7 @@ def parse_display(tasks: DataFrame, column: str = "display") -> tuple[DataFrame,
         "review_id", "pos", F.lower(part(2)).alias("aspect_term"), F.upper(part(1)).alias("aspect_category"),
         F.lower(part(3)).alias("opinion_term"), F.lower(part(4)).alias("sentiment"),
     )
-    return quads, lines.filter(~hit).select("review_id", "line")
+    return quads, lines.filter(~hit).select("review_id", "line"), tasks.select("review_id").distinct()
 
 
 def read_bio(spark: SparkSession, path: str) -> DataFrame:
@@ -79,18 +79,19 @@ def read_bio(spark: SparkSession, path: str) -> DataFrame:
     return parse_bio(blocks, "value")
 
 
-def parse_bio(blocks: DataFrame, column: str, max_len: int = 100) -> DataFrame:
+def parse_bio(blocks: DataFrame, column: str, max_len: int | None = None) -> DataFrame:
     """Labels, tokens and tags of each block; blocks without either are dropped."""
     lines = F.split(column, "\n")
     head = F.get(F.filter(lines, lambda s: F.startswith(s, F.lit("# labels:"))), 0)
     pairs = F.transform(F.filter(lines, lambda s: ~F.startswith(s, F.lit("# labels:"))), lambda s: F.split(s, "\t"))
     pairs = F.filter(pairs, lambda p: F.size(p) == 2)
+    pairs = pairs if max_len is None else F.slice(pairs, 1, max_len)
     keep = [c for c in blocks.columns if c != column]
     out = blocks.select(
         *keep,
         F.transform(F.split(F.regexp_extract(head, r": (.*)$", 1), " "), lambda x: x.try_cast("int")).alias("labels"),
-        F.slice(F.transform(pairs, lambda p: p[0]), 1, max_len).alias("tokens"),
-        F.slice(F.transform(pairs, lambda p: p[1]), 1, max_len).alias("tags"),
+        F.transform(pairs, lambda p: p[0]).alias("tokens"),
+        F.transform(pairs, lambda p: p[1]).alias("tags"),
     )
     return out.filter(F.col("labels").isNotNull() & (F.size("tokens") > 0))
 

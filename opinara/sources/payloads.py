@@ -74,7 +74,7 @@ def flatten_product_pages(payloads: DataFrame, column: str = "payload") -> DataF
         F.coalesce(get("current_seller.is_official", "boolean"), F.lit(False)).alias("seller_is_official"),
         F.coalesce(get("quantity_sold.value", "bigint"), get("quantity_sold", "bigint"), F.lit(0)).alias("sold_quantity"),
         F.coalesce(F.nullif(get("thumbnail_url"), F.lit("")), F.get("imgs", 0), F.lit("")).alias("thumbnail_url"),
-        F.slice("imgs", 1, 6).alias("images"),
+        F.col("imgs").alias("images"),
         F.when(F.startswith(url, F.lit(K.SHOP_URL)), url).otherwise(F.concat(F.lit(K.SHOP_URL + "p/"), get("id"))).alias("product_url"),
         lv1.alias("category_lv1"), crumb(1).alias("category_lv2"), crumb(2).alias("category_lv3"),
     )

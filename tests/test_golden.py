@@ -60,7 +60,7 @@ def test_url_id(spark, url, want):
 
 
 def test_url_name(spark):
-    assert value(spark, X.product_name_from_url, "https://tiki.vn/ta-quan-em-p12.html") == "Ta Quan Em"
+    assert value(spark, X.product_name_from_url, K.SHOP_URL + "ta-quan-em-p12.html") == "Ta Quan Em"
 
 
 def test_compress_evidence_prefers_clause_end(spark):
