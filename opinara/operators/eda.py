@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import text as X
 from opinara.functions.numbers import count_if, mean, round_up
-from opinara.operators.ranking import exact_quantiles
+from opinara.operators.ranking import exact_quantiles, overall_quantiles
 
 
 def _percent(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -114,7 +114,7 @@ def price_describe(df: DataFrame, group: str, price: str) -> DataFrame:
 
 def outlier_cut(df: DataFrame, value: str, group: str, share: float = 0.99) -> DataFrame:
     """Rows below the exact quantile whose group is known."""
-    limit = exact_quantiles(df, [], value, {"limit": share}).scalar()
+    limit = F.lit(overall_quantiles(df, value, {"limit": share})["limit"]).cast("double")
     return df.filter((F.col(value) < limit) & F.col(group).isNotNull())
 
 

@@ -64,18 +64,15 @@ def evidence_candidates(items: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFr
     enough = 2 * limit * (limit - 1) + 1
     pool = items.withColumn("text", F.trim("sentence")).filter(F.length("text") > 0)
     pool = pool.select(*group, "review_id", "confidence", "item_id", "text")
-    # most groups are small enough as they are; only the large ones are ranked
-    large = items.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > enough).select(*group)
-    whole = _judge(pool.join(large, group, "left_anti")).filter("quality")
     # rows without a review id block no review, so each counts as its own
     who = F.when(F.coalesce("review_id", F.lit("")) == "", F.col("key")).otherwise(F.col("review_id"))
-    picks = _judge(pool.join(large, group, "left_semi")).filter("quality").withColumn("who", who)
+    picks = _judge(pool).filter("quality").withColumn("who", who)
     picks = top_rows(picks, [*group, "key", "who"], order, 1)
     picks = top_rows(picks, [*group, "key"], order, limit)
     picks = top_rows(picks, [*group, "who"], order, limit)
     picks = top_rows(picks, group, order, enough).drop("who")
     fill = _judge(top_rows(pool, ["product_id", "aspect"], order, limit))
-    picks = whole.unionByName(picks).withColumn("phase", F.lit(0))
+    picks = picks.withColumn("phase", F.lit(0))
     return picks.unionByName(fill.withColumn("phase", F.lit(1)))
 
 

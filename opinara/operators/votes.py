@@ -41,9 +41,14 @@ def parse_responses(responses: DataFrame, raw: str = "raw", ids: str | None = No
     return rows.filter(F.col("aspect_category").isin(K.CATEGORIES) & F.col("sentiment").isin(K.SENTIMENTS))
 
 
-def first_provider(quads: DataFrame, provider: str = "provider") -> DataFrame:
-    """Per review, the quadruples of the first provider that gave any."""
-    best = quads.groupBy("review_id").agg(F.min(provider).alias(provider))
+def first_provider(quads: DataFrame, provider: str = "provider", answered: DataFrame | None = None) -> DataFrame:
+    """Per review, the quadruples of the first provider that answered.
+
+    ``answered`` has the reviews and providers of all answers that could be
+    read, since an answer may hold nothing; without it, only answers with
+    quadruples count.
+    """
+    best = (quads if answered is None else answered).groupBy("review_id").agg(F.min(provider).alias(provider))
     return quads.join(best, ["review_id", provider], "left_semi")
 
 

@@ -12,7 +12,7 @@ from opinara.operators.risk import detect_risks
 from opinara.plans import jobs
 from opinara.plans.analytics import ASPECT_TABLE, ITEMS, ITEMS_T, PURCHASE, RISKS
 from opinara.plans.answers import hashing_embedder
-from opinara.plans.labelling import POS, QUADS, _f1_sql, _match_sql, _reviewed, _sides
+from opinara.plans.labelling import COUNTS, FULL, KAPPA_SQL, PAIRS, PARTIAL, POS, QUADS, SENTIMENT_ROWS, SENTIMENT_SQL, _f1_sql, _match_sql, _prf_sql, _reviewed, _sides
 from opinara.plans.registry import query, with_views
 from opinara.plans.texts import CLEANED, LEXICON
 from opinara.plans.training import SPLIT, _draw
@@ -230,9 +230,15 @@ def replace_aspects(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ streams
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = V.table(spark, d, "events").schema
-    return ST.read_stream(spark, d, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+def _event_stream(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
+    """The events as a stream of several micro-batches: files written one after the other, in order of time."""
+    events, path = V.table(spark, d, "events"), f"{scratch_dir(spark, 'events')}/files"
+    cuts = events.agg(F.percentile_approx(F.col("ts").cast("timestamp").cast("double"), [i / batches for i in range(1, batches)])).first()[0] or []
+    part = sum((F.col("ts").cast("timestamp").cast("double") > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    for i in range(batches):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type FROM events")
@@ -285,13 +291,13 @@ def stream_monthly(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/table")
 
 
-@query("stream_windows", """SELECT CAST(strftime(date_trunc('day', ts), '%Y-%m-%d') AS VARCHAR) AS day, count(*) AS n FROM events
-  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1""")
+@query("stream_windows", """SELECT CAST(strftime(date_trunc('day', ts), '%Y-%m-%d') AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(spark, "stream")
     counts = ST.windowed_counts(_event_stream(spark, d), "ts")
-    ST.annotate_stream(counts, lambda batch: batch, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/table").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
+    ST.keep_updates(counts, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    last = ST.latest(spark.read.parquet(f"{path}/table"), "window_start", "n")
+    return last.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
 
 
 # ------------------------------------------------------------ jobs
@@ -335,7 +341,21 @@ def label_quality(spark: SparkSession, d: str) -> DataFrame:
     return out.filter((F.col("metric") == "quadruples") & (F.col("name") == "partial"))
 
 
-@query("label_quality_report")
+def _figures(sql: str, metric: str, name: str, figures: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{metric}' AS metric, {name} AS name, '{f}' AS figure, {f}::DOUBLE AS value FROM ({sql})" for f in figures)
+
+
+PRF = ["precision", "recall", "f1"]
+REPORT = " UNION ALL ".join([
+    _figures(f"WITH {_match_sql(PARTIAL)} {_f1_sql('partial')}", "quadruples", "match_type", [*PRF, "exact_match", "n_reviews"]),
+    _figures(f"WITH {_match_sql(FULL)} {_f1_sql('full')}", "quadruples", "match_type", [*PRF, "exact_match", "n_reviews"]),
+    _figures(f"SELECT category, {_prf_sql()}, tp, fp, fn, tn FROM counts", "category", "category", [*PRF, "tp", "fp", "fn", "tn"]),
+    _figures(SENTIMENT_SQL, "sentiment", "sentiment", [*PRF, "accuracy", "n_pairs"]),
+    _figures("SELECT scope, name, round(kappa + 1e-9, 4) AS kappa FROM k", "kappa", "scope || ':' || name", ["kappa"]),
+])
+
+
+@query("label_quality_report", with_views(*QUADS, COUNTS, PAIRS, KAPPA_SQL, SENTIMENT_ROWS, body=REPORT))
 def label_quality_report(spark: SparkSession, d: str) -> DataFrame:
     return jobs.label_quality(*_sides(spark, d), POS, _reviewed(spark, d))
 

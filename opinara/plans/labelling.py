@@ -318,11 +318,14 @@ PAIRS = """pairs AS (SELECT h.sentiment AS h_sentiment, m.sentiment AS m_sentime
   ON h.review_id = m.review_id AND h.aspect_category = m.aspect_category WHERE h.annotator = 'human' GROUP BY ALL)"""
 
 
-@query("sentiment_agreement", with_views(*QUADS, PAIRS, """s AS (SELECT s AS sentiment,
+SENTIMENT_ROWS = """s AS (SELECT s AS sentiment,
     coalesce(sum(n) FILTER (WHERE h_sentiment = s AND m_sentiment = s), 0) AS tp, coalesce(sum(n) FILTER (WHERE h_sentiment <> s AND m_sentiment = s), 0) AS fp,
     coalesce(sum(n) FILTER (WHERE h_sentiment = s AND m_sentiment <> s), 0) AS fn, sum(n) AS n_pairs, sum(n) FILTER (WHERE h_sentiment = m_sentiment) AS correct
-  FROM pairs CROSS JOIN (SELECT unnest(['positive', 'neutral', 'negative']) AS s) GROUP BY 1)""",
-  body=f"SELECT sentiment, n_pairs::BIGINT AS n_pairs, round(correct::DOUBLE / n_pairs::DOUBLE + 1e-9, 4) AS accuracy, {_prf_sql()} FROM s"))
+  FROM pairs CROSS JOIN (SELECT unnest(['positive', 'neutral', 'negative']) AS s) GROUP BY 1)"""
+SENTIMENT_SQL = f"SELECT sentiment, n_pairs::BIGINT AS n_pairs, round(correct::DOUBLE / n_pairs::DOUBLE + 1e-9, 4) AS accuracy, {_prf_sql()} FROM s"
+
+
+@query("sentiment_agreement", with_views(*QUADS, PAIRS, SENTIMENT_ROWS, body=SENTIMENT_SQL))
 def sentiment_agreement(spark: SparkSession, d: str) -> DataFrame:
     return M.sentiment_agreement(M.sentiment_pairs(*_sides(spark, d), POS))
 

@@ -85,11 +85,29 @@ def monthly_counts(stream: DataFrame, time: str) -> DataFrame:
 
 
 def windowed_counts(stream: DataFrame, time: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Rows per time window, final once the watermark has passed it."""
+    """Rows per time window so far; final, and out of the state, once the watermark has passed it."""
     spans = stream.withWatermark(time, delay).groupBy(F.window(time, window)).agg(F.count("*").alias("n"))
     return spans.select(F.col("window.start").alias("window_start"), "n")
 
 
+def keep_updates(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Store what changed in each batch, windows still open included; ``latest`` gives the current rows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch_id").parquet(target)
+
+    return (
+        counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def latest(updates: DataFrame, key: str, value: str) -> DataFrame:
+    """The value of each key in the last batch that changed it."""
+    return updates.groupBy(key).agg(F.max_by(value, "batch_id").alias(value))
+
+
 def keep_latest(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Store the full current result of a small live aggregate."""
     def write(batch: DataFrame, _batch_id: int) -> None:
