@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,7 +116,7 @@ def words(c: Column | str) -> Column:
 
 # --- web pages ---------------------------------------------------------------
 
-# fixed values: named character references that occur in review pages
+# fixed values: the usual named references; all others come from the standard library's table
 ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™",
     "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»", "bull": "•",
@@ -123,14 +124,38 @@ ENTITIES = {
 }
 
 
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def unescape_html(c: Column | str) -> Column:
+    """Named, decimal and hexadecimal character references as their characters; unknown ones stay."""
+    t = _col(c)
+    named = {k.removesuffix(";"): v for k, v in html5.items() if k.endswith(";")} | ENTITIES
+    table = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+
+    def character(code: Column) -> Column:
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def decoded(ref: Column) -> Column:
+        name = F.regexp_extract(ref, REFERENCE, 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("bigint")
+        return F.coalesce(F.when(F.startswith(name, F.lit("#")), character(number)).otherwise(F.try_element_at(table, name)), ref)
+
+    found = F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), decoded)
+    pieces = F.zip_with(F.split(t, REFERENCE, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.contains(t, F.lit("&")), F.array_join(pieces, "")).otherwise(t)
+
+
 def html_to_text(c: Column | str) -> Column:
     """Visible text of a page: text nodes trimmed and joined by one blank."""
     t = F.coalesce(_col(c), F.lit(""))
-    t = F.regexp_replace(t, r"(?is)<(script|style|template)\b.*?</(script|style|template)\s*>", "\u0001")
+    t = F.regexp_replace(t, r"(?is)<(script|style|template)\b.*?</\1\s*>", "\u0001")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", "\u0001")
+    # quoted attribute values may hold '>'; a tag with a stray quote ends at the first one
+    t = F.regexp_replace(t, r"""<[/!?a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", "\u0001")
     t = F.regexp_replace(t, r"(?s)<[/!?a-zA-Z][^>]*>", "\u0001")
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    t = unescape_html(t)
     nodes = F.filter(F.transform(F.split(t, "\u0001"), strip_ws), lambda n: F.length(n) > 0)
     return F.array_join(nodes, " ")
 

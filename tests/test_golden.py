@@ -11,6 +11,8 @@ from opinara.functions import casts as C
 from opinara.functions import jsons as J
 from opinara.functions import lexicon as LX
 from opinara.functions import text as X
+from opinara.operators import metrics as M
+from opinara.operators.ranking import number_rows, overall_quantiles
 
 
 def value(spark, expr_of, text):
@@ -72,6 +74,39 @@ def test_summaries_drop_codes(spark):
     assert value(spark, X.summarize_opinion, "x PRODUCT#SIZE y size_fit z") == "x y z"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("it&#39;s &eacute; &#x1F600; &amp;lt; &unknown; &#xD800; a & b", "it's é 😀 &lt; &unknown; &#xD800; a & b"),
+    ("a<script>x</style>y</script>b", "a b"), ('<a title="1 > 0">c</a><b x=">d</b>', "c d"),
+])
+def test_html_references_and_tags(spark, page, want):
+    assert value(spark, X.html_to_text, page) == want
+
+
+def test_overall_quantiles(spark):
+    import numpy as np
+
+    values = [float(x % 997) for x in range(3000)] + [1e12, -5.5]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = overall_quantiles(df, "v", {"a": 0.0, "b": 0.333, "c": 0.99, "d": 1.0})
+    assert [got[k] for k in "abcd"] == pytest.approx(list(np.quantile(values, [0, 0.333, 0.99, 1])))
+    assert overall_quantiles(df.limit(0), "v", {"a": 0.5}) == {"a": None}
+
+
+def test_number_rows(spark):
+    df = spark.createDataFrame([(i * 37 % 500, "x") for i in range(500)], "v int, t string")
+    assert sorted((r.v, r.n) for r in number_rows(df, [F.desc("v")], "n").collect()) == [(i, 500 - i) for i in range(500)]
+
+
+def test_reviews_found_empty_count(spark):
+    quad = "review_id string, aspect_term string, aspect_category string, opinion_term string, sentiment string"
+    human = spark.createDataFrame([("1", "a", "PRODUCT#QUALITY", "o", "positive")], quad)
+    model = spark.createDataFrame([("1", "a", "PRODUCT#QUALITY", "o", "positive"), ("2", "a", "PRODUCT#QUALITY", "o", "negative")], quad)
+    ids = spark.createDataFrame([("1",), ("2",)], "review_id string")
+    row = M.quad_f1(M.quad_matches(human, model, reviewed=(ids, ids))).first()
+    assert (row.n_reviews, row.precision, row.recall, row.exact_match) == (2, 0.5, 1.0, 0.5)
+    assert {r.n for r in M.category_counts(human, model, (ids, ids)).collect()} == {2}
+
+
 def test_html(spark):
     page = "<div> A <script>var x;</script><!-- no --><p>B &amp; C</p></div>"
     assert value(spark, X.html_to_text, page) == "A B & C"
