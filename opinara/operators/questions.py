@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara import constants as K
 from opinara.functions import text as X
-from opinara.functions.labels import aspect_label, risk_for_aspect, risk_label
+from opinara.functions.labels import aspect_label, percent_text, risk_for_aspect, risk_label
+from opinara.operators.ranking import top_rows
 from opinara.operators.scoring import answer_confidence
 
 
@@ -102,6 +105,43 @@ def scope_stats(questions: DataFrame, stats: DataFrame, records: DataFrame) -> D
     )
 
 
+def scope_rankings(questions: DataFrame, rankings: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each ranking of a product's aspects that bear on each question.
+
+    Four intents keep only the target aspects. Ranks stay those of the product;
+    columns a ranking lacks are NULL.
+    """
+    shape = {"sentiment": "string", "positive": "bigint", "negative": "bigint", "total": "bigint", "avg_confidence": "double", "positive_ratio": "double", "negative_ratio": "double"}
+    parts = [
+        df.select("product_id", F.lit(name).alias("ranking"), "rank", "aspect", *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()])
+        for name, df in rankings.items()
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    scoped = F.col("intent").isin(K.SCOPED_INTENTS) & (F.size("target_aspects") > 0)
+    asked = questions.select("question_id", "product_id", "intent", "target_aspects")
+    return asked.join(rows, "product_id").filter(~scoped | F.array_contains("target_aspects", F.col("aspect"))).drop("target_aspects")
+
+
+def compact_rankings(rows: DataFrame, limit: int = 5) -> DataFrame:
+    """Display rows: the first of each ranking of a question, with names, counts and whole percents."""
+    by_sentiment = lambda s: F.coalesce(F.col(s), F.when(F.col("sentiment") == s, F.col("total")), F.lit(0)).alias(s)
+    top = top_rows(rows.drop("product_id", "intent"), ["question_id", "ranking"], ["rank"], limit, rank="place")
+    return top.select(
+        "question_id", "ranking", "place", aspect_label(F.col("aspect")).alias("aspect"), F.coalesce("sentiment", F.lit("")).alias("sentiment"),
+        by_sentiment("negative"), by_sentiment("positive"), "total", F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"),
+        percent_text(F.col("negative_ratio")).alias("negative_percent"), percent_text(F.col("positive_ratio")).alias("positive_percent"),
+    )
+
+
+def compact_questions(questions: DataFrame, products: DataFrame) -> DataFrame:
+    """What an answer shows of its question and product; an unknown product leaves NULLs."""
+    facts = products.select("product_id", "name", "price", "rating_average", "review_count", "brand", "seller")
+    return questions.join(facts, "product_id", "left").select(
+        "question_id", "name", "price", "rating_average", "review_count", "brand", "seller",
+        F.transform("target_aspects", aspect_label).alias("target_aspects"), "constraints", "confidence", "source",
+    )
+
+
 def scope_risks(questions: DataFrame, risks: DataFrame) -> DataFrame:
     """Risks that bear on each question; each product has seven at most."""
     rows = questions.join(risks.drop("source", "confidence"), "product_id")

@@ -16,7 +16,7 @@ from opinara.operators import questions as Q
 from opinara.operators import retrieval as RT
 from opinara.operators import scoring as S
 from opinara.operators.risk import detect_risks
-from opinara.plans.analytics import ITEMS, ITEMS_T, RISKS, STATS, _keyword_sql
+from opinara.plans.analytics import ITEMS, ITEMS_T, RISKS, STATS, _keyword_sql, _percent
 from opinara.plans.registry import query, sql_any, sql_case, sql_list, with_views
 from opinara.plans.texts import WORD, fold_sql
 from opinara.sources import fixtures as V
@@ -110,10 +110,13 @@ def quote_pick_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ chunks and vectors
-@query("opinion_chunks", with_views(ITEMS_T, body=f"""SELECT CAST(('0x' || substr(sha1(product_id || '|' || review_id || '|' || aspect || '|' || sentiment || '|' || sentence), 1, 16))::UBIGINT AS DECIMAL(20,0)) AS point_id,
+CHUNKS = f"""chunks AS (SELECT CAST(('0x' || substr(sha1(product_id || '|' || review_id || '|' || aspect || '|' || sentiment || '|' || sentence), 1, 16))::UBIGINT AS DECIMAL(20,0)) AS point_id,
     product_id, review_id, aspect, sentiment, sentence AS text, CAST(confidence AS DOUBLE) AS confidence, {sql_case('aspect', K.ASPECT_LABELS, 'aspect')} AS aspect_label
   FROM items WHERE length(sentence) >= 24
-  QUALIFY row_number() OVER (PARTITION BY product_id, review_id, aspect, sentiment, lower(sentence) ORDER BY item_id, confidence DESC, sentence) = 1"""))
+  QUALIFY row_number() OVER (PARTITION BY product_id, review_id, aspect, sentiment, lower(sentence) ORDER BY item_id, confidence DESC, sentence) = 1)"""
+
+
+@query("opinion_chunks", with_views(ITEMS_T, CHUNKS, body="SELECT * FROM chunks"))
 def opinion_chunks(spark: SparkSession, d: str) -> DataFrame:
     return RT.opinion_chunks(_items(spark, d))
 
@@ -247,6 +250,51 @@ def question_scope(spark: SparkSession, d: str) -> DataFrame:
     return Q.scope_stats(_analyzed(spark, d), *_all_stats(spark, d))
 
 
+RANKINGS = """rankings AS (
+  SELECT 'top_' || CASE sentiment WHEN 'negative' THEN 'complaints' ELSE 'praises' END AS ranking, product_id, aspect, sentiment, NULL::BIGINT AS positive, NULL::BIGINT AS negative,
+    count(*) AS total, round(CAST(sum(confidence) AS DOUBLE) / count(*) + 1e-9, 4) AS avg_confidence, NULL::DOUBLE AS positive_ratio, NULL::DOUBLE AS negative_ratio,
+    CAST(row_number() OVER (PARTITION BY product_id, sentiment ORDER BY count(*) DESC, aspect) AS INT) AS rank
+  FROM items WHERE sentiment IN ('negative', 'positive') GROUP BY product_id, aspect, sentiment
+  UNION ALL SELECT 'negative_ratio_by_aspect', product_id, aspect, NULL, positive, negative, total, avg_confidence, positive_ratio, negative_ratio,
+    CAST(row_number() OVER (PARTITION BY product_id ORDER BY negative_ratio DESC, negative DESC, total DESC, aspect) AS INT) FROM stats
+  UNION ALL SELECT 'positive_ratio_by_aspect', product_id, aspect, NULL, positive, negative, total, avg_confidence, positive_ratio, negative_ratio,
+    CAST(row_number() OVER (PARTITION BY product_id ORDER BY positive_ratio DESC, positive DESC, total DESC, aspect) AS INT) FROM stats),
+ranked AS (SELECT a.question_id, a.product_id, a.intent, r.* EXCLUDE (product_id) FROM analyzed a JOIN rankings r ON a.product_id = r.product_id
+  WHERE intent NOT IN ('PRODUCT_FIT', 'ASPECT_QA', 'PRICE_VALUE', 'DELIVERY_SERVICE') OR len(target_aspects) = 0 OR list_contains(target_aspects, aspect))"""
+
+
+def _rankings(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    items = V.aspect_items(spark, d)
+    stats = A.aspect_stats(items)
+    return {
+        "top_complaints": A.top_by_sentiment(items, "negative", None), "top_praises": A.top_by_sentiment(items, "positive", None),
+        "negative_ratio_by_aspect": A.negative_ratio_by_aspect(stats, None), "positive_ratio_by_aspect": A.positive_ratio_by_aspect(stats, None),
+    }
+
+
+@query("question_rankings", with_views(ITEMS, STATS, V.QUESTIONS_SQL, RULES, RANKINGS, body="SELECT * FROM ranked"))
+def question_rankings(spark: SparkSession, d: str) -> DataFrame:
+    return Q.scope_rankings(_analyzed(spark, d), _rankings(spark, d))
+
+
+@query("compact_rankings", with_views(ITEMS, STATS, V.QUESTIONS_SQL, RULES, RANKINGS, body=f"""SELECT question_id, ranking, place, {sql_case('aspect', K.ASPECT_LABELS, f"'{K.UNKNOWN_ASPECT_LABEL}'")} AS aspect,
+    coalesce(sentiment, '') AS sentiment, coalesce(negative, CASE sentiment WHEN 'negative' THEN total END, 0) AS negative,
+    coalesce(positive, CASE sentiment WHEN 'positive' THEN total END, 0) AS positive, total, avg_confidence,
+    coalesce({_percent('negative_ratio')}, '') AS negative_percent, coalesce({_percent('positive_ratio')}, '') AS positive_percent
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id, ranking ORDER BY rank) AS INT) AS place FROM ranked) WHERE place <= 5"""))
+def compact_rankings(spark: SparkSession, d: str) -> DataFrame:
+    return Q.compact_rankings(Q.scope_rankings(_analyzed(spark, d), _rankings(spark, d)))
+
+
+@query("compact_questions", with_views(V.QUESTIONS_SQL, RULES, V.PRODUCTS_SQL, body=f"""SELECT question_id, name, price, rating_average, review_count, brand, seller,
+    array_to_string(list_transform(target_aspects, lambda x: {sql_case('x', K.ASPECT_LABELS, f"'{K.UNKNOWN_ASPECT_LABEL}'")}), '|') AS target_aspects,
+    array_to_string(constraints, '|') AS constraints, confidence, 'rule' AS source
+  FROM analyzed a LEFT JOIN products p ON a.product_id = p.product_id"""))
+def compact_questions(spark: SparkSession, d: str) -> DataFrame:
+    out = Q.compact_questions(_analyzed(spark, d), V.products(spark, d))
+    return out.withColumns({c: F.array_join(c, "|") for c in ("target_aspects", "constraints")})
+
+
 RISK_OF = sql_case("x", {a: n for a, (n, _) in K.RISK_ASPECTS.items()})
 
 

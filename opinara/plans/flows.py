@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from opinara import constants as K
 from opinara.functions import text as X
 from opinara.operators import aspects as A
+from opinara.operators import retrieval as RT
 from opinara.operators.risk import detect_risks
 from opinara.plans import jobs
 from opinara.plans.analytics import ASPECT_TABLE, ITEMS, ITEMS_T, PURCHASE, RISKS
-from opinara.plans.answers import hashing_embedder
+from opinara.plans.answers import CHUNKS, hashing_embedder
 from opinara.plans.labelling import COUNTS, FULL, KAPPA_SQL, PAIRS, PARTIAL, POS, QUADS, SENTIMENT_ROWS, SENTIMENT_SQL, _f1_sql, _match_sql, _prf_sql, _reviewed, _sides
 from opinara.plans.registry import query, with_views
 from opinara.plans.texts import CLEANED, LEXICON
@@ -216,6 +217,18 @@ def upsert_reviews(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
+@query("upsert_chunks", with_views(ITEMS_T, CHUNKS, body="""SELECT point_id, product_id, review_id, aspect, sentiment, text,
+    CASE sentiment WHEN 'neutral' THEN confidence ELSE confidence + 1 END AS confidence, aspect_label FROM chunks"""))
+def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks come in two batches that share one sentiment, the last of them twice; the newer confidence stays."""
+    path = scratch_dir(spark, "chunks")
+    chunks = materialise(RT.opinion_chunks(V.aspect_items(spark, d, with_sentence=True)), "all-chunks")
+    newer = chunks.filter("sentiment <> 'neutral'").withColumn("confidence", F.col("confidence") + 1)
+    for batch in (chunks.filter("sentiment <> 'negative'"), newer, newer):
+        W.upsert_table(spark, path, batch, ["product_id", "point_id"], ["confidence"])
+    return spark.read.parquet(path).drop("bucket")
+
+
 @query("replace_aspects", with_views(ITEMS, ASPECT_TABLE, body="""SELECT product_id, aspect, CASE WHEN CAST(product_id AS BIGINT) % 2 = 0 THEN -mentions ELSE mentions END AS mentions
   FROM aspect_table WHERE CAST(product_id AS BIGINT) % 4 <> 0"""))
 def replace_aspects(spark: SparkSession, d: str) -> DataFrame:

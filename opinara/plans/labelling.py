@@ -10,12 +10,14 @@ from opinara.functions import arrays as R
 from opinara.functions import jsons as J
 from opinara.functions import text as X
 from opinara.operators import metrics as M
+from opinara.operators import reviews as RV
 from opinara.operators import votes as VT
 from opinara.plans.analytics import ITEMS
-from opinara.session import materialise
+from opinara.session import materialise, scratch_dir
 from opinara.plans.registry import query, sql_case, sql_list, with_views
 from opinara.sources import fixtures as V
 from opinara.sources import labels as SL
+from opinara.sources import writers as W
 
 QUADS = [ITEMS, V.QUADS_SQL]
 POS = ["pos", "product_id", "aspect_term"]
@@ -97,11 +99,14 @@ def assemble_annotations(spark: SparkSession, d: str) -> DataFrame:
     return VT.assemble_annotations(reviews, VT.ensemble_vote(_provider_quads(spark, d), 3))
 
 
-@query("route_annotations", with_views(*QUADS, V.ANNOTATED_SQL, body="""
+ROUTES = """
   SELECT 'all' AS route, review_id, NULL AS reason FROM annotated UNION ALL
   SELECT 'conflicts', review_id, 'MODEL_DISAGREEMENT' FROM annotated WHERE conflict UNION ALL
   SELECT 'skipped', CAST(o_orderkey AS VARCHAR), 'NO_ASPECT' FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT review_id FROM quads)
-  UNION ALL SELECT 'all', CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT review_id FROM quads)"""))
+  UNION ALL SELECT 'all', CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT review_id FROM quads)"""
+
+
+@query("route_annotations", with_views(*QUADS, V.ANNOTATED_SQL, body=ROUTES))
 def route_annotations(spark: SparkSession, d: str) -> DataFrame:
     routes = VT.route_annotations(_annotated_with_empty(spark, d))
     none = F.lit(None).cast("string")
@@ -123,6 +128,33 @@ def _annotated_with_empty(spark: SparkSession, d: str) -> DataFrame:
     return done.unionByName(rest)
 
 
+@query("routed_files", with_views(*QUADS, V.ANNOTATED_SQL, body=ROUTES))
+def routed_files(spark: SparkSession, d: str) -> DataFrame:
+    """The three outputs, appended as JSON lines in two batches each and read back."""
+    annotated = materialise(_annotated_with_empty(spark, d), "annotated")
+    odd = F.col("review_id").cast("bigint") % 2 == 1
+    paths = {name: scratch_dir(spark, name) for name in VT.route_annotations(annotated)}
+    for batch in (annotated.filter(odd), annotated.filter(~odd)):
+        for name, df in VT.route_annotations(batch).items():
+            W.append_json(df, paths[name])
+    parts = [spark.read.schema("review_id string, reason string").json(p).select(F.lit(name).alias("route"), "review_id", "reason") for name, p in paths.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("kept_ids", with_views(*QUADS, V.ANNOTATED_SQL, body="""SELECT 'flat' AS name, CAST(l_orderkey AS VARCHAR) AS review_id, CAST(l_linenumber AS INT) AS line FROM lineitem
+    WHERE CAST(l_orderkey AS VARCHAR) IN (SELECT review_id FROM annotated)
+  UNION ALL SELECT 'done', CAST(o_orderkey AS VARCHAR), 0 FROM orders WHERE CAST(o_orderkey AS VARCHAR) IN (SELECT review_id FROM annotated)"""))
+def kept_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table and the list of finished reviews, both reduced to reviews that have a quadruple."""
+    keep = materialise(VT.kept_quads(_annotated_with_empty(spark, d)).select("review_id"), "kept")
+    flat = V.table(spark, d, "lineitem").select(F.lit("flat").alias("name"), F.col("l_orderkey").cast("string").alias("review_id"), F.col("l_linenumber").cast("int").alias("line"))
+    done = V.table(spark, d, "orders").select(F.lit("done").alias("name"), F.col("o_orderkey").cast("string").alias("review_id"), F.lit(0).alias("line"))
+    path = scratch_dir(spark, "kept-rows")
+    for rows in (flat, done):
+        W.append_json(RV.kept(rows, keep, ["review_id"]), path)
+    return spark.read.schema("name string, review_id string, line int").json(path)
+
+
 @query("kept_quads", with_views(*QUADS, V.ANNOTATED_SQL, body="SELECT review_id, text, len(quadruples)::INT AS n FROM annotated"))
 def kept_quads(spark: SparkSession, d: str) -> DataFrame:
     return VT.kept_quads(_annotated_with_empty(spark, d)).select("review_id", "text", F.size("quadruples").alias("n"))

@@ -14,8 +14,10 @@ from opinara.plans.analytics import ITEMS
 from opinara.plans.labelling import QUADS, _vector_sql
 from opinara.plans.registry import query, sql_list, with_views
 from opinara.plans.texts import tokens_sql
-from opinara.session import materialise
+from opinara.session import materialise, scratch_dir
 from opinara.sources import fixtures as V
+from opinara.sources import labels as SL
+from opinara.sources import writers as W
 
 ANNOTATED = [*QUADS, V.ANNOTATED_SQL]
 
@@ -121,10 +123,13 @@ def svm_train_predict(spark: SparkSession, d: str) -> DataFrame:
     return CL.train_and_report(DS.stratified_split(_labelled_docs(spark, d)), max_iter=10)
 
 
-@query("bio_blocks", with_views(*ANNOTATED, f"labelled AS ({_vector_sql('TRUE')})", """tagged AS (SELECT review_id, toks, list_transform(toks, lambda t, i:
+TAGGED = """tagged AS (SELECT review_id, toks, list_transform(toks, lambda t, i:
     CASE WHEN list_position(toks, t) = i AND len(list_filter(quadruples, lambda q: q.aspect_term = t)) > 0
       THEN 'B-' || list_filter(quadruples, lambda q: q.aspect_term = t)[1].sentiment ELSE 'O' END) AS tags
-  FROM (SELECT review_id, quadruples, string_split(text, ' ') AS toks FROM annotated))""", body="""SELECT review_id,
+  FROM (SELECT review_id, quadruples, string_split(text, ' ') AS toks FROM annotated))"""
+
+
+@query("bio_blocks", with_views(*ANNOTATED, f"labelled AS ({_vector_sql('TRUE')})", TAGGED, body="""SELECT review_id,
     '# labels: ' || array_to_string(labels, ' ') || chr(10) || array_to_string(list_transform(toks, lambda t, i: t || chr(9) || tags[i]), chr(10)) || chr(10) AS block
   FROM tagged JOIN labelled USING (review_id)"""))
 def bio_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -140,6 +145,15 @@ def parse_bio(spark: SparkSession, d: str) -> DataFrame:
     return out.select("review_id", "labels", F.array_join("tokens", " ").alias("tokens"))
 
 
+@query("read_bio", with_views(*ANNOTATED, f"labelled AS ({_vector_sql('TRUE')})", TAGGED, body="""SELECT labels, array_to_string(toks, ' ') AS tokens,
+  array_to_string(tags, ' ') AS tags FROM tagged JOIN labelled USING (review_id)"""))
+def read_bio(spark: SparkSession, d: str) -> DataFrame:
+    """Training blocks written as text files and read back."""
+    path = scratch_dir(spark, "bio-files")
+    W.write_blocks(DS.bio_blocks(_samples(spark, d)), path)
+    return SL.read_bio(spark, path).select("labels", *[F.array_join(c, " ").alias(c) for c in ("tokens", "tags")])
+
+
 VOCAB_IDS = f"""vocab_words AS (SELECT word, CAST(row_number() OVER (ORDER BY freq DESC, word) + 1 AS INT) AS id FROM (
     SELECT word, count(*) AS freq FROM (SELECT unnest(string_split(text, ' ')) AS word FROM annotated) GROUP BY 1) WHERE freq >= 2)"""
 

@@ -99,7 +99,7 @@ def parse_bio(blocks: DataFrame, column: str, max_len: int | None = None) -> Dat
 def encode_bio(blocks: DataFrame, key: str, vocab: DataFrame, unknown: int = 1) -> DataFrame:
     """Token and tag ids; the vocabulary (word, id) is joined, unknown words get 1.
 
-    A block has at most 100 tokens, so its list stays short.
+    A block holds one review, whose tokens become one list.
     """
     tags = {t: i for i, t in enumerate(K.BIO_TAGS)}
     rows = blocks.select(key, F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "p"))
