@@ -23,6 +23,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +44,30 @@ ROWS_PER_ENTRY, PROBES = 16, 3
 #: Rows at most, however long a text: beyond, more false bits raise the bounds of very long documents.
 MOST_ROWS = 1 << 22
 #: Documents and bytes of text of a block at most (a longer text is a block of its own), and bytes kept open by a task.
-BLOCK_DOCS, BLOCK_BYTES, OPEN_BYTES = 1024, 4 << 20, 32 << 20
-ROW_GROUP = 16 << 20
+BLOCK_DOCS, BLOCK_BYTES, OPEN_BYTES = 512, 1 << 20, 16 << 20
+#: Blocks in a row group: a task reads one group at a time.
+GROUP_BLOCKS = 4
 #: Distinct terms of the questions that are answered in one go; questions beyond go in further blocks.
 QUESTION_TERMS = 1 << 15
 #: One block in so many is read for the thresholds to begin with.
 PROBE_EVERY = 16
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-INDEX = "block long, doc_ids array<long>, lengths array<int>, rows int, slices binary, texts array<binary>"
+
+
+def index_schema(id_type: str) -> str:
+    return f"doc_ids array<{id_type}>, lengths array<int>, rows int, slices binary, texts array<binary>"
+
+
+class Backwards:
+    """An id that sorts the other way round."""
+
+    __slots__ = ("id",)
+
+    def __init__(self, value):
+        self.id = value
+
+    def __lt__(self, other: Backwards) -> bool:
+        return other.id < self.id
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -81,17 +98,17 @@ class _Open:
     size: int = 0
 
 
-def _sealed(block: _Open, number: int) -> tuple:
+def _sealed(block: _Open) -> tuple:
     """A block's row: its signatures, sliced by bit."""
     rows = min(ROWS_PER_ENTRY * block.entries, MOST_ROWS)
     table = np.zeros((rows, -(-len(block.ids) // 8) * 8), bool)
     for at, (hashes, levels) in enumerate(block.bits):
         table[bit_rows(hashes, levels, rows).ravel(), at] = True
-    return number, block.ids, block.lengths, rows, np.packbits(table, axis=1).tobytes(), block.texts
+    return block.ids, block.lengths, rows, np.packbits(table, axis=1).tobytes(), block.texts
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of documents with bit-sliced signatures, as a table: ``block, doc_ids, lengths, rows, slices, texts``.
+    """Blocks of documents with bit-sliced signatures, as a table: ``doc_ids, lengths, rows, slices, texts``.
 
     Every row of ``docs`` with a term is in one block, repeated rows in their
     own right; null texts and texts without a term are in none, as no question
@@ -102,17 +119,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, _Open] = {}
-        names = ["block", "doc_ids", "lengths", "rows", "slices", "texts"]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.list_(pa.binary())]
-        made = 0
+        names = ["doc_ids", "lengths", "rows", "slices", "texts"]
+        kinds = [None, pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.list_(pa.binary())]
 
         def emit(entries: int) -> pa.RecordBatch:
-            nonlocal made
-            made += 1
-            row = _sealed(waiting.pop(entries), made)
+            row = _sealed(waiting.pop(entries))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
+            kinds[0] = pa.list_(batch.schema.field(0).type)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 terms = terms_of(raw)
@@ -143,12 +158,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for size in sorted(waiting):
             yield emit(size)
 
-    pairs = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    path = scratch_dir(docs.sparkSession, "signatures")
-    # small row groups: a task reads one at a time, and a row is megabytes
-    writer = pairs.mapInArrow(build, INDEX).write.option("parquet.block.size", ROW_GROUP).option("parquet.block.size.row.check.min", 1).option("parquet.block.size.row.check.max", 1)
-    writer.parquet(path)
-    return docs.sparkSession.read.schema(INDEX).parquet(path)
+    pairs = id_and_text(docs, id_col, text_col)
+    schema, path = index_schema(pairs.schema["doc_id"].dataType.simpleString()), scratch_dir(docs.sparkSession, "signatures")
+    pairs.mapInArrow(build, schema).write.option("parquet.block.row.count.limit", GROUP_BLOCKS).parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def question_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +186,7 @@ def document_frequencies(index: DataFrame, terms: list[bytes]) -> dict[bytes, in
     """Documents that hold each of the terms, exactly, in one pass over the texts."""
     wanted = frozenset(terms)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
             for texts in batch.column(0):
@@ -181,7 +194,7 @@ def document_frequencies(index: DataFrame, terms: list[bytes]) -> dict[bytes, in
                     found.update(wanted.intersection(terms_of(text.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
 
-    counted = index.select("texts").mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = index.select("texts").mapInArrow(tally, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {bytes(r.term): r.n for r in counted.collect()}  # no more rows than terms were asked for
 
 
@@ -251,16 +264,18 @@ class Questions:
 
 def _best(index: DataFrame, questions: Questions, least: list[int]) -> DataFrame:
     """``item, doc_id, score``: per task, the best of its documents that reach the question's ``least``."""
-    k = questions.k
+    k, id_type = questions.k, index.schema["doc_ids"].dataType.elementType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = np.maximum(np.array(least, np.int64), 1)
-        best: list[list] = [[] for _ in questions.items]  # heaps of (score, -place in the order of ids)
+        best: list[list] = [[] for _ in questions.items]  # heaps, the worst first: score, with an id, id
+        kind, ties = pa.null(), count()
 
         def worth(bound: np.ndarray, i: int) -> np.ndarray:
             return bound >= max(floor[i], best[i][0][0] if len(best[i]) == k else 0)
 
         for batch in batches:
+            kind = batch.schema.field("doc_ids").type.value_type
             for doc_ids, lengths, rows, slices, texts in zip(*(batch.column(c) for c in ("doc_ids", "lengths", "rows", "slices", "texts")), strict=True):
                 ids, n = doc_ids.as_py(), np.array(lengths.as_py(), np.int64)
                 bound = questions.bounds(np.frombuffer(slices.as_py(), np.uint8).reshape(rows.as_py(), -1), n)
@@ -271,17 +286,17 @@ def _best(index: DataFrame, questions: Questions, least: list[int]) -> DataFrame
                         continue
                     for i, score in zip(of, questions.scores(texts.values[d].as_py(), int(n[d]), of), strict=True):
                         if score >= floor[i]:
-                            entry = (score, ids[d] is None, -(ids[d] or 0))  # a null id after the others
-                            entry = (score, not entry[1], entry[2])
+                            entry = (score, ids[d] is not None, Backwards(ids[d]) if ids[d] is not None else next(ties))
                             if len(best[i]) < k:
                                 heapq.heappush(best[i], entry)
                             else:
                                 heapq.heappushpop(best[i], entry)
-        out = [(i, -e[2] if e[1] else None, e[0]) for i, heap in enumerate(best) for e in heap]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["item", "doc_id", "score"])
+        out = [(i, e[2].id if e[1] else None, e[0]) for i, heap in enumerate(best) for e in heap]
+        if out:
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], kind), pa.array(columns[2], pa.int64())], ["item", "doc_id", "score"])
 
-    return index.select("doc_ids", "lengths", "rows", "slices", "texts").mapInArrow(search, "item int, doc_id long, score long")
+    return index.select("doc_ids", "lengths", "rows", "slices", "texts").mapInArrow(search, f"item int, doc_id {id_type}, score long")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -302,7 +317,8 @@ def search_index(index: DataFrame, items: DataFrame, k: int = 10, id_col: str =
     terms = materialise(question_terms(items, id_col, text_col), "question-terms")
     kind = terms.schema["item_id"].dataType.simpleString()
     blocks = -(-terms.count() // QUESTION_TERMS) if documents else 0
-    out = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
+    id_type = index.schema["doc_ids"].dataType.elementType.simpleString()
+    out = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id {id_type}, score long")
     for b in range(blocks):
         own = terms.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         rows = [(r.item_id, bytes(r.term), r.repeats) for r in own.collect()]  # a block of questions
