@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, chat, exact_dedup, imatch, katz, language, lexical, packing, quality, secrets, simhash, token_counts
+from opinara.llm import bpe, chat, collocations, exact_dedup, imatch, katz, language, lexical, packing, quality, secrets, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -131,11 +131,47 @@ SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
 FROM conversations_read
 """
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_documents(spark, sf_dir), k=2000, least_count=30, longest=4)
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), counts AS (
+  SELECT lang, phrase, size, count(*) AS f FROM (
+    SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM words, (SELECT unnest([1, 2, 3, 4]) AS size)
+  ) GROUP BY ALL
+), candidates AS (
+  SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, phrase, size, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM candidates, (SELECT unnest([1, 2, 3]) AS k) WHERE k < size
+), scored AS (
+  SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score, k
+  FROM cuts c JOIN counts x ON c.lang = x.lang AND c.head = x.phrase JOIN counts y ON c.lang = y.lang AND c.rest = y.phrase
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, part, max(a) AS longer FROM (
+    SELECT lang, a, unnest(list_transform(range(1, size - part_size + 2), lambda i: array_to_string(w[i:i + part_size - 1], ' '))) AS part
+    FROM candidates, (SELECT unnest([2, 3]) AS part_size) WHERE part_size < size
+  ) GROUP BY ALL
+)
+SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN inside i ON s.lang = i.lang AND s.phrase = i.part WHERE longer IS NULL OR 100 * longer < 80 * a
+) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_imatch_fingerprints, op2_best_fit_packing, op3_secret_scans, op4_bpe_round_trip, op5_simhash_near_dedup, op6_quality_classifier, op7_katz_scores, op8_token_counts,
-        op9_exact_dedup, op10_language_id, op11_lexical_search, op12_chat_formatting,
+        op9_exact_dedup, op10_language_id, op11_lexical_search, op12_chat_formatting, op13_phrase_collocations,
     )
 }
-CHECK_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op11_lexical_search": OP11_SQL, "op12_chat_formatting": OP12_SQL}
+CHECK_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op11_lexical_search": OP11_SQL, "op12_chat_formatting": OP12_SQL, "op13_phrase_collocations": OP13_SQL}
