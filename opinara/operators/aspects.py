@@ -30,6 +30,31 @@ def aspect_table(items: DataFrame) -> DataFrame:
     )
 
 
+def aspect_measures(items: DataFrame) -> DataFrame:
+    """What each item adds to the aspect table of its product; other columns are kept."""
+    one = {s: (F.col("sentiment") == s).cast("long") for s in K.SENTIMENTS}
+    wide = lambda c: c.cast("decimal(38,6)")
+    return items.withColumns({
+        **{s: F.coalesce(c, F.lit(0)) for s, c in one.items()}, "items": F.lit(1).cast("long"),
+        "scores": wide(F.col("sentiment_score")), "weights": wide(F.col("weight")), "weighted": wide(F.col("sentiment_score") * F.col("weight")),
+    })
+
+
+MEASURES = [*K.SENTIMENTS, "items", "scores", "weights", "weighted"]
+
+
+def aspect_table_of_sums(sums: DataFrame) -> DataFrame:
+    """The aspect table from the sums of ``aspect_measures`` by product and aspect."""
+    w = F.col("weights").cast("double")
+    plain = F.col("scores").cast("double") / F.col("items")
+    score = F.when(w > 0, F.col("weighted").cast("double") / F.nullif(w, F.lit(0.0))).otherwise(plain)
+    mentions = F.col("positive") + F.col("neutral") + F.col("negative")
+    return sums.select(
+        "product_id", "aspect", L.table_label(F.col("aspect")).alias("display_name"), *K.SENTIMENTS, mentions.alias("mentions"),
+        round_up((score + 1) / 2).alias("avg_score_0_1"),
+    )
+
+
 def ranked_aspect_table(table: DataFrame, limit: int | None = None) -> DataFrame:
     return top_rows(table, ["product_id"], [F.desc("mentions"), "aspect"], limit, rank="rank")
 

@@ -22,6 +22,7 @@ from opinara.sources import fixtures as V
 from opinara.sources import payloads as P
 from opinara.sources import readers as RD
 from opinara.sources import writers as W
+from opinara.sources.store import VersionedTable
 from opinara.streaming import ingest as ST
 
 
@@ -211,58 +212,76 @@ def _stages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query("upsert_reviews", with_views(V.REVIEWS_SQL, body="""SELECT product_id, review_id, CASE WHEN seq % 2 = 0 THEN rating + 10 ELSE rating END AS rating, seq
   FROM reviews WHERE seq % 3 <> 0 OR seq % 2 = 0"""))
 def upsert_reviews(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_dir(spark, "reviews")
+    table = VersionedTable(spark, scratch_dir(spark, "reviews"), ["product_id", "review_id"])
     for rows in _stages(spark, d):
-        W.upsert_table(spark, path, rows, ["product_id", "review_id"], ["seq"])
-    return spark.read.parquet(path).drop("bucket")
+        table.upsert(rows, ["seq"])
+    return table.read()
 
 
 @query("upsert_chunks", with_views(ITEMS_T, CHUNKS, body="""SELECT point_id, product_id, review_id, aspect, sentiment, text,
     CASE sentiment WHEN 'neutral' THEN confidence ELSE confidence + 1 END AS confidence, aspect_label FROM chunks"""))
 def upsert_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks come in two batches that share one sentiment, the last of them twice; the newer confidence stays."""
-    path = scratch_dir(spark, "chunks")
+    table = VersionedTable(spark, scratch_dir(spark, "chunks"), ["product_id", "point_id"])
     chunks = materialise(RT.opinion_chunks(V.aspect_items(spark, d, with_sentence=True)), "all-chunks")
     newer = chunks.filter("sentiment <> 'neutral'").withColumn("confidence", F.col("confidence") + 1)
     for batch in (chunks.filter("sentiment <> 'negative'"), newer, newer):
-        W.upsert_table(spark, path, batch, ["product_id", "point_id"], ["confidence"])
-    return spark.read.parquet(path).drop("bucket")
+        table.upsert(batch, ["confidence"])
+    return table.read()
 
 
 @query("replace_aspects", with_views(ITEMS, ASPECT_TABLE, body="""SELECT product_id, aspect, CASE WHEN CAST(product_id AS BIGINT) % 2 = 0 THEN -mentions ELSE mentions END AS mentions
   FROM aspect_table WHERE CAST(product_id AS BIGINT) % 4 <> 0"""))
 def replace_aspects(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_dir(spark, "aspects")
-    table = A.aspect_table(V.aspect_items(spark, d)).select("product_id", "aspect", "mentions")
+    stored = VersionedTable(spark, scratch_dir(spark, "aspects"), group="product_id")
+    table = materialise(A.aspect_table(V.aspect_items(spark, d)).select("product_id", "aspect", "mentions"), "aspect-rows")
     even = F.col("product_id").cast("bigint") % 2 == 0
-    W.replace_products(spark, path, table, table.select("product_id"))
+    stored.replace(table, table.select("product_id"))
     # the even products come again: negated, and those divisible by four lose their rows
     again = table.filter(even & (F.col("product_id").cast("bigint") % 4 != 0)).withColumn("mentions", -F.col("mentions"))
-    W.replace_products(spark, path, again, table.filter(even).select("product_id"))
-    return spark.read.parquet(path).drop("bucket")
+    stored.replace(again, table.filter(even).select("product_id"))
+    return stored.read()
 
 
 # ------------------------------------------------------------ streams
-def _event_stream(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
-    """The events as a stream of several micro-batches: files written one after the other, in order of time."""
-    events, path = V.table(spark, d, "events"), f"{scratch_dir(spark, 'events')}/files"
-    cuts = events.agg(F.percentile_approx(F.col("ts").cast("timestamp").cast("double"), [i / batches for i in range(1, batches)])).first()[0] or []
-    part = sum((F.col("ts").cast("timestamp").cast("double") > c).cast("int") for c in cuts) if cuts else F.lit(0)
-    for i in range(batches):
-        events.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def _batches(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """A stream with one micro-batch per table: files are read in the order of their times, and a batch takes as many as each table has."""
+    path, files = f"{scratch_dir(spark, 'batches')}/files", 4
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def _event_stream(spark: SparkSession, d: str, batches: int = 3, again: bool = False) -> DataFrame:
+    """The events in order of time, in several micro-batches; ``again`` sends the first of them once more, as round 1, in the end."""
+    events = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.col("ts").cast("double")
+    cuts = events.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)])).first()[0] or []
+    part = sum((at > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    parts = [events.filter(part == i).withColumn("round", F.lit(0)) for i in range(batches)]
+    return _batches(spark, [*parts, parts[0].withColumn("round", F.lit(1))] if again else parts).drop(*[] if again else ["round"])
 
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type FROM events")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(spark, "stream")
-    events = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("product_id"), "event_id", "user_id", "event_type")
-    # every row arrives twice
-    ST.ingest_once(events.union(events), f"{path}/table", f"{path}/checkpoint", ["product_id", "event_id"], ["event_type"]).awaitTermination()
+    events = _event_stream(spark, d, again=True).select(F.col("user_id").cast("string").alias("product_id"), "event_id", "user_id", "event_type")
+    # every row arrives twice in its batch, and the first batch's rows once more in the last
+    ST.ingest_once(events.union(events), f"{path}/table", f"{path}/checkpoint", ["product_id", "event_id"]).awaitTermination()
     return spark.read.parquet(f"{path}/table").select("event_id", "user_id", "event_type")
 
 
+@query("stream_first_rows", "SELECT event_id, user_id, '1 ' || event_type AS event_type, ts FROM events")
+def stream_first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one key differ; the first of the first batch stays, type and time of day unchanged."""
+    path = scratch_dir(spark, "stream")
+    events = _event_stream(spark, d, again=True).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "round")
+    marked = lambda n: events.withColumn("event_type", F.concat(F.col("round") + n, F.lit(" "), "event_type"))
+    rows = marked(2).union(marked(1)).drop("round")
+    ST.ingest_once(rows, f"{path}/table", f"{path}/checkpoint", ["event_id"], ["event_type"]).awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("event_id", "user_id", "event_type", "ts")
+
+
 @query("stream_dedupe", "SELECT event_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(spark, "stream")
@@ -284,17 +303,43 @@ def stream_annotate(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/table").select("event_id", "sentiment")
 
 
-@query("stream_refresh", "SELECT CAST(user_id AS VARCHAR) AS product_id, count(*) AS n FROM events GROUP BY 1")
+CHANGED = "WHEN item_id % 3 = 0 THEN 'positive' ELSE sentiment"
+CHANGED_ITEMS = f"""changed AS (SELECT * REPLACE (
+    CASE WHEN item_id % 5 = 1 THEN 'moved' ELSE product_id END AS product_id, CASE {CHANGED} END AS sentiment, CASE WHEN item_id % 3 = 0 THEN 1 ELSE sentiment_score END AS sentiment_score)
+  FROM items WHERE item_id % 7 <> 2)"""
+
+
+@query("stream_refresh", with_views(ITEMS, CHANGED_ITEMS, ASPECT_TABLE.replace("FROM items", "FROM changed"), body="SELECT * FROM aspect_table"))
 def stream_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Items are inserted, moved to one hot product or given another sentiment, and deleted; a batch comes twice, an old change late."""
+    path = scratch_dir(spark, "stream")
+    columns = ["item_id", "product_id", "aspect", "sentiment", "sentiment_score", "weight"]
+    items = V.aspect_items(spark, d).select(*columns).withColumns({"key": F.concat_ws(":", "item_id", "product_id", "sentiment", "weight"), "version": F.lit(1), "deleted": F.lit(False)})
+    i, two = F.col("item_id"), F.lit(2)
+    new = items.withColumns({
+        "product_id": F.when(i % 5 == 1, "moved").otherwise(F.col("product_id")), "version": two,
+        "sentiment": F.when(i % 3 == 0, "positive").otherwise(F.col("sentiment")), "sentiment_score": F.when(i % 3 == 0, 1).otherwise(F.col("sentiment_score")),
+    }).filter((i % 5 == 1) | (i % 3 == 0))
+    gone = items.filter(i % 7 == 2).withColumns({"version": F.lit(3), "deleted": F.lit(True)})
+    late = items.filter(i % 2 == 0)
+    stream = _batches(spark, [items.filter(i % 4 != 0), items.filter(i % 4 == 0).unionByName(new), new, gone, late])
+    table = VersionedTable(spark, f"{path}/table", ["product_id", "aspect"], sums=A.MEASURES)
+    ST.refresh_sums(stream, "key", "version", "deleted", A.aspect_measures, table, f"{path}/checkpoint").awaitTermination()
+    return A.aspect_table_of_sums(table.read())
+
+
+@query("stream_replace", "SELECT CAST(user_id AS VARCHAR) AS product_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
+def stream_replace(spark: SparkSession, d: str) -> DataFrame:
+    """Figures that do not add up are recomputed for the products of a batch and replaced."""
     path = scratch_dir(spark, "stream")
-    stored = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("product_id"))
+    stored = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("product_id"), "event_type")
 
     def recompute(ids: DataFrame) -> DataFrame:
-        return stored.join(ids, "product_id", "left_semi").groupBy("product_id").agg(F.count("*").alias("n"))
+        return stored.join(ids, "product_id", "left_semi").groupBy("product_id").agg(F.count_distinct("event_type").alias("kinds"))
 
-    touched = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("product_id"))
-    ST.refresh_products(touched, recompute, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/table").drop("bucket")
+    table = VersionedTable(spark, f"{path}/table", group="product_id")
+    ST.refresh_products(_event_stream(spark, d).select(F.col("user_id").cast("string").alias("product_id")), recompute, table, f"{path}/checkpoint").awaitTermination()
+    return table.read()
 
 
 @query("stream_monthly", "SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n FROM events GROUP BY 1")

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from opinara.operators.ranking import top_rows
-from opinara.sources.writers import bucket_of, replace_products
+from opinara.session import materialise
+from opinara.sources.store import VersionedTable
 
 BatchFn = Callable[[DataFrame], DataFrame]
+_STATE = "spark.sql.streaming.stateStore"
+DEFAULT_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+STATE_STORE = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -25,26 +36,104 @@ def _run(stream: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int], None
     return stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list) -> StreamingQuery:
+def _keyed_state(spark: SparkSession) -> None:
+    """Keep state on the executors' disks, with changes as checkpoints, unless the session has chosen its store."""
+    for name, value in STATE_STORE.items():
+        if spark.conf.get(name, None) in (None, DEFAULT_STORE, "false"):
+            spark.conf.set(name, value)
+
+
+def _packed(stream: DataFrame, columns: list[str]) -> Column:
+    """Columns as one text, which Python passes on without a look at their types."""
+    return F.to_json(F.struct(*columns), JSON_TIMES)
+
+
+def _unpacked(packed: DataFrame, schema: T.StructType, *more: str) -> DataFrame:
+    return packed.select(F.from_json("payload", schema, JSON_TIMES).alias("row"), *more).select("row.*", *more)
+
+
+def unseen(stream: DataFrame, keys: list[str], keep_all: bool = False) -> DataFrame:
+    """Rows whose key never came before; the state is the keys.
+
+    Of several rows of a new key in one batch any one is kept, or with
+    ``keep_all`` every one, for the caller to choose from.
+    """
+    _keyed_state(stream.sparkSession)
+    if not keep_all:
+        return stream.dropDuplicates(keys)
+
+    def fresh(_key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if not state.exists:
+            state.update((True,))
+            for rows in batches:
+                yield rows[["payload"]]
+
+    rows = stream.select(*keys, _packed(stream, stream.columns).alias("payload"))
+    new = rows.groupBy(*keys).applyInPandasWithState(fresh, "payload string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return _unpacked(new, stream.schema)
+
+
+def ingest_once(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list | None = None) -> StreamingQuery:
     """Append rows whose key was never stored, exactly once.
 
-    Each batch overwrites its own partition, so a batch that is run again
-    after a failure leaves no copies. Stored keys are read only from the
-    buckets the batch touches.
+    Which keys were stored is state of the stream, by key: no batch reads the
+    target. With an ``order`` the first row of a key's first batch is stored,
+    otherwise any (rows of a key are then taken to be alike). Each batch
+    overwrites its own partition, so a batch that is run again after a failure
+    leaves no copies.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = top_rows(batch, keys, order, 1).withColumn("bucket", bucket_of(keys[0]))
-        if batch_id > 0:
-            touched = [r["bucket"] for r in batch.select(bucket_of(keys[0]).alias("bucket")).distinct().collect()]
-            stored = spark.read.parquet(target).filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched))
-            rows = rows.join(stored.select(*keys), keys, "left_anti")
-        (
-            rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id", "bucket").parquet(target)
-        )
+        rows = batch if order is None else top_rows(batch, keys, order, 1)
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target)
+
+    return _run(unseen(stream, keys, keep_all=order is not None), checkpoint, write)
 
-    return _run(stream, checkpoint, write)
+
+def signed_changes(stream: DataFrame, key: str, version: str, deleted: str) -> DataFrame:
+    """What each change takes back (``sign`` -1) and puts in its place (+1).
+
+    ``stream`` has changes of rows by ``key``; the one with the highest
+    ``version`` holds, whenever it arrives, and one of a version already held
+    is a repeat. Rows are the columns other than these three. The state is the
+    row that holds, or the version of its deletion.
+    """
+    columns = [c for c in stream.columns if c not in (version, deleted)]
+    _keyed_state(stream.sparkSession)
+
+    def change(_key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, old = state.get if state.exists else (None, None)
+        newest = max((v, p is not None, p or "") for rows in batches for v, p in zip(rows["version"], rows["payload"], strict=True))
+        if held is not None and newest[0] <= held:
+            return
+        new = newest[2] if newest[1] else None
+        state.update((int(newest[0]), new))
+        if old != new:
+            out = [(p, sign) for p, sign in ((old, -1), (new, 1)) if p is not None]
+            yield pd.DataFrame(out, columns=["payload", "sign"])
+
+    payload = F.when(~F.coalesce(F.col(deleted), F.lit(False)), _packed(stream, columns))
+    rows = stream.select(key, F.coalesce(F.col(version).cast("long"), F.lit(0)).alias("version"), payload.alias("payload"))
+    signed = rows.groupBy(key).applyInPandasWithState(change, "payload string, sign int", "version long, payload string", "append", GroupStateTimeout.NoTimeout)
+    return _unpacked(signed, stream.select(*columns).schema, "sign")
+
+
+def refresh_sums(stream: DataFrame, key: str, version: str, deleted: str, measures: Callable[[DataFrame], DataFrame], table: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """Keep additive aggregates up to date under inserts, changes and deletions.
+
+    ``measures`` turns rows into the table's keys and sums; each batch adds the
+    sums of what it puts in place less those of what it takes back, in one
+    version of the table, so a batch's work goes with its changes alone.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sign = F.col("sign")
+        deltas = measures(batch).select(*table.keys, *[(F.col(c) * sign).cast(_type(c)).alias(c) for c in table.sums])
+        # written whole first: the state moves on with it, even if the table has the batch already
+        table.add(materialise(table.added(deltas), "deltas"), writer=checkpoint, batch=batch_id)
+
+    signed = signed_changes(stream, key, version, deleted)
+    kinds = {f.name: f.dataType for f in measures(signed).schema}
+    _type = kinds.get
+    return _run(signed, checkpoint, write)
 
 
 def dedupe_within(stream: DataFrame, time: str, keys: list[str], delay: str = "1 hour") -> DataFrame:
@@ -66,14 +155,14 @@ def annotate_stream(stream: DataFrame, annotate: BatchFn, target: str, checkpoin
     return _run(stream, checkpoint, write)
 
 
-def refresh_products(stream: DataFrame, recompute: BatchFn, target: str, checkpoint: str) -> StreamingQuery:
-    """Recompute and replace the rows of every product a batch touches.
+def refresh_products(stream: DataFrame, recompute: BatchFn, table: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """Recompute and replace the rows of every product a batch touches, where they do not add up.
 
     ``recompute`` takes the touched product ids and gives their new rows.
     """
-    def write(batch: DataFrame, _batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         ids = batch.select("product_id").distinct()
-        replace_products(batch.sparkSession, target, recompute(ids), ids)
+        table.replace(recompute(ids), ids, writer=checkpoint, batch=batch_id)
 
     return _run(stream, checkpoint, write)
 

@@ -17,8 +17,6 @@ from opinara.operators import metrics as M
 from opinara.operators import retrieval as RT
 from opinara.operators.ranking import exact_quantiles, rank_in_group, top_rows
 from opinara.sources import fixtures as V
-from opinara.sources import writers as W
-from opinara.session import scratch_dir
 from tests.parity import DATA
 
 SF_DIR = f"{DATA}/sf0.001"
@@ -124,14 +122,6 @@ def test_counts_add_up(spark):
     assert table.filter(F.col("positive") + F.col("neutral") + F.col("negative") != F.col("mentions")).count() == 0
 
 
-def test_upsert_is_idempotent(spark):
-    path = scratch_dir(spark, "test-upsert")
-    rows = spark.createDataFrame([("a", "1", 5), ("b", "1", 4)], "product_id string, review_id string, rating int")
-    for _ in range(3):
-        W.upsert_table(spark, path, rows, ["product_id", "review_id"], ["rating"])
-    assert spark.read.parquet(path).count() == 2
-
-
 def test_vector_search_against_numpy(spark):
     rnd = np.random.default_rng(3)
     vectors = rnd.normal(size=(60, 8))
