@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import text as X
 from opinara.functions.numbers import count_if, mean, round_up
-from opinara.operators.ranking import exact_quantiles, overall_quantiles
+from opinara.operators.quantiles import exact_quantiles, overall_quantiles
 
 
 def _percent(part: Column, whole: Column, digits: int = 2) -> Column:

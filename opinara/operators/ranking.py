@@ -1,4 +1,4 @@
-"""Ranking and quantile helpers that hold up under hot keys."""
+"""Ranking helpers that hold up under hot keys."""
 
 from __future__ import annotations
 
@@ -87,96 +87,3 @@ def rank_in_group(df: DataFrame, keys: list[str], hash_col: str, ties: list[str]
     if total:
         out = out.withColumn(total, F.col("__of"))
     return out.drop("__range", "__r", "__inside", "__before", "__of", *[f"__k{i}" for i in range(len(keys))])
-
-
-def _slot(v: Column, low: Column, high: Column, buckets: int) -> Column:
-    """Number of a value's range, never falling with the value."""
-    scaled = lambda x: F.signum(x) * F.log1p(F.abs(x))
-    width = (scaled(high) - scaled(low)) / F.lit(buckets)
-    place = F.floor((scaled(v) - scaled(low)) / width)
-    return F.when(width > 0, F.greatest(F.lit(0), F.least(place, F.lit(buckets - 1)))).otherwise(0).cast("int")
-
-
-def overall_quantiles(df: DataFrame, value: str, shares: dict[str, float], buckets: int = 1024) -> dict[str, float | None]:
-    """Exact quantiles of a whole column, with linear interpolation.
-
-    The sizes of at most ``buckets`` ranges come to the driver; only the ranges
-    that hold a wanted rank are then sorted.
-    """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    counted = materialise(counted, "value-counts")
-    low, high, rows = counted.agg(F.min("v"), F.max("v"), F.sum("n")).first()
-    if not rows:
-        return dict.fromkeys(shares)
-    placed = counted.withColumn("slot", _slot(F.col("v"), F.lit(low), F.lit(high), buckets))
-    before, start = {}, 0
-    for slot, size in sorted(placed.groupBy("slot").agg(F.sum("n").alias("n")).collect()):
-        before[slot], start = (start, start + size), start + size
-    ranks = {r for q in shares.values() for r in (int(q * (rows - 1)), min(int(q * (rows - 1)) + 1, rows - 1))}
-    found = {}
-    for slot, (first, end) in before.items():
-        wanted = sorted(r for r in ranks if first <= r < end)
-        if wanted:
-            upto = F.sum("n").over(Window.orderBy("v")) + F.lit(first)  # one range of a column
-            range_rows = placed.filter(F.col("slot") == slot).select("v", "n", upto.alias("end"))
-            test = [F.when((F.col("end") > r) & (F.col("end") - F.col("n") <= r), F.col("v")) for r in wanted]
-            found |= dict(zip(wanted, range_rows.agg(*[F.max(t) for t in test]).first(), strict=True))
-    out = {}
-    for name, q in shares.items():
-        at = q * (rows - 1)
-        a, b = found[int(at)], found[min(int(at) + 1, rows - 1)]
-        out[name] = a + (b - a) * (at - int(at))
-    return out
-
-
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float],
-                    buckets: int = 1024) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key.
-
-    Equal values are counted before the shuffle, so copies cost nothing. The
-    distinct values of a key are then spread over ranges of equal width on a
-    logarithmic scale, where one huge value does not crowd the others; range
-    totals say in which range each wanted rank lies, and only those ranges are
-    sorted.
-    """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    span = counted.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__rows")
-    )
-    placed = counted.join(span, keys).withColumn("__slot", _slot(F.col("__v"), F.col("__lo"), F.col("__hi"), buckets))
-    sizes = placed.groupBy(*keys, "__slot").agg(F.sum("__n").alias("__size"), F.first("__rows").alias("__rows"))
-    sizes = sizes.withColumn(
-        "__before", F.sum("__size").over(Window.partitionBy(*keys).orderBy("__slot")) - F.col("__size")
-    )
-    wanted = []
-    for name, share in shares.items():
-        at = F.lit(share) * (F.col("__rows") - 1)
-        wanted.append(F.struct(F.lit(name).alias("q"), F.floor(at).alias("rank"), (at - F.floor(at)).alias("lo_part")))
-    targets = sizes.select(*keys, "__slot", "__before", "__size", "__rows", F.explode(F.array(*wanted)).alias("w"))
-    targets = targets.select(
-        *keys, "__slot", "__before", "w.q", F.col("w.lo_part").alias("part"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("side"), F.col("w.rank").alias("rank")),
-                F.struct(F.lit(1).alias("side"), F.least(F.col("w.rank") + 1, F.col("__rows") - 1).alias("rank")),
-            )
-        ).alias("t"),
-        "__size",
-    ).filter((F.col("t.rank") >= F.col("__before")) & (F.col("t.rank") < F.col("__before") + F.col("__size")))
-    needed = targets.select(*keys, "__slot", "__before").distinct()
-    rows = placed.join(needed, [*keys, "__slot"])
-    upto = Window.partitionBy(*keys, "__slot").orderBy("__v")
-    rows = rows.withColumn("__end", F.sum("__n").over(upto) + F.col("__before")).withColumn(
-        "__start", F.col("__end") - F.col("__n")
-    )
-    hits = rows.select(*keys, "__slot", "__v", "__start", "__end").join(
-        targets.select(*keys, "__slot", "q", "part", F.col("t.side").alias("side"), F.col("t.rank").alias("rank")),
-        [*keys, "__slot"],
-    ).filter((F.col("rank") >= F.col("__start")) & (F.col("rank") < F.col("__end")))
-    aggs = []
-    for name in shares:
-        low = F.max(F.when((F.col("q") == name) & (F.col("side") == 0), F.col("__v")))
-        high = F.max(F.when((F.col("q") == name) & (F.col("side") == 1), F.col("__v")))
-        part = F.max(F.when(F.col("q") == name, F.col("part")))
-        aggs.append((low + (high - low) * part).alias(name))
-    return hits.groupBy(*keys).agg(*aggs)

@@ -12,7 +12,8 @@ from opinara.functions import jsons as J
 from opinara.functions import lexicon as LX
 from opinara.functions import text as X
 from opinara.operators import metrics as M
-from opinara.operators.ranking import number_rows, overall_quantiles
+from opinara.operators.quantiles import overall_quantiles
+from opinara.operators.ranking import number_rows
 
 
 def value(spark, expr_of, text):

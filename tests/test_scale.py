@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import random
 
 import numpy as np
@@ -15,7 +14,7 @@ from opinara.operators import classify as CL
 from opinara.operators import evidence as EV
 from opinara.operators import metrics as M
 from opinara.operators import retrieval as RT
-from opinara.operators.ranking import exact_quantiles, rank_in_group, top_rows
+from opinara.operators.ranking import rank_in_group, top_rows
 from opinara.sources import fixtures as V
 from tests.parity import DATA
 
@@ -33,18 +32,6 @@ def test_rank_in_group_with_a_hot_key(spark):
         assert set(group["of"]) == {len(group)}
 
 
-def test_exact_quantiles(spark):
-    rnd = random.Random(5)
-    rows = [("hot", float(rnd.choice([1, 1, 1, 2, rnd.randint(3, 10**6)]))) for _ in range(2000)]
-    rows += [("few", v) for v in (1.0, 2.0, 4.0, 8.0)] + [("one", 7.0)]
-    df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.99}).collect()}
-    for key in ("hot", "few", "one"):
-        values = [v for k, v in rows if k == key]
-        for name, q in (("a", 0.25), ("b", 0.5), ("c", 0.99)):
-            assert math.isclose(got[key][name], np.quantile(values, q), rel_tol=1e-9)
-
-
 def test_top_rows_cuts_before_the_shuffle(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 3)
     plan = top_rows(df, ["k"], ["id"], 3)._jdf.queryExecution().executedPlan().toString()
