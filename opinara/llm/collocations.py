@@ -20,7 +20,6 @@ has one phrase more counted, in full; it changes no result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +36,8 @@ from opinara.session import materialise
 #: ``.,;:!?`` and U+000A to U+000D end a piece, space and tab a word; A-Z are lower-cased. 0xFF is in no UTF-8 text.
 BREAK = b"\xff"
 FOLD = bytes(255 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Words a task holds before it counts, distinct words it remembers, and rows of a batch it sends.
-HELD, REMEMBERED, SENT = 4_000_000, 1_000_000, 1 << 16
+#: Bytes of text a task holds before it counts, and rows of a batch it sends.
+HELD, SENT = 24 << 20, 1 << 16
 #: Bits of a bit table per phrase, and the most and the fewest bits as powers of two (8 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 26
 #: Phrases of a language that the first round expands; as long as too few are settled, each round takes four times as many.
@@ -110,22 +109,40 @@ def bit_table(phrases: DataFrame) -> BitTable:
 
 
 # ------------------------------------------------------------ counting
-def _tokens(text: str) -> list[bytes]:
-    """Words in order, and ``BREAK`` between pieces."""
-    return text.encode().translate(FOLD).replace(BREAK, b" \xff ").split()
-
-
-class _Vocabulary(dict):
-    """Numbers of words, given out on sight; 0 is the break."""
+def numbered(folded: bytes) -> tuple[np.ndarray, pa.Array]:
+    """The words of folded text as numbers from 1, with a 0 where a piece ends between two, and the distinct words in order of their numbers."""
+    text = np.frombuffer(folded, np.uint8)
+    inside = (text != 0x20) & (text != 0x09) & (text != 0xFF)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text[inside])]).dictionary_encode()
+    ends = np.searchsorted(starts, np.flatnonzero(text == 0xFF))  # before which word each piece begins
+    ends = np.unique(ends[(ends > 0) & (ends < len(starts))])
+    ids = np.insert(words.indices.to_numpy().astype(np.int64) + 1, ends, 0) if len(ends) else words.indices.to_numpy().astype(np.int64) + 1
+    return ids, words.dictionary
+
+
+class Held:
+    """Folded texts by language that wait to be counted together."""
 
     def __init__(self):
-        super().__init__({BREAK: 0})
-        self.words = [b""]
+        self.texts, self.size = {}, 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
+        """Take in ``lang, text`` rows; gives what has come together once it is much."""
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            folded = text.encode().translate(FOLD)
+            self.texts.setdefault(lang, []).append(folded)
+            self.size += len(folded)
+            if self.size > HELD:
+                yield from self.flush()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.words)
-        self.words.append(word)
-        return n
+    def flush(self) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
+        for lang in list(self.texts):
+            yield lang, *numbered(BREAK.join(self.texts.pop(lang)))
+        self.size = 0
 
 
 def _batches(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -138,21 +155,17 @@ def count_words(docs: DataFrame) -> DataFrame:
     """``lang, phrase, n`` of every word of ``lang, text`` rows; the row without a phrase has the number of all words of its language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        held = Held()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, words in held.items():
-                words.pop(BREAK, None)
-                phrases = pa.concat_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())])
-                yield from _batches(lang, phrases, np.array([*words.values(), sum(words.values())], np.int64))
-            held.clear()
+        def sent(lang: str, ids: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+            n = np.bincount(ids, minlength=len(words) + 1)[1:]
+            yield from _batches(lang, pa.concat_arrays([words.cast(pa.string()), pa.nulls(1, pa.string())]), np.append(n, n.sum()))
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(_tokens(text))
-            if sum(map(len, held.values())) > REMEMBERED:
-                yield from flush()
-        yield from flush()
+            for part in held.add(batch):
+                yield from sent(*part)
+        for part in held.flush():
+            yield from sent(*part)
 
     return docs.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -190,36 +203,22 @@ def count_phrases(docs: DataFrame, wanted: Wanted) -> DataFrame:
     """``lang, phrase, n`` of what is wanted, over all ``lang, text`` rows; each phrase is counted in full or not at all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, size = _Vocabulary(), {}, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal vocabulary, size
-            words = pa.array(vocabulary.words, pa.binary())
-            for lang, chunks in held.items():
-                ids = np.concatenate([np.frombuffer(c, np.int32) for c in chunks]).astype(np.int64)
-                hashes, known = np.zeros(len(words), np.uint64), np.flatnonzero(np.bincount(ids, minlength=len(words)))
-                hashes[known] = np.array([_word_hash(lang, vocabulary.words[i]) for i in known], np.uint64)
-                rare = np.ones(len(hashes), bool)
-                rare[known] = ~wanted.words.has(hashes[known])
-                rare[0] = True
-                ids[rare[ids]] = 0
-                for n, places in wanted.phrases(ids, hashes):
-                    yield from _counted(lang, ids, words, n, places)
-            held.clear()
-            size = 0
-            if len(words) > REMEMBERED:
-                vocabulary = _Vocabulary()
-
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    tokens = _tokens(text)
-                    tokens.append(BREAK)
-                    held.setdefault(lang, []).append(np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens)).tobytes())
-                    size += len(tokens)
-                    if size > HELD or len(vocabulary.words) > 4 * REMEMBERED:
-                        yield from flush()
-            yield from flush()
+        held = Held()
+
+        def sent(lang: str, ids: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+            hashes = np.zeros(len(words) + 1, np.uint64)
+            hashes[1:] = np.fromiter((_word_hash(lang, w) for w in words.to_pylist()), np.uint64, len(words))
+            often = wanted.words.has(hashes)
+            often[0] = False
+            ids[~often[ids]] = 0
+            for n, places in wanted.phrases(ids, hashes):
+                yield from _counted(lang, ids, words, n, places)
+
+        for batch in batches:
+            for part in held.add(batch):
+                yield from sent(*part)
+        for part in held.flush():
+            yield from sent(*part)
 
     return docs.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -228,17 +227,22 @@ def _counted(lang: str, ids: np.ndarray, words: pa.Array, n: int, places: np.nda
     """Distinct phrases of ``n`` words that begin at ``places``, with their counts."""
     if not len(places):
         return
-    key = ids[places]
+    key, heads = ids[places], []
     for j in range(1, n):
-        if j > 1:
-            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        if j > 1:  # two words fill a number: the distinct beginnings are numbered anew
+            distinct, key = np.unique(key, return_inverse=True)
+            heads.append(distinct)
         key = key << 32 | ids[places + j]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    at = places[first]
-    for part in range(0, len(at), SENT):
-        own = at[part : part + SENT]
-        phrases = pc.binary_join_element_wise(*[words.take(pa.array(ids[own + j])) for j in range(n)], b" ").cast(pa.string())
-        yield from _batches(lang, phrases, counts[part : part + SENT])
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, counts = key[first], np.diff(first, append=len(key))
+    for at in range(0, len(key), SENT):
+        part, last = key[at : at + SENT], []
+        for j in range(n - 1, 0, -1):
+            last.insert(0, part & 0xFFFFFFFF)
+            part = heads[j - 2][part >> 32] if j > 1 else part >> 32
+        phrases = pc.binary_join_element_wise(*[words.take(pa.array(i - 1)) for i in (part, *last)], b" ").cast(pa.string())
+        yield from _batches(lang, phrases, counts[at : at + SENT])
 
 
 # ------------------------------------------------------------ growth
