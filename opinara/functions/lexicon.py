@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,24 +13,9 @@ from opinara.functions import text as X
 from opinara.operators.ranking import compute_once
 
 
-def _word_lookup(table: dict[str, str]):
-    """Lookup function over a literal table.
-
-    Map lookups scan their keys, so larger tables are split into small maps
-    addressed by a checksum of the word.
-    """
-    slots = max(1, len(table) // 8)
-    parts: list[list[Column]] = [[] for _ in range(slots)]
-    for key, value in table.items():
-        parts[zlib.crc32(key.encode()) % slots] += [F.lit(key), F.lit(value)]
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    maps = F.array(*[F.create_map(*p) if p else empty for p in parts])
-    return lambda w: F.try_element_at(F.element_at(maps, (F.crc32(w) % slots + 1).cast("int")), w)
-
-
 def replace_words(c: Column | str, lexicon: dict[str, str], abbreviations: dict[str, str] | None = None) -> Column:
     """Whole words replaced in one pass; abbreviations win over the lexicon."""
-    find = _word_lookup({**lexicon, **(K.ABBREVIATIONS if abbreviations is None else abbreviations)})
+    find = X.hashed_lookup({**lexicon, **(K.ABBREVIATIONS if abbreviations is None else abbreviations)})
     return F.array_join(F.transform(X.words(c), lambda w: F.coalesce(find(w), w)), " ")
 
 
@@ -61,7 +45,7 @@ def replace_phrases(c: Column | str, phrases: list[tuple[str, str]]) -> Column:
 
 @functools.cache
 def default_emoji() -> dict[str, str]:
-    """Emoji and a label made from its Unicode name.
+    """Emoji of one character and a name made from the Unicode one.
 
     A caller who needs other short names passes their own table.
     """
@@ -69,16 +53,59 @@ def default_emoji() -> dict[str, str]:
     for code in [*range(0x2600, 0x27C0), *range(0x2B50, 0x2B56), *range(0x1F300, 0x1FB00)]:
         name = unicodedata.name(chr(code), "")
         if name and unicodedata.category(chr(code)) == "So":
-            out[chr(code)] = ":" + name.lower().replace(" ", "_").replace("-", "_") + ":"
+            out[chr(code)] = name.lower().replace(" ", "_").replace("-", "_")
     return out
 
 
+#: An emoji may be followed by a picture selector and a skin tone, and joined to others; flags are pairs of letters or
+#: a flag and tags; keycaps are a character and an enclosing mark.
+SELECTOR, JOINER, KEYCAP = "️", "‍", "⃣"
+_ONE = r"[\x{2600}-\x{27BF}\x{2B50}-\x{2B55}\x{1F300}-\x{1F3FA}\x{1F400}-\x{1FAFF}]\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?\x{FE0F}?"
+_LETTERS, _TAGS = r"[\x{1F1E6}-\x{1F1FF}]{2}", r"\x{1F3F4}[\x{E0020}-\x{E007E}]+\x{E007F}"
+EMOJI_SEQUENCE = rf"{_TAGS}|{_LETTERS}|[0-9#*]\x{{FE0F}}?\x{{20E3}}|{_ONE}(?:\x{{200D}}{_ONE})*"
+
+
+@functools.cache
+def _emoji_parts() -> dict[str, str]:
+    """Names of all that emoji sequences are made of."""
+    tones = {chr(0x1F3FB + i): f"{tone}_skin_tone" for i, tone in enumerate(("light", "medium_light", "medium", "medium_dark", "dark"))}
+    letters = {chr(0x1F1E6 + i): chr(ord("a") + i) for i in range(26)}
+    tags = {chr(0xE0000 + code): chr(code) for code in range(0x20, 0x7F)}
+    return default_emoji() | tones | letters | tags
+
+
+def _sequence_label(found: Column) -> Column:
+    """A sequence's label from the names of its parts; one with an unnamed part stays as it is."""
+    find = X.hashed_lookup(_emoji_parts())
+    parts = F.split(F.translate(found, SELECTOR + JOINER + KEYCAP + "\U000e007f", ""), "")
+    names = F.transform(F.filter(parts, lambda ch: ch != ""), find)
+    label = (
+        F.when(F.contains(found, F.lit(KEYCAP)), F.concat(F.lit("keycap_"), F.substring(found, 1, 1)))
+        .when(found.rlike(f"^{_LETTERS}$"), F.concat(F.lit("flag_"), F.array_join(names, "")))
+        .when(found.rlike(f"^{_TAGS}$"), F.concat(F.lit("flag_"), F.array_join(F.slice(names, 2, 32), "")))
+        .otherwise(F.when(~F.exists(names, lambda n: n.isNull()), F.array_join(names, "_")))
+    )
+    return F.coalesce(F.concat(F.lit(":"), label, F.lit(":")), found)
+
+
 def demojize(c: Column | str, emoji: dict[str, str] | None = None) -> Column:
-    """Emoji to text labels; texts without emoji are passed through."""
+    """Emoji, sequences of them included, to text labels; texts without emoji are passed through.
+
+    Without a table each sequence (skin tones, joined emoji, flags, keycaps) is
+    labelled by its parts. With one, the longest of its keys at a place is
+    replaced, picture selectors or not; what is not in it stays.
+    """
     t = F.col(c) if isinstance(c, str) else c
-    find = _word_lookup(default_emoji() if emoji is None else emoji)
-    chars = F.transform(F.split(t, ""), lambda ch: F.coalesce(find(ch), ch))
-    return F.when(t.rlike(r"[\x{2600}-\x{27BF}\x{2B50}-\x{2B55}\x{1F300}-\x{1FAFF}]"), F.array_join(chars, "")).otherwise(t)
+    if emoji is None:
+        return F.when(t.rlike(r"[\x{20E3}\x{2600}-\x{27BF}\x{2B50}-\x{2B55}\x{1F1E6}-\x{1FAFF}]"), X.replace_each(t, EMOJI_SEQUENCE, _sequence_label)).otherwise(t)
+    plain = {k.replace(SELECTOR, ""): v for k, v in emoji.items()}
+    plain.pop("", None)
+    if not plain:
+        return t
+    find = X.hashed_lookup(plain)
+    starts = "[" + "".join(sorted({f"\\x{{{ord(k[0]):X}}}" for k in plain})) + "]"
+    replaced = X.replace_each(t, X.longest_of(list(plain), r"\x{FE0F}?"), lambda m: F.coalesce(find(F.translate(m, SELECTOR, "")), m))
+    return F.when(t.rlike(starts), replaced).otherwise(t)
 
 
 def normalize_text(c: Column | str, lexicon: list[tuple[str, str]], emoji: dict[str, str] | None = None,

@@ -7,7 +7,9 @@ the JVM and SQL engines with other regex dialects agree on them.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
+import zlib
 from collections.abc import Callable
 from html.entities import html5
 
@@ -30,6 +32,67 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def hashed_lookup(table: dict[str, str]) -> Callable[[Column], Column]:
+    """Lookup function over a literal table.
+
+    Map lookups scan their keys, so larger tables are split into small maps
+    addressed by a checksum of the key.
+    """
+    slots = max(1, len(table) // 8)
+    parts: list[list[Column]] = [[] for _ in range(slots)]
+    for key, value in table.items():
+        parts[zlib.crc32(key.encode()) % slots] += [F.lit(key), F.lit(value)]
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    maps = F.array(*[F.create_map(*p) if p else empty for p in parts])
+    return lambda w: F.try_element_at(F.element_at(maps, (F.crc32(w) % slots + 1).cast("int")), w)
+
+
+def longest_of(words: list[str], between: str = "") -> str:
+    """A pattern of the longest of the given strings at a place.
+
+    It is the tree of their characters, so a place is given up at the first
+    character that begins no string, however many strings there are.
+    ``between`` may follow any character.
+    """
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [re.escape(ch) + between + pattern(below) for ch, below in sorted(node.items()) if ch]
+        if not branches:
+            return ""
+        ends = "" in node
+        return "(?:" + "|".join(branches) + (")?" if ends else ")") if ends or len(branches) > 1 else branches[0]
+
+    return pattern(tree)
+
+
+def occurring(text: Column, words: list[str]) -> Column:
+    """The given strings that occur in a text, overlapping or not, each once; one pass over the text.
+
+    At each place the longest is found; the others that begin there are its
+    own beginnings.
+    """
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({longest_of(words)}))"), F.lit(1)))
+    begin = {w: [v for v in words if w.startswith(v)] for w in words}
+    begin = {w: vs for w, vs in begin.items() if len(vs) > 1}
+    if not begin:
+        return found
+    table = F.create_map(*[x for w, vs in begin.items() for x in (F.lit(w), F.array(*map(F.lit, vs)))])
+    return F.array_distinct(F.flatten(F.transform(found, lambda w: F.coalesce(F.try_element_at(table, w), F.array(w)))))
+
+
+def replace_each(text: Column, pattern: str, label: Callable[[Column], Column]) -> Column:
+    """Each match replaced by what ``label`` makes of it."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), label)
+    pieces = F.zip_with(F.split(text, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.array_join(pieces, "")
+
+
 def squeeze(c: Column | str) -> Column:
     """Runs of whitespace become one blank; ends are trimmed."""
     # single blanks, the common case, are no match
@@ -131,7 +194,7 @@ def unescape_html(c: Column | str) -> Column:
     """Named, decimal and hexadecimal character references as their characters; unknown ones stay."""
     t = _col(c)
     named = {k.removesuffix(";"): v for k, v in html5.items() if k.endswith(";")} | ENTITIES
-    table = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    find = hashed_lookup(named)
 
     def character(code: Column) -> Column:
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
@@ -140,11 +203,9 @@ def unescape_html(c: Column | str) -> Column:
     def decoded(ref: Column) -> Column:
         name = F.regexp_extract(ref, REFERENCE, 1)
         number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("bigint")
-        return F.coalesce(F.when(F.startswith(name, F.lit("#")), character(number)).otherwise(F.try_element_at(table, name)), ref)
+        return F.coalesce(F.when(F.startswith(name, F.lit("#")), character(number)).otherwise(find(name)), ref)
 
-    found = F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), decoded)
-    pieces = F.zip_with(F.split(t, REFERENCE, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(F.contains(t, F.lit("&")), F.array_join(pieces, "")).otherwise(t)
+    return F.when(F.contains(t, F.lit("&")), replace_each(t, REFERENCE, decoded)).otherwise(t)
 
 
 def html_to_text(c: Column | str) -> Column:
@@ -290,7 +351,7 @@ def point_id(product: Column, review: Column, aspect: Column, sentiment: Column,
 
 def contains_any(text: Column, needles: list[str]) -> Column:
     """True when any of a fixed, short list of strings occurs."""
-    return F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(text, n))
+    return text.rlike(longest_of(needles))
 
 
 def keyword_match(aspect: Column, lowered: Column, required: dict[str, list[str]],

@@ -113,9 +113,8 @@ def rule_items(df: DataFrame, sentence: str = "sentence", limit: int | None = No
     """Rule scorer: keyword sentiment, and the matching aspects, all or the first ``limit``."""
     lists = [K.POSITIVE_WORDS, K.NEGATIVE_WORDS, *K.REQUIRED_KEYWORDS.values(), *K.FORBIDDEN_KEYWORDS.values()]
     every = list(dict.fromkeys(w for words in lists for w in words))
-    # each word is looked for once; the tests below read the few that occur
-    hits = X.let(F.lower(F.col(sentence)), lambda low: F.filter(_texts(every), lambda w: F.contains(low, w)))
-    df = compute_once(df, "__hits", hits)
+    # one pass finds all words; the tests below read the few that occur
+    df = compute_once(df, "__hits", X.occurring(F.lower(F.col(sentence)), every))
     found_in = lambda words: F.arrays_overlap("__hits", _texts(words))
     number = lambda words: F.size(F.array_intersect("__hits", _texts(words)))
     diff = number(K.POSITIVE_WORDS) - number(K.NEGATIVE_WORDS)

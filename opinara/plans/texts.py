@@ -241,6 +241,33 @@ def lexicon_phrases(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", LX.replace_phrases(F.lower("text"), LEXICON).alias("replaced"))
 
 
+#: Emoji sequences and the labels of their parts: skin tones, joined emoji, selectors, flags, keycaps, an unnamed character.
+EMOJI_ROWS = {
+    "\U0001F600": ":grinning_face:", "\U0001F44D\U0001F3FD": ":thumbs_up_sign_medium_skin_tone:", "\u2764\uFE0F": ":heavy_black_heart:",
+    "\U0001F468\u200D\U0001F4BB": ":man_personal_computer:", "\U0001F469\U0001F3FF\u200D\U0001F91D\u200D\U0001F469": ":woman_dark_skin_tone_handshake_woman:",
+    "\U0001F1FB\U0001F1F3": ":flag_vn:", "\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F": ":flag_gbeng:",
+    "1\uFE0F\u20E3": ":keycap_1:", "#\u20E3": ":keycap_#:", "\u2B50": ":white_medium_star:", "5": "5", "\U0001F3FB": "\U0001F3FB",
+}
+_EMOJI, _LABELS = list(EMOJI_ROWS), list(EMOJI_ROWS.values())
+
+
+@query("emoji_labels", f"""SELECT doc_id, concat(text, ' ', l[doc_id % 12 + 1], '-', l[doc_id * 5 % 12 + 1], l[doc_id % 10 + 1], 'x') AS labelled
+  FROM documents, (SELECT [{sql_list(_LABELS)}] AS l)""")
+def emoji_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.array(*[F.lit(e) for e in _EMOJI])
+    at = lambda n: F.get(rows, n.cast("int"))
+    i = F.col("doc_id")
+    text = F.concat("text", F.lit(" "), at(i % 12), F.lit("-"), at(i * 5 % 12), at(i % 10), F.lit("x"))
+    return V.table(spark, d, "documents").select("doc_id", LX.demojize(text).alias("labelled"))
+
+
+@query("boilerplate_phrases", "SELECT doc_id, concat(' , ', text, '   xem thêmx') AS text FROM documents")
+def boilerplate_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases at the beginning, between blanks, and within a longer word, where they stay."""
+    text = F.concat(F.lit("xem thêm, "), "text", F.lit(" thu gọn xem thêmx"))
+    return V.table(spark, d, "documents").select("doc_id", X.drop_phrases(text, K.BOILERPLATE_PHRASES).alias("text"))
+
+
 STRETCHED = r"""stretched AS (
   SELECT doc_id, regexp_replace(lower(text), '(e|5)', '\1\1\1\1', 'g') AS t FROM documents)"""
 SQUASH = r"""SELECT doc_id, array_to_string(list_filter(cs, lambda ch, i: NOT (i > 2 AND ch = cs[i - 1] AND ch = cs[i - 2]
