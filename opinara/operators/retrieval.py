@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import constants as K
-from opinara.functions import arrays as R
 from opinara.functions import text as X
 from opinara.functions.labels import chunk_label
 from opinara.functions.numbers import round_up
@@ -64,22 +64,78 @@ def strategy_for_intent(intent: Column) -> Column:
     )
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
+def _blocks(rows: DataFrame, id_col: str, name: str, size: int) -> DataFrame:
+    """``product_id`` and an array of rows, ordered by id: a product's rows in as many arrays as keep them near ``size``."""
+    many = rows.groupBy("product_id").agg(F.count("*").alias("n")).filter(F.col("n") > size)  # no more products than the table holds blocks
+    pieces = many.select("product_id", F.ceil(F.col("n") / size).alias("pieces"))
+    piece = F.pmod(F.xxhash64(id_col), F.coalesce("pieces", F.lit(1)))
+    columns = [c for c in rows.columns if c not in ("product_id", id_col)]
+    one = F.struct(id_col, *columns)
+    return rows.join(pieces, "product_id", "left").groupBy("product_id", piece.alias("piece")).agg(F.sort_array(F.collect_list(one)).alias(name)).drop("piece")
+
+
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(vectors), -1)
+
+
+def _allowed(wanted: pa.ListScalar, values: pa.DictionaryArray) -> np.ndarray | None:
+    """Which rows a filter lets through; none given lets all."""
+    if not wanted.is_valid or not len(wanted):
+        return None
+    allowed = set(wanted.as_py())
+    inside = np.array([v in allowed for v in values.dictionary.to_pylist()] + [False])
+    return inside[values.indices.fill_null(len(inside) - 1).to_numpy()]
+
+
+def _nearest(queries: pa.StructArray, chunks: pa.StructArray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each query the places of its k best chunks, and their scores; equal scores in order of place."""
+    # rounded as ``round_up`` does, here, so that order and score are one
+    scores = np.floor((_matrix(queries.field("q_vector")) @ _matrix(chunks.field("vector")).T + 1e-9) * 1e6 + 0.5) / 1e6
+    sentiments, aspects = (chunks.field(c).dictionary_encode() for c in ("sentiment", "aspect"))
+    for i, score in enumerate(scores):
+        place = np.arange(len(score))
+        for wanted, values in ((queries.field("sentiments")[i], sentiments), (queries.field("aspects")[i], aspects)):
+            if (ok := _allowed(wanted, values)) is not None:
+                place = place[ok[place]]
+        own = score[place]
+        if len(own) > k:
+            place = place[own >= np.partition(own, -k)[-k]]  # ties included
+        place = place[np.argsort(-score[place], kind="stable")[:k]]
+        yield i, place, score[place]
+
+
+def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 8, block: int = 2048, asked: int = 512) -> DataFrame:
     """The k nearest chunks of each query by cosine, exact.
 
     ``queries``: query_id, product_id, q_vector, sentiments, aspects (NULL or
-    empty arrays do not filter). Both sides meet on the product only, and
-    chunks no query asks for are dropped before the join. Vectors must be unit.
+    empty arrays do not filter). Vectors must be unit; rows without one are
+    left out; a chunk_id names one chunk of a product.
+
+    Queries and chunks of a product meet as blocks, each a matrix: a block of
+    questions times a block of chunks is one product of matrices, of which k
+    places per question go on. So no pair of a question and a chunk is ever a
+    row, and a product with any number of chunks is spread over its blocks.
     """
-    sentiments, aspects = F.col("sentiments"), F.col("aspects")
-    asked = queries.select("product_id").distinct()
-    pool = chunks.join(asked, "product_id", "left_semi")
-    match = (
-        (F.coalesce(F.size(sentiments), F.lit(0)) <= 0) | F.array_contains(sentiments, F.col("sentiment"))
-    ) & ((F.coalesce(F.size(aspects), F.lit(0)) <= 0) | F.array_contains(aspects, F.col("aspect")))
-    hits = queries.join(pool, "product_id").filter(match)
-    hits = hits.withColumn("semantic_score", round_up(R.dot(F.col("q_vector"), F.col("vector")), 6))
-    return top_rows(hits.drop("q_vector", "vector"), ["query_id"], [F.desc("semantic_score"), "chunk_id"], k, rank="rank")
+    wanted = queries.filter("q_vector is not null").select("query_id", "product_id", "q_vector", "sentiments", "aspects")
+    pool = chunks.filter("vector is not null").join(queries.select("product_id").distinct(), "product_id", "left_semi")
+    pool = pool.select("chunk_id", "product_id", "aspect", "sentiment", "vector")
+    pairs = _blocks(wanted, "query_id", "queries", asked).join(_blocks(pool, "chunk_id", "chunks", block), "product_id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for product, some, others in zip(*(batch.column(c) for c in ("product_id", "queries", "chunks")), strict=True):
+                for i, place, score in _nearest(some.values, others.values, k):
+                    at = pa.array(place)
+                    columns = [pa.repeat(product, len(place)), pa.repeat(some.values.field("query_id")[i], len(place)), others.values.field("chunk_id").take(at), pa.array(score, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["product_id", "query_id", "chunk_id", "semantic_score"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    found = pairs.select("product_id", "queries", "chunks").mapInArrow(
+        search, f"product_id {kind(pool, 'product_id')}, query_id {kind(wanted, 'query_id')}, chunk_id {kind(pool, 'chunk_id')}, semantic_score double",
+    )
+    best = top_rows(found, ["query_id"], [F.desc("semantic_score"), "chunk_id"], k, rank="rank")
+    own = [c for c in queries.columns if c not in ("product_id", "q_vector")]
+    return best.join(queries.select(*own), "query_id").join(chunks.drop("vector"), ["product_id", "chunk_id"])
 
 
 def hybrid_score(vector_weight: Column, structured_weight: Column) -> Column:
