@@ -22,40 +22,58 @@ def _norm(name: str, up: bool = False) -> Column:
     return F.upper(c) if up else F.lower(c)
 
 
-def _both(human: DataFrame, model: DataFrame, columns: list[Column]) -> DataFrame:
-    h = human.select("review_id", *columns, F.lit(True).alias("h"), F.lit(False).alias("m"))
-    m = model.select("review_id", *columns, F.lit(False).alias("h"), F.lit(True).alias("m"))
-    return h.unionByName(m)
+FIELDS = ["aspect_category", "sentiment", "aspect_term", "opinion_term"]
+Reviewed = tuple[DataFrame, DataFrame] | None
 
 
-Reviewed = tuple[DataFrame, DataFrame] | None
+def both_sides(human: DataFrame, model: DataFrame, pos: list[str] | None = None, reviewed: Reviewed = None) -> DataFrame:
+    """Quadruples of both sides as rows of one table, all that the measures of agreement read.
+
+    ``review_id``, the four fields, ``h`` and ``m`` (times on each side),
+    ``hr`` and ``mr`` (the side went through the review), ``first`` (``pos``, the
+    place of a model quadruple in its review). ``reviewed`` names the reviews that
+    each side went through, as a review may have been found to hold nothing;
+    without it, only reviews with quadruples count. Nothing is moved yet.
+    """
+    place = F.struct(*[F.col(c) for c in pos]) if pos else F.lit(None).cast("struct<x:int>")
+    one = lambda v: F.lit(v).cast("bigint")
+    told = reviewed is None
 
+    def rows(df: DataFrame, h: int, m: int) -> DataFrame:
+        first = place if m else F.when(F.lit(False), place)
+        return df.select("review_id", *FIELDS, one(h).alias("h"), one(m).alias("m"), F.lit(told and bool(h)).alias("hr"), F.lit(told and bool(m)).alias("mr"), first.alias("first"))
 
-def _common(human: DataFrame, model: DataFrame, reviewed: Reviewed) -> DataFrame:
-    """Reviews that both sides labelled, with quadruples or without."""
-    a, b = (df.select("review_id").distinct() for df in (reviewed or (human, model)))
-    return a.join(b, "review_id", "left_semi")
+    out = rows(human, 1, 0).unionByName(rows(model, 0, 1))
+    if reviewed is not None:
+        none = [F.lit(None).cast("string").alias(c) for c in FIELDS]
+        first = F.lit(None).cast(out.schema["first"].dataType).alias("first")
+        sides = [(reviewed[0], True, True)] if reviewed[0] is reviewed[1] else [(reviewed[0], True, False), (reviewed[1], False, True)]
+        for df, hr, mr in sides:
+            out = out.unionByName(df.select("review_id", *none, one(0).alias("h"), one(0).alias("m"), F.lit(hr).alias("hr"), F.lit(mr).alias("mr"), first))
+    return out.filter(F.col("review_id").isNotNull())
 
 
-def quad_matches(human: DataFrame, model: DataFrame, match: str = "partial", reviewed: Reviewed = None) -> DataFrame:
+def distinct_sides(sides: DataFrame) -> DataFrame:
+    """The same with equal quadruples of a review as one row: what several measures share is read and moved once."""
+    return sides.groupBy("review_id", *FIELDS).agg(F.sum("h").alias("h"), F.sum("m").alias("m"), F.max("hr").alias("hr"), F.max("mr").alias("mr"), F.min("first").alias("first"))
+
+
+def quad_matches(sides: DataFrame, match: str = "partial") -> DataFrame:
     """Per review: sizes of both sets, tp, fp, fn and exact match.
 
-    Reviews labelled by both sides are kept. ``reviewed`` names the reviews
-    that each side labelled, as a review may have been found to hold nothing;
-    without it, only reviews with quadruples count as labelled. ``partial``
-    compares category and sentiment, ``full`` all four fields.
+    Reviews that both sides went through are kept. ``partial`` compares
+    category and sentiment, ``full`` all four fields.
     """
     key = [_norm("aspect_category", True).alias("k1"), _norm("sentiment").alias("k2")]
     if match == "full":
         key += [_norm("aspect_term").alias("k3"), _norm("opinion_term").alias("k4")]
-    names = ["k1", "k2", "k3", "k4"][: len(key)]
-    keys = _both(human, model, key).groupBy("review_id", *names).agg(F.max("h").alias("h"), F.max("m").alias("m"))
-    h, m = F.col("h"), F.col("m")
+    h, m = F.col("h") > 0, F.col("m") > 0
+    keys = sides.groupBy("review_id", *key).agg(F.max("h").alias("h"), F.max("m").alias("m"), F.max("hr").alias("hr"), F.max("mr").alias("mr"))
     out = keys.groupBy("review_id").agg(
         count_if(h).alias("human_quads"), count_if(m).alias("model_quads"), count_if(h & m).alias("tp"),
-        count_if(m & ~h).alias("fp"), count_if(h & ~m).alias("fn"),
+        count_if(m & ~h).alias("fp"), count_if(h & ~m).alias("fn"), F.max("hr").alias("hr"), F.max("mr").alias("mr"),
     )
-    out = _common(human, model, reviewed).join(out, "review_id", "left").na.fill(0)
+    out = out.filter("hr and mr").drop("hr", "mr")
     return out.withColumn("exact_match", (F.col("fp") == 0) & (F.col("fn") == 0))
 
 
@@ -73,18 +91,17 @@ def quad_f1(per_review: DataFrame, match: str = "partial") -> DataFrame:
     )
 
 
-def category_counts(human: DataFrame, model: DataFrame, reviewed: Reviewed = None) -> DataFrame:
+def category_counts(sides: DataFrame) -> DataFrame:
     """tp, fp, fn, tn of each category's presence, and the number of reviews.
 
     The categories of a review are one bit mask per side, so a review is one
     row and absent pairs are never produced.
     """
-    rows = _both(human, model, [F.col("aspect_category").alias("c")])
-    mask = F.coalesce(lookup(F.col("c"), CATEGORY_BIT), F.lit(0))
-    per = rows.groupBy("review_id").agg(
-        F.bit_or(F.when(F.col("h"), mask).otherwise(0)).alias("hm"), F.bit_or(F.when(F.col("m"), mask).otherwise(0)).alias("mm"),
-    )
-    per = _common(human, model, reviewed).join(per, "review_id", "left").na.fill(0)
+    mask = F.coalesce(lookup(F.col("aspect_category"), CATEGORY_BIT), F.lit(0))
+    per = sides.groupBy("review_id").agg(
+        F.bit_or(F.when(F.col("h") > 0, mask).otherwise(0)).alias("hm"), F.bit_or(F.when(F.col("m") > 0, mask).otherwise(0)).alias("mm"),
+        F.max("hr").alias("hr"), F.max("mr").alias("mr"),
+    ).filter("hr and mr")
     aggs = [F.count("*").alias("n")]
     for i in range(len(K.CATEGORIES)):
         h, m = F.col("hm").bitwiseAND(1 << i) != 0, F.col("mm").bitwiseAND(1 << i) != 0
@@ -105,17 +122,19 @@ def category_f1(counts: DataFrame) -> DataFrame:
     )
 
 
-def sentiment_pairs(human: DataFrame, model: DataFrame, pos: list[str]) -> DataFrame:
+def sentiment_pairs(sides: DataFrame) -> DataFrame:
     """Counts of (human, model) sentiments where a category matches.
 
     Each human quadruple meets the first model quadruple of its category.
     """
-    # only reviews and categories of the human side matter, so counts suffice there
-    h = human.groupBy("review_id", "aspect_category", F.col("sentiment").alias("h_sentiment")).agg(F.count("*").alias("n"))
-    m = model.groupBy("review_id", "aspect_category").agg(F.min_by("sentiment", F.struct(*pos)).alias("m_sentiment"))
-    pairs = h.join(m, ["review_id", "aspect_category"])
-    named = pairs.filter((F.coalesce("h_sentiment", F.lit("")) != "") & (F.coalesce("m_sentiment", F.lit("")) != ""))
-    return named.groupBy("h_sentiment", "m_sentiment").agg(F.sum("n").alias("n"))
+    by_sentiment = sides.filter(F.col("aspect_category").isNotNull()).groupBy("review_id", "aspect_category", "sentiment")
+    kinds = by_sentiment.agg(F.sum("h").alias("n"), F.sum("m").alias("m"), F.min(F.when(F.col("m") > 0, F.col("first"))).alias("first"))
+    of_model = F.when(F.col("m") > 0, F.struct("first", "sentiment"))
+    named = F.when((F.col("n") > 0) & (F.coalesce("sentiment", F.lit("")) != ""), F.struct(F.col("sentiment").alias("h_sentiment"), "n"))
+    # the sentiments of a category are few, however many quadruples it has
+    met = kinds.groupBy("review_id", "aspect_category").agg(F.min(of_model)["sentiment"].alias("m_sentiment"), F.collect_list(named).alias("named"))
+    pairs = met.filter(F.coalesce("m_sentiment", F.lit("")) != "").select("m_sentiment", F.explode("named").alias("h"))
+    return pairs.groupBy("h.h_sentiment", "m_sentiment").agg(F.sum("h.n").alias("n"))
 
 
 def sentiment_agreement(pairs: DataFrame) -> DataFrame:

@@ -158,8 +158,9 @@ def build_dataset(annotated: DataFrame, folder: str | None = None, seed: int = 4
 
 def label_quality(human: DataFrame, model: DataFrame, pos: list[str], reviewed: M.Reviewed = None) -> DataFrame:
     """All agreement figures of two label sets as long rows."""
-    counts = materialise(M.category_counts(human, model, reviewed), "category-counts")
-    pairs = materialise(M.sentiment_pairs(human, model, pos), "sentiment-pairs")
+    sides = materialise(M.distinct_sides(M.both_sides(human, model, pos, reviewed)), "sides")
+    counts = materialise(M.category_counts(sides), "category-counts")
+    pairs = materialise(M.sentiment_pairs(sides), "sentiment-pairs")
     none = F.lit(None).cast("string")
 
     def rows(df: DataFrame, metric: str, name: Column, values: list[str]) -> DataFrame:
@@ -167,8 +168,8 @@ def label_quality(human: DataFrame, model: DataFrame, pos: list[str], reviewed:
         return df.select(F.lit(metric).alias("metric"), name.alias("name"), F.explode(picks).alias("p")).select("metric", "name", "p.figure", "p.value")
 
     prf = ["precision", "recall", "f1"]
-    partial = M.quad_f1(M.quad_matches(human, model, reviewed=reviewed))
-    full = M.quad_f1(M.quad_matches(human, model, "full", reviewed), "full")
+    partial = M.quad_f1(M.quad_matches(sides))
+    full = M.quad_f1(M.quad_matches(sides, "full"), "full")
     out = rows(partial.unionByName(full), "quadruples", F.col("match_type"), [*prf, "exact_match", "n_reviews"])
     out = out.unionByName(rows(M.category_f1(counts), "category", F.col("category"), [*prf, "tp", "fp", "fn", "tn"]))
     out = out.unionByName(rows(M.sentiment_agreement(pairs), "sentiment", F.col("sentiment"), [*prf, "accuracy", "n_pairs"]))

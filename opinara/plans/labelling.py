@@ -30,10 +30,14 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _reviewed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Both sides went through every review; some were found to hold nothing."""
-    ids = V.quads(spark, d).select("review_id").distinct()
+    ids = V.quads(spark, d).select("review_id")
     return ids, ids
 
 
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    return M.both_sides(*_sides(spark, d), POS, _reviewed(spark, d))
+
+
 # ------------------------------------------------------------ model output
 def _responses(spark: SparkSession, d: str) -> DataFrame:
     """Model answers as JSON text: fenced, cut or with a bad category at times."""
@@ -310,17 +314,17 @@ PARTIAL, FULL = "aspect_category, sentiment", "aspect_category, sentiment, aspec
 
 @query("quad_matches", with_views(*QUADS, _match_sql(PARTIAL), body="SELECT * FROM per"))
 def quad_matches(spark: SparkSession, d: str) -> DataFrame:
-    return M.quad_matches(*_sides(spark, d), reviewed=_reviewed(spark, d))
+    return M.quad_matches(_both(spark, d))
 
 
 @query("quad_f1_partial", with_views(*QUADS, _match_sql(PARTIAL), body=_f1_sql("partial")))
 def quad_f1_partial(spark: SparkSession, d: str) -> DataFrame:
-    return M.quad_f1(M.quad_matches(*_sides(spark, d), reviewed=_reviewed(spark, d)))
+    return M.quad_f1(M.quad_matches(_both(spark, d)))
 
 
 @query("quad_f1_full", with_views(*QUADS, _match_sql(FULL), body=_f1_sql("full")))
 def quad_f1_full(spark: SparkSession, d: str) -> DataFrame:
-    return M.quad_f1(M.quad_matches(*_sides(spark, d), match="full", reviewed=_reviewed(spark, d)), "full")
+    return M.quad_f1(M.quad_matches(_both(spark, d), "full"), "full")
 
 
 COUNTS = f"""common AS (SELECT DISTINCT review_id FROM quads),
@@ -342,7 +346,7 @@ def _prf_sql(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> str:
 @query("category_f1", with_views(*QUADS, COUNTS, body=f"""SELECT category, {_prf_sql()}, tp, fp, fn, tn, tp + fn AS human_count, tp + fp AS model_count
   FROM counts"""))
 def category_f1(spark: SparkSession, d: str) -> DataFrame:
-    return M.category_f1(M.category_counts(*_sides(spark, d), _reviewed(spark, d)))
+    return M.category_f1(M.category_counts(_both(spark, d)))
 
 
 PAIRS = """pairs AS (SELECT h.sentiment AS h_sentiment, m.sentiment AS m_sentiment, count(*) AS n FROM quads h JOIN (
@@ -359,7 +363,7 @@ SENTIMENT_SQL = f"SELECT sentiment, n_pairs::BIGINT AS n_pairs, round(correct::D
 
 @query("sentiment_agreement", with_views(*QUADS, PAIRS, SENTIMENT_ROWS, body=SENTIMENT_SQL))
 def sentiment_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return M.sentiment_agreement(M.sentiment_pairs(*_sides(spark, d), POS))
+    return M.sentiment_agreement(M.sentiment_pairs(_both(spark, d)))
 
 
 KAPPA_SQL = """k AS (
@@ -377,8 +381,8 @@ KAPPA_SQL = """k AS (
   CASE WHEN kappa IS NULL THEN 'N/A' WHEN round(kappa + 1e-9, 4) >= 0.8 THEN 'Rất tốt ✅' WHEN round(kappa + 1e-9, 4) >= 0.6 THEN 'Tốt 🟢'
     WHEN round(kappa + 1e-9, 4) >= 0.4 THEN 'Trung bình ⚠️' WHEN round(kappa + 1e-9, 4) >= 0.2 THEN 'Yếu 🟠' ELSE 'Rất yếu ❌' END AS meaning FROM k"""))
 def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
-    human, model = _sides(spark, d)
-    return M.cohen_kappa(M.category_counts(human, model, _reviewed(spark, d)), M.sentiment_pairs(human, model, POS))
+    sides = materialise(M.distinct_sides(_both(spark, d)), "sides")
+    return M.cohen_kappa(materialise(M.category_counts(sides), "category-counts"), materialise(M.sentiment_pairs(sides), "sentiment-pairs"))
 
 
 # ------------------------------------------------------------ model quality

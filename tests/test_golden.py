@@ -103,9 +103,9 @@ def test_reviews_found_empty_count(spark):
     human = spark.createDataFrame([("1", "a", "PRODUCT#QUALITY", "o", "positive")], quad)
     model = spark.createDataFrame([("1", "a", "PRODUCT#QUALITY", "o", "positive"), ("2", "a", "PRODUCT#QUALITY", "o", "negative")], quad)
     ids = spark.createDataFrame([("1",), ("2",)], "review_id string")
-    row = M.quad_f1(M.quad_matches(human, model, reviewed=(ids, ids))).first()
+    row = M.quad_f1(M.quad_matches(M.both_sides(human, model, reviewed=(ids, ids)))).first()
     assert (row.n_reviews, row.precision, row.recall, row.exact_match) == (2, 0.5, 1.0, 0.5)
-    assert {r.n for r in M.category_counts(human, model, (ids, ids)).collect()} == {2}
+    assert {r.n for r in M.category_counts(M.both_sides(human, model, reviewed=(ids, ids))).collect()} == {2}
 
 
 def test_html(spark):

@@ -98,9 +98,9 @@ def test_results_do_not_depend_on_partitions(spark, parts):
 
 def test_a_label_set_agrees_with_itself(spark):
     q = V.quads(spark, SF_DIR)
-    row = M.quad_f1(M.quad_matches(q, q, "full"), "full").first()
+    row = M.quad_f1(M.quad_matches(M.both_sides(q, q, ["pos"]), "full"), "full").first()
     assert row["f1"] == row["exact_match"] == 1.0
-    for r in M.cohen_kappa(M.category_counts(q, q), M.sentiment_pairs(q, q, ["pos"])).collect():
+    for r in M.cohen_kappa(*[f(M.distinct_sides(M.both_sides(q, q, ["pos"]))) for f in (M.category_counts, M.sentiment_pairs)]).collect():
         assert r["kappa"] is None or -1 <= r["kappa"] <= 1
 
 
@@ -109,23 +109,39 @@ def test_counts_add_up(spark):
     assert table.filter(F.col("positive") + F.col("neutral") + F.col("negative") != F.col("mentions")).count() == 0
 
 
-def test_vector_search_against_numpy(spark):
-    rnd = np.random.default_rng(3)
-    vectors = rnd.normal(size=(60, 8))
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    chunks = spark.createDataFrame(
-        [(i, "p", "A", "positive", [float(x) for x in v]) for i, v in enumerate(vectors[5:])],
-        "chunk_id long, product_id string, aspect string, sentiment string, vector array<double>",
-    )
-    queries = spark.createDataFrame(
-        [(i, "p", [float(x) for x in v], None, None) for i, v in enumerate(vectors[:5])],
-        "query_id long, product_id string, q_vector array<double>, sentiments array<string>, aspects array<string>",
+@pytest.mark.parametrize("sizes", [(2048, 512), (16, 4)])
+def test_vector_search_against_numpy(spark, sizes):
+    """A hot product over many blocks, filters, repeated vectors, missing ones, and products of one side only."""
+    rnd, plain = np.random.default_rng(3), random.Random(3)
+    unit = lambda n: [v / np.linalg.norm(v) for v in rnd.normal(size=(n, 8))]
+    vectors = unit(200)
+    vectors[50:90] = [vectors[0]] * 40  # a very common vector: ties go by id
+    chunks = [(i, plain.choice(["hot", "hot", "hot", "p"]), plain.choice(["A", "B", None]), plain.choice(["positive", "negative"]), [float(x) for x in v]) for i, v in enumerate(vectors)]
+    chunks += [(900, "lone", "A", "positive", [1.0] + [0.0] * 7), (901, "hot", "A", "positive", None)]
+    queries = [(f"q{i}", plain.choice(["hot", "p", "empty"]), [float(x) for x in v], plain.choice([None, [], ["negative"], ["negative", "positive"]]), plain.choice([None, [], ["A"], ["Z"]])) for i, v in enumerate([vectors[0], *unit(20)])]
+    queries += [("q99", "hot", None, None, None)]
+    made = (
+        spark.createDataFrame(queries, "query_id string, product_id string, q_vector array<double>, sentiments array<string>, aspects array<string>"),
+        spark.createDataFrame(chunks, "chunk_id long, product_id string, aspect string, sentiment string, vector array<double>"),
     )
     got = {}
-    for r in RT.vector_search(queries, chunks, 4).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["chunk_id"])
-    for i in range(5):
-        assert got[i] == list(np.argsort(-(vectors[5:] @ vectors[i]))[:4])
+    for r in RT.vector_search(*made, 5, *sizes).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["semantic_score"], r["aspect"], r["sentiment"]))
+    want = {}
+    for q, product, vector, sentiments, aspects in queries:
+        hits = [(-round(float(np.dot(vector, c[4])) + 1e-9, 6), *c[:4]) for c in chunks if vector and c[4] and c[1] == product and (not sentiments or c[3] in sentiments) and (not aspects or c[2] in aspects)]
+        if hits:
+            want[q] = [(n + 1, i, -score, aspect, sentiment) for n, (score, i, _, aspect, sentiment) in enumerate(sorted(hits, key=lambda h: h[:2])[:5])]
+    assert got == want
+
+
+def test_questions_and_chunks_meet_as_blocks(spark):
+    queries = spark.range(40).selectExpr("id AS query_id", "'hot' AS product_id", "array(1D, 0D) AS q_vector")
+    chunks = spark.range(3000).selectExpr("id AS chunk_id", "'hot' AS product_id", "array(0D, 1D) AS vector")
+    blocks = [RT._blocks(df, c, "rows", n) for df, c, n in ((queries, "query_id", 10), (chunks, "chunk_id", 100))]
+    sizes = [[len(r["rows"]) for r in b.collect()] for b in blocks]
+    assert sum(sizes[0]) == 40 and len(sizes[0]) == 4 and sum(sizes[1]) == 3000 and len(sizes[1]) == 30 and max(sizes[1]) < 200
+    assert blocks[0].select("product_id").join(blocks[1].select("product_id"), "product_id").count() == 4 * 30
 
 
 def test_ngrams(spark):
