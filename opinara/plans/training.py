@@ -120,7 +120,7 @@ def _labelled_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("svm_train_predict")
 def svm_train_predict(spark: SparkSession, d: str) -> DataFrame:
-    return CL.train_and_report(DS.stratified_split(_labelled_docs(spark, d)), max_iter=10)
+    return CL.train_and_report(DS.stratified_split(_labelled_docs(spark, d)), max_iter=30)
 
 
 TAGGED = """tagged AS (SELECT review_id, toks, list_transform(toks, lambda t, i:
