@@ -262,5 +262,6 @@ def digest_formatted(formatted: DataFrame, template: Template | None = None) ->
         if out:
             yield flush()
 
-    ordered = formatted.select("conv_id", "turn", "segments").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segments")
+    whole = F.array_join(F.transform("segments", lambda s: s["text"]), "")
+    ordered = formatted.select("conv_id", "turn", "segments").repartition("conv_id").sortWithinPartitions("conv_id", "turn", whole)
     return ordered.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

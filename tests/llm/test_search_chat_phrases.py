@@ -104,7 +104,7 @@ def test_search_of_nothing(spark):
     docs, none = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id int, text string")
     assert lexical.search(none, items).collect() == lexical.search(docs.filter("doc_id = 2"), items).collect() == lexical.search(docs, items.limit(0)).collect() == []
-    assert [tuple(r)[:3] for r in lexical.search(docs, items).collect()] == []  # the one document's term weighs floor(1000 ln(4/3)), in one document
+    assert [tuple(r)[:3] for r in lexical.search(docs, items).collect()] == [(1, 1, 1)]
     assert lexical.build_index(docs).count() == 1
 
 
@@ -176,7 +176,7 @@ def test_formatting_against_brute_force(spark):
 
 
 def test_another_template(spark):
-    template = chat.Template(opening="$[", closing="$[/]", lead="$[", order={"start": {"q": "asked"}, "asked": {"a": "done"}}, complete=("done",), learned=("a", "q"))
+    template = chat.Template(opening="$[:", closing="$[/]", lead="$[", order={"start": {"q": "asked"}, "asked": {"a": "done"}}, complete=("done",), learned=("a", "q"))
     rows = [(1, 0, "q", "$[x $\\[ $$["), (1, 1, "a", "$"), (2, 0, "a", "[$[/]")]
     formatted = chat.format_turns(turns_of(spark, rows), template)
     assert {r.conv_id: tuple(r)[1:] for r in chat.digest_formatted(formatted, template).collect()} == expected(rows, template)
@@ -266,7 +266,7 @@ def test_a_long_passage_in_copies(spark):
     passage = "one two three four five six seven eight"
     rows = [("en", passage)] * 30 + [("en", "x " * 70_000)]
     got = phrases_of(spark.createDataFrame(rows, "lang string, text string"))
-    assert got == brute_phrases(rows, 2000, 30) and {r[2] for r in got if "x" not in r[2]} == {" ".join(passage.split()[i : i + 4]) for i in range(5)}
+    assert got == brute_phrases(rows, 2000, 30) and {r[2] for r in got if "x x" not in r[2]} == {" ".join(passage.split()[i : i + 4]) for i in range(5)}
 
 
 def test_words_of_all_characters():
