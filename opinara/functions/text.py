@@ -71,21 +71,6 @@ def longest_of(words: list[str], between: str = "") -> str:
     return pattern(tree)
 
 
-def occurring(text: Column, words: list[str]) -> Column:
-    """The given strings that occur in a text, overlapping or not, each once; one pass over the text.
-
-    At each place the longest is found; the others that begin there are its
-    own beginnings.
-    """
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({longest_of(words)}))"), F.lit(1)))
-    begin = {w: [v for v in words if w.startswith(v)] for w in words}
-    begin = {w: vs for w, vs in begin.items() if len(vs) > 1}
-    if not begin:
-        return found
-    table = F.create_map(*[x for w, vs in begin.items() for x in (F.lit(w), F.array(*map(F.lit, vs)))])
-    return F.array_distinct(F.flatten(F.transform(found, lambda w: F.coalesce(F.try_element_at(table, w), F.array(w)))))
-
-
 def replace_each(text: Column, pattern: str, label: Callable[[Column], Column]) -> Column:
     """Each match replaced by what ``label`` makes of it."""
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), label)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from opinara import constants as K
 from opinara.functions import text as X
 from opinara.functions.casts import lookup
+from opinara.functions.keywords import keyword_counts
 from opinara.functions.numbers import clamp01, count_if, dec, round_up, share
-from opinara.operators.ranking import compute_once
 
 ITEM_SCHEMA = "sentence string, aspect string, sentiment string, confidence double"
 
@@ -105,24 +105,18 @@ def cap_item_reviews(items: DataFrame, k: int) -> DataFrame:
     return items.withColumn("__n", rank).filter(F.col("__n") <= k).drop("__n")
 
 
-def _texts(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def rule_items(df: DataFrame, sentence: str = "sentence", limit: int | None = None) -> DataFrame:
     """Rule scorer: keyword sentiment, and the matching aspects, all or the first ``limit``."""
+    required, forbidden = list(K.REQUIRED_KEYWORDS), list(K.FORBIDDEN_KEYWORDS)
     lists = [K.POSITIVE_WORDS, K.NEGATIVE_WORDS, *K.REQUIRED_KEYWORDS.values(), *K.FORBIDDEN_KEYWORDS.values()]
-    every = list(dict.fromkeys(w for words in lists for w in words))
-    # one pass finds all words; the tests below read the few that occur
-    df = compute_once(df, "__hits", X.occurring(F.lower(F.col(sentence)), every))
-    found_in = lambda words: F.arrays_overlap("__hits", _texts(words))
-    number = lambda words: F.size(F.array_intersect("__hits", _texts(words)))
-    diff = number(K.POSITIVE_WORDS) - number(K.NEGATIVE_WORDS)
+    df = df.withColumn("__hits", keyword_counts(F.lower(F.col(sentence)), lists))
+    number = lambda i: F.get("__hits", F.lit(i))
+    diff = number(0) - number(1)
     aspects = []
-    for code, words in K.REQUIRED_KEYWORDS.items():
-        ok = found_in(words)
-        if code in K.FORBIDDEN_KEYWORDS:
-            ok = ok & ~found_in(K.FORBIDDEN_KEYWORDS[code])
+    for i, code in enumerate(required):
+        ok = number(2 + i) > 0
+        if code in forbidden:
+            ok = ok & (number(2 + len(required) + forbidden.index(code)) == 0)
         aspects.append(F.when(ok, F.lit(code)))
     found = F.array_compact(F.array(*aspects))
     found = F.slice(found, 1, limit) if limit else found

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import lexicon as LX
 from opinara.functions import text as X
+from opinara.functions.keywords import keyword_counts
 
 
 def column(spark, texts, expr):
@@ -20,8 +21,8 @@ def test_words_that_occur_against_plain_search(spark):
     rng = random.Random(2)
     words = list(dict.fromkeys("".join(rng.choice("ab c.") for _ in range(rng.randint(1, 5))) for _ in range(60))) + ["đẹp", "đẹp lắm", "a+b", "(x", "\U0001F600"]
     texts = ["".join(rng.choice("ab c.đẹplắm+(x") for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["rất đẹp lắm \U0001F600", "", None]
-    got = column(spark, texts, X.occurring(F.col("t"), words))
-    assert [None if g is None else sorted(g) for g in got] == [None if t is None else sorted(w for w in words if w in t) for t in texts]
+    lists = [words[:20], words[20:], words, [], words[10:30]]
+    assert column(spark, texts, keyword_counts(F.col("t"), lists)) == [[sum(w in (t or "") for w in ws) for ws in lists] for t in texts]
     assert column(spark, texts, X.contains_any(F.col("t"), words[:9])) == [None if t is None else any(w in t for w in words[:9]) for t in texts]
 
 
@@ -46,3 +47,10 @@ def test_the_longest_sequence_of_a_table(spark):
     }
     assert column(spark, list(cases), LX.demojize(F.col("t"), table)) == list(cases.values())
     assert column(spark, ["\U0001F600"], LX.demojize(F.col("t"), {})) == ["\U0001F600"]
+
+
+def test_classes_of_characters(spark):
+    """The spelled-out classes are the categories, for every character."""
+    chars = spark.range(0x30000).filter("id NOT BETWEEN 55296 AND 57343").selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
+    same = [F.col("c").rlike(f"^(?s:{a})$") == F.col("c").rlike(f"^(?s:{b})$") for a, b in ((X.WS, r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"), (f"[{X.WORD}]", r"[\p{L}\p{N}_]"), (X.NOT_WS, r"[^\s\x0B\x1C-\x1F\x{85}\p{Z}]"))]
+    assert chars.filter(~(same[0] & same[1] & same[2])).count() == 0
