@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from opinara.session import materialise
 
 #: Parts that a round cuts a range into, and distinct values that may be sorted together.
-CELLS, SORTED = 1024, 10_000
+CELLS, SORTED = 1024, 100_000
 #: The logarithm of the least positive double is above minus this.
 LEAST_LOG = 745.0
 
@@ -83,7 +83,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str
         for side, rank in ((0, low), (1, F.least(low + 1, F.col("total") - 1))):
             wanted.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.alias("rank"), part.alias("part")))
     ranks = totals.select("key", F.lit("").alias("range"), F.explode(F.array(*wanted)).alias("w"))
-    ranks = materialise(ranks.select("key", "range", "w.rank", "w.name", "w.side", "w.part"), "quantile-ranks")
+    ranks = ranks.select("key", "range", "w.rank", "w.name", "w.side", "w.part")
     by_magnitude = True
     while _largest(rows) > SORTED:
         rows, ranks = _narrowed(rows, ranks, by_magnitude)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from opinara.functions.labels import chunk_label
 from opinara.functions.numbers import round_up
 from opinara.operators.ranking import first_rows, top_rows
 
+#: Rows that a task forms into blocks at once.
+HELD = 1 << 16
+
 
 def indexable(text: Column, aspect: Column, sentiment: Column) -> Column:
     return (F.length(F.trim(text)) >= 24) & (F.trim(aspect) != "") & sentiment.isin(K.SENTIMENTS)
@@ -65,13 +69,38 @@ def strategy_for_intent(intent: Column) -> Column:
 
 
 def _blocks(rows: DataFrame, id_col: str, name: str, size: int) -> DataFrame:
-    """``product_id`` and an array of rows, ordered by id: a product's rows in as many arrays as keep them near ``size``."""
-    many = rows.groupBy("product_id").agg(F.count("*").alias("n")).filter(F.col("n") > size)  # no more products than the table holds blocks
-    pieces = many.select("product_id", F.ceil(F.col("n") / size).alias("pieces"))
-    piece = F.pmod(F.xxhash64(id_col), F.coalesce("pieces", F.lit(1)))
-    columns = [c for c in rows.columns if c not in ("product_id", id_col)]
-    one = F.struct(id_col, *columns)
-    return rows.join(pieces, "product_id", "left").groupBy("product_id", piece.alias("piece")).agg(F.sort_array(F.collect_list(one)).alias(name)).drop("piece")
+    """``product_id`` and an array of rows, ordered by id: a product's rows in arrays of ``size`` at most.
+
+    Rows of a product need not all come together, so they are dealt by product
+    in parts of a moderate size, and a hot product is several of these.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    columns = [id_col, *(c for c in rows.columns if c not in ("product_id", id_col))]
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def formed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).sort_by([("product_id", "ascending"), (id_col, "ascending")]).combine_chunks()
+            product = table["product_id"].chunk(0)
+            runs = np.append(0, np.flatnonzero(pc.not_equal(product[1:], product[:-1]).to_numpy(zero_copy_only=False)) + 1)
+            begin = np.concatenate([np.arange(a, b, size) for a, b in zip(runs, [*runs[1:], len(product)], strict=True)])
+            whole = pa.StructArray.from_arrays([table[c].chunk(0) for c in columns], columns)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(product)), pa.int32()), whole)
+            held.clear()
+            return pa.RecordBatch.from_arrays([product.take(pa.array(begin)), lists], ["product_id", name])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD:
+                yield formed()
+        if held:
+            yield formed()
+
+    fields = ",".join(f"`{c}`:{kinds[c]}" for c in columns)
+    dealt = rows.filter(F.col("product_id").isNotNull()).hint("rebalance", "product_id")
+    return dealt.mapInArrow(form, f"product_id {kinds['product_id']}, {name} array<struct<{fields}>>")
 
 
 def _matrix(vectors: pa.ListArray) -> np.ndarray:

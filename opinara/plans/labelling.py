@@ -381,7 +381,7 @@ KAPPA_SQL = """k AS (
   CASE WHEN kappa IS NULL THEN 'N/A' WHEN round(kappa + 1e-9, 4) >= 0.8 THEN 'Rất tốt ✅' WHEN round(kappa + 1e-9, 4) >= 0.6 THEN 'Tốt 🟢'
     WHEN round(kappa + 1e-9, 4) >= 0.4 THEN 'Trung bình ⚠️' WHEN round(kappa + 1e-9, 4) >= 0.2 THEN 'Yếu 🟠' ELSE 'Rất yếu ❌' END AS meaning FROM k"""))
 def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
-    sides = materialise(M.distinct_sides(_both(spark, d)), "sides")
+    sides = _both(spark, d)
     return M.cohen_kappa(materialise(M.category_counts(sides), "category-counts"), materialise(M.sentiment_pairs(sides), "sentiment-pairs"))
 
 
