@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,22 +66,28 @@ def unit_number(seed: int, *cols: Column | str) -> Column:
     return F.pmod(seeded_hash(seed, *cols), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
 
-def word_dropout(text: Column, rate: float, seed: int, key: Column) -> Column:
-    """Drop words at the given rate; short texts and results stay whole."""
+def digest_number(seed: int, *cols: Column | str) -> Column:
+    """The same from an md5, which other engines have too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") if isinstance(c, Column) else c for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def word_dropout(text: Column, rate: float, seed: int, key: Column, number: Callable[..., Column] = unit_number) -> Column:
+    """Drop words at the given rate; short texts and results stay whole. ``number`` draws from seed, key and place."""
     words = X.words(text)
-    kept = F.filter(words, lambda w, i: unit_number(seed, key, i) > rate)
+    kept = F.filter(words, lambda w, i: number(seed, key, i) > rate)
     return F.when((F.size(words) <= 4) | (F.size(kept) < 3), text).otherwise(F.array_join(kept, " "))
 
 
-def word_swap(text: Column, seed: int, key: Column) -> Column:
-    """Swap max(1, n // 20) pairs of neighbours; under four words nothing."""
+def word_swap(text: Column, seed: int, key: Column, number: Callable[..., Column] = unit_number) -> Column:
+    """Swap max(1, n // 20) pairs of neighbours; under four words nothing. ``number`` draws from seed, key and round."""
     words = X.words(text)
     n = F.size(words)
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(n / 20)).cast("int"))
 
     def swap(acc: Column, r: Column) -> Column:
         # the place of this round is bound once
-        at = F.array(F.floor(unit_number(seed, key, r) * (F.size(acc) - 1)).cast("int"))
+        at = F.array(F.floor(number(seed, key, r) * (F.size(acc) - 1)).cast("int"))
         moved = F.transform(at, lambda p: F.transform(
             acc, lambda w, i: F.when(i == p, F.get(acc, p + 1)).when(i == p + 1, F.get(acc, p)).otherwise(w)
         ))
@@ -88,7 +96,7 @@ def word_swap(text: Column, seed: int, key: Column) -> Column:
     return F.when(n < 4, text).otherwise(F.array_join(F.aggregate(rounds, words, swap), " "))
 
 
-def oversample(train: DataFrame, seed: int = 42) -> DataFrame:
+def oversample(train: DataFrame, seed: int = 42, number: Callable[..., Column] = unit_number) -> DataFrame:
     """Five changed copies of rows with a neutral label, one of rows with a negative one.
 
     A row can be in both groups. Copies are made in place, without a shuffle.
@@ -99,8 +107,8 @@ def oversample(train: DataFrame, seed: int = 42) -> DataFrame:
     copies = F.concat(F.array(F.lit(0)), F.when(has(2), five).otherwise(none), F.when(has(3), F.array(F.lit(6))).otherwise(none))
     rows = train.withColumn("copy", F.explode(copies))
     text, key, c = F.col("text"), F.col("review_id"), F.col("copy")
-    drop = lambda t, rate: word_dropout(t, rate, seed, F.concat_ws("#", key, c.cast("string")))
-    swapped = word_swap(text, seed, F.concat_ws("#", key, c.cast("string")))
+    drop = lambda t, rate: word_dropout(t, rate, seed, F.concat_ws("#", key, c.cast("string")), number)
+    swapped = word_swap(text, seed, F.concat_ws("#", key, c.cast("string")), number)
     changed = (
         F.when(c == 1, drop(text, 0.10)).when(c == 2, drop(text, 0.08)).when(c == 3, swapped)
         .when(c == 4, drop(swapped, 0.06)).when(c == 5, drop(text, 0.12)).when(c == 6, drop(text, 0.08)).otherwise(text)

@@ -77,6 +77,21 @@ def first_provider(spark: SparkSession, d: str) -> DataFrame:
     return out.select("review_id", "provider", "product_id", "aspect_term", "aspect_category", "sentiment")
 
 
+ANSWERED = """answered AS (SELECT review_id, provider FROM pq UNION SELECT review_id, 0 FROM pq WHERE CAST(review_id AS BIGINT) % 4 = 0),
+found AS (SELECT * FROM pq WHERE NOT (provider = 0 AND CAST(review_id AS BIGINT) % 4 = 0))"""
+
+
+@query("first_provider_answered", with_views(*QUADS, PROVIDERS, ANSWERED, body="""SELECT review_id, provider, product_id, aspect_term, aspect_category, sentiment
+  FROM found p WHERE provider = (SELECT min(provider) FROM answered x WHERE x.review_id = p.review_id)"""))
+def first_provider_answered(spark: SparkSession, d: str) -> DataFrame:
+    """The first provider read a quarter of the reviews and found nothing in them: those keep nothing."""
+    quads, empty = _provider_quads(spark, d), F.col("review_id").cast("bigint") % 4 == 0
+    nothing = quads.filter(empty).select("review_id", F.lit(0).cast(quads.schema["provider"].dataType).alias("provider"))
+    answered = quads.select("review_id", "provider").unionByName(nothing)
+    out = VT.first_provider(quads.filter(~((F.col("provider") == 0) & empty)), answered=answered)
+    return out.select("review_id", "provider", "product_id", "aspect_term", "aspect_category", "sentiment")
+
+
 VOTE = """votes AS (
   SELECT review_id, aspect_term, aspect_category, sentiment, count(*) AS votes,
     arg_max(opinion_term, (provider, pos, product_id, opinion_term)) AS opinion_term FROM pq GROUP BY ALL),

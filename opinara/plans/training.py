@@ -69,20 +69,49 @@ def split_report(spark: SparkSession, d: str) -> DataFrame:
     return DS.split_report(_split(spark, d))
 
 
-@query("oversample", with_views(*QUADS, SPLIT, body="""SELECT review_id, c::INT AS copy, c > 0 AS is_augmented FROM (
-  SELECT review_id, unnest(list_concat([0], CASE WHEN list_contains(labels, 2) THEN [1, 2, 3, 4, 5] ELSE []::INT[] END,
-    CASE WHEN list_contains(labels, 3) THEN [6] ELSE []::INT[] END)) AS c FROM split WHERE split = 'train')"""))
+_DRAW = "('0x' || substr(md5('42|' || {key} || '|' || ({at})), 1, 8))::UBIGINT / 4294967296.0"
+_SPLIT_WORDS = r"list_filter(string_split_regex({t}, '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+'), lambda w: length(w) > 0)"
+
+
+def _swapped(words: str, key: str) -> str:
+    """Pairs of neighbours swapped one after the other, the first word's place drawn anew each round."""
+    draw = _DRAW.format(key=key, at="r")
+    places = f"list_transform(range(1, greatest(1, len({words}) // 20) + 1), lambda r: [CAST(floor({draw} * (len({words}) - 1)) AS BIGINT)::VARCHAR])"
+    at = "p[1]::BIGINT"
+    return f"array_to_string(list_reduce({places}, lambda acc, p: acc[:{at}] || [acc[{at} + 2]] || [acc[{at} + 1]] || acc[{at} + 3:], {words}), ' ')"
+
+
+def _kept(words: str, key: str, rate: str) -> str:
+    return f"list_filter({words}, lambda x, i: {_DRAW.format(key=key, at='i - 1')} > {rate})"
+
+
+COPIES = f"""copies AS (SELECT *, review_id || '#' || c AS key, {_SPLIT_WORDS.format(t='text')} AS w FROM (
+  SELECT s.review_id, text, unnest(list_concat([0], CASE WHEN list_contains(labels, 2) THEN [1, 2, 3, 4, 5] ELSE []::INT[] END,
+    CASE WHEN list_contains(labels, 3) THEN [6] ELSE []::INT[] END)) AS c FROM split s JOIN annotated a ON s.review_id = a.review_id WHERE split = 'train')),
+moved AS (SELECT review_id, c, key, CASE WHEN c IN (3, 4) AND len(w) >= 4 THEN {_swapped('w', 'key')} ELSE text END AS t,
+  CASE c WHEN 1 THEN 0.10 WHEN 2 THEN 0.08 WHEN 4 THEN 0.06 WHEN 5 THEN 0.12 WHEN 6 THEN 0.08 ELSE -1 END AS rate FROM copies),
+cut AS (SELECT *, {_SPLIT_WORDS.format(t='t')} AS w FROM moved),
+dropped AS (SELECT *, {_kept('w', 'key', 'rate')} AS kept FROM cut)"""
+
+
+@query("oversample", with_views(*ANNOTATED, SPLIT, COPIES, body="""SELECT review_id, c::INT AS copy, c > 0 AS is_augmented,
+    CASE WHEN rate < 0 OR len(w) <= 4 OR len(kept) < 3 THEN t ELSE array_to_string(kept, ' ') END AS text FROM dropped"""))
 def oversample(spark: SparkSession, d: str) -> DataFrame:
     train = _split(spark, d).filter(F.col("split") == "train")
-    return DS.oversample(train).select("review_id", "copy", "is_augmented")
+    return DS.oversample(train, number=DS.digest_number).select("review_id", "copy", "is_augmented", "text")
+
+
+CHANGED = f"""split_words AS (SELECT doc_id, text, {_SPLIT_WORDS.format(t='text')} AS w FROM documents),
+drawn AS (SELECT *, {_kept('w', 'doc_id', '0.1')} AS kept FROM split_words)"""
 
 
-@query("word_dropout")
+@query("word_dropout", with_views(CHANGED, body=f"""SELECT doc_id, CASE WHEN len(w) <= 4 OR len(kept) < 3 THEN text ELSE array_to_string(kept, ' ') END AS dropped,
+    CASE WHEN len(w) < 4 THEN text ELSE {_swapped('w', 'doc_id')} END AS swapped FROM drawn"""))
 def word_dropout(spark: SparkSession, d: str) -> DataFrame:
     docs = V.table(spark, d, "documents")
-    key = F.col("doc_id").cast("string")
+    key, number = F.col("doc_id").cast("string"), DS.digest_number
     return docs.select(
-        "doc_id", DS.word_dropout(F.col("text"), 0.1, 42, key).alias("dropped"), DS.word_swap(F.col("text"), 42, key).alias("swapped")
+        "doc_id", DS.word_dropout(F.col("text"), 0.1, 42, key, number).alias("dropped"), DS.word_swap(F.col("text"), 42, key, number).alias("swapped")
     )
 
 
