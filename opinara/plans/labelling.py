@@ -15,6 +15,7 @@ from opinara.operators import votes as VT
 from opinara.plans.analytics import ITEMS
 from opinara.session import materialise, scratch_dir
 from opinara.plans.registry import query, sql_case, sql_list, with_views
+from opinara.plans.texts import evidence_sql, squeeze_sql
 from opinara.sources import fixtures as V
 from opinara.sources import labels as SL
 from opinara.sources import writers as W
@@ -503,7 +504,18 @@ def question_json(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("sanitize_answers")
+SIZE_LABEL = K.ASPECT_LABELS["PRODUCT#SIZE"]
+SANITIZED = f"""squeezed AS (SELECT doc_id, source, text, {squeeze_sql('text')} AS t FROM documents),
+parts AS (SELECT *, substr(t, 1, 600) AS shown, substr({evidence_sql('t', 150)}, 1, 180) AS cited FROM squeezed)"""
+
+
+@query("sanitize_answers", with_views(SANITIZED, body=f"""SELECT doc_id,
+    CASE WHEN len(list_filter(string_split(shown, ' '), lambda w: length(w) > 0)) < 5 THEN {sql_list([K.NO_DATA_SUMMARY])} ELSE shown END AS summary,
+    list_transform(list_filter(string_split(text, chr(10)), lambda s: s <> ''), lambda s: substr({squeeze_sql('s')}, 1, 220)) AS pros,
+    [substr(source, 1, 220)] AS cons,
+    CASE WHEN cited = '' THEN {sql_list([K.NO_DATA_RECOMMENDATION])} ELSE concat({sql_list([K.CITATION_RECOMMENDATION[0], SIZE_LABEL.lower(), K.CITATION_RECOMMENDATION[1]])}, cited) END AS recommendation,
+    'medium' AS confidence, {sql_list([K.NO_DATA_REASON])} AS reason,
+    CASE WHEN cited = '' THEN [] ELSE [{sql_list([SIZE_LABEL])}] END AS citation_aspects, CASE WHEN cited = '' THEN [] ELSE [cited] END AS citation_texts FROM parts"""))
 def sanitize_answers(spark: SparkSession, d: str) -> DataFrame:
     docs = V.table(spark, d, "documents")
     answer = F.struct(
@@ -513,7 +525,12 @@ def sanitize_answers(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.struct(F.lit("PRODUCT#SIZE").alias("aspect"), F.col("text").alias("evidence"))).alias("citations"),
     )
     none = F.array().cast("array<struct<aspect:string,evidence:string>>")
-    return docs.select("doc_id", J.sanitize_answer(answer, none).alias("a")).select("doc_id", "a.*")
+    out = docs.select("doc_id", J.sanitize_answer(answer, none).alias("a")).select("doc_id", "a.*")
+    part = lambda c: F.transform("citations", lambda x: x[c])
+    return out.select(
+        "doc_id", "summary", "pros", "cons", "recommendation", "confidence", F.array_join("confidence_reasons", "|").alias("reason"),
+        part("aspect").alias("citation_aspects"), part("evidence").alias("citation_texts"),
+    )
 
 
 # ------------------------------------------------------------ model scores
