@@ -37,7 +37,7 @@ from opinara.session import materialise
 BREAK = b"\xff"
 FOLD = bytes(255 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of text a task holds before it counts, and rows of a batch it sends.
-HELD, SENT = 24 << 20, 1 << 16
+HELD, SENT = 12 << 20, 1 << 16
 #: Bits of a bit table per phrase, and the most and the fewest bits as powers of two (8 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 26
 #: Phrases of a language that the first round expands; as long as too few are settled, each round takes four times as many.
