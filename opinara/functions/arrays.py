@@ -96,5 +96,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; the zero vector stays itself."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / F.nullif(norm, F.lit(0.0))).otherwise(x.cast("double")))
+    def by(norm: Column) -> Column:
+        return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / F.nullif(norm, F.lit(0.0))).otherwise(x.cast("double")))
+
+    # the norm is bound once: within the inner lambda it would be summed up anew for every element
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), by), 0)
