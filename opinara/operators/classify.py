@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import constants as K
@@ -18,6 +18,8 @@ from opinara.operators.ranking import number_rows
 
 #: Features of the classifiers unless more are asked for; features per gradient block; numbers of a product held at once.
 MAX_FEATURES, BLOCK, CELLS = 50_000, 4096, 4_000_000
+#: Parts that an input partition's texts are dealt to before their n-grams are counted.
+PARTS = 8
 
 
 def ngrams(c: Column | str, high: int = 3) -> Column:
@@ -36,7 +38,13 @@ def ngrams(c: Column | str, high: int = 3) -> Column:
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    grams = docs.select(key, F.explode_outer(ngrams(text)).alias("term")).filter(F.col("term").isNotNull())
+    """``key, term, tf``. Texts are moved by key before they become n-grams, which are then counted where they are.
+
+    There are the more parts the larger the input, so that a part's counts stay small.
+    """
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS * docs.rdd.getNumPartitions())
+    grams = docs.select(key, text).repartition(parts, key).select(key, F.explode_outer(ngrams(text)).alias("term")).filter(F.col("term").isNotNull())
     return grams.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -44,7 +52,7 @@ def fit_vocabulary(counts: DataFrame, key: str, min_df: int = 2, max_features: i
     """Terms with their document frequency, numbered by term: all, or the ``max_features`` most frequent in the corpus."""
     df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     if max_features is not None:
-        df = number_rows(df, [F.desc("total"), "term"], "place").filter(F.col("place") <= max_features)
+        df = df.orderBy(F.desc("total"), "term").limit(max_features)
     return number_rows(df, ["term"], "idx").select("term", "df", (F.col("idx") - 1).cast("int").alias("idx"))
 
 
@@ -52,8 +60,8 @@ def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: Column, key: str) -> Data
     """L2-normalised weights (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)."""
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
     rows = counts.join(vocab, "term").withColumn("w", (1 + F.log("tf")) * idf)
-    norms = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norms, key).select(key, "idx", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return rows.filter(F.col(key).isNotNull()).select(key, "idx", "term", (F.col("w") / norm).alias("weight"))
 
 
 def feature_lists(docs: DataFrame, weights: DataFrame, key: str) -> DataFrame:

@@ -95,3 +95,17 @@ def test_nothing_to_learn(spark):
     none = reviews(spark, 0)
     model = CL.fit(none, max_iter=3)
     assert model.questions == [] and {tuple(r.y_pred) for r in CL.predict(model, none).collect()} == {(0,) * N}
+
+
+def test_ngrams_are_counted_where_their_text_is(spark):
+    """Texts are moved, by key; n-grams, many times their size, are not. Rows of one key count together, null keys too."""
+    from opinara.operators.classify import term_counts
+
+    rows = [(1, "a b a b"), (1, "a b"), (None, "c"), (None, "c"), (2, None), (3, "")]
+    counts = term_counts(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    got = sorted(map(tuple, counts.collect()), key=repr)
+    want = [(1, "a", 3), (1, "b", 3), (1, "a b", 3), (1, "b a", 1), (1, "a b a", 1), (1, "b a b", 1), (None, "c", 2)]
+    assert got == sorted(want, key=repr)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1
