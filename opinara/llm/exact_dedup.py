@@ -32,23 +32,22 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_chars, text_sha256, recipe``: the chunk hashes of each row, in order."""
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_chars, text_sha256, parts``: the chunks of each row, in order."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), F.char_length(text).cast("long").alias("n_chars"), without_spaces(text).alias("t"))
-    return rows.select("doc_id", "n_chars", F.sha2("t", 256).alias("text_sha256"), F.transform(chunks(F.col("t")), lambda c: F.xxhash64(c)).alias("recipe"))
+    return rows.select("doc_id", "n_chars", F.sha2("t", 256).alias("text_sha256"), chunks(F.col("t")).alias("parts"))
 
 
 def shared_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``h``: hashes that belong to more than one chunk text (normally none)."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(F.explode(chunks(without_spaces(text))).alias("c")).select(F.xxhash64("c").alias("h"), "c")
-    return rows.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("h")
+    return _shared(docs.select(chunks(without_spaces(text)).alias("parts")))
 
 
-def _also(docs: DataFrame, text_col: str) -> Column:
-    """What must be equal beside the recipes: nothing, or the texts' SHA-256 if some hash isn't an identifier."""
-    return F.lit("") if materialise(shared_hashes(docs, text_col), "shared-hashes").isEmpty() else F.col("text_sha256")
+def _shared(parts: DataFrame) -> DataFrame:
+    rows = parts.select(F.explode("parts").alias("c")).select(F.xxhash64("c").alias("h"), "c")
+    return rows.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("h")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,7 +59,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     length as the row that stays are all ``kept``. An empty table gives an
     empty one; other columns of ``docs`` are ignored.
     """
-    rows = materialise(recipes(docs, id_col, text_col).withColumn("also", _also(docs, text_col)), "recipes")
+    cut = materialise(chunked(docs, id_col, text_col), "chunks")  # texts are cut once
+    also = F.lit("") if materialise(_shared(cut), "shared-hashes").isEmpty() else F.col("text_sha256")
+    recipe = F.transform("parts", lambda c: F.xxhash64(c))
+    rows = materialise(cut.select("doc_id", "n_chars", "text_sha256", recipe.alias("recipe"), also.alias("also")), "recipes")
     rows = rows.withColumn("recipe_hash", F.xxhash64("recipe"))
     key = ["recipe_hash", "recipe", "also"]
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))

@@ -485,3 +485,14 @@ def test_katz_of_edges(edge_docs):
     assert katz.score_documents(edge_docs.limit(0)).count() == 0
     held = edge_docs.filter("pmod(crc32(cast(doc_id as string)), 7) = 2")
     assert all(r.n_known == 0 and r.score == 0 for r in katz.score_documents(held).collect())
+
+
+def test_exact_dedup_cuts_each_text_once(spark, monkeypatch):
+    """Cutting is most of the work; the check of the hashes reads the chunks that are written."""
+    from opinara.llm import exact_dedup as ED
+
+    calls, cut = [], ED.chunks
+    monkeypatch.setattr(ED, "chunks", lambda text: calls.append(1) or cut(text))
+    out = ED.exact_groups(spark.createDataFrame([(1, "a b"), (2, "ab"), (3, None)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out.collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+    assert len(calls) == 1
