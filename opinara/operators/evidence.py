@@ -16,6 +16,8 @@ from opinara.functions.labels import aspect_label, risk_label
 from opinara.operators.ranking import compute_once, top_rows
 
 EVIDENCE_LIMIT = 6
+#: Parts that the rows of a product are dealt to before they meet.
+SPREAD = 64
 SENTIMENT_ORDER = ["negative", "positive", "neutral"]
 PICK = "struct<review_id:string,aspect_code:string,aspect:string,sentiment:string,confidence:double,text:string>"
 
@@ -46,7 +48,7 @@ def is_quality(aspect: Column, sentiment: Column, summary: Column) -> Column:
     )
 
 
-def evidence_candidates(items: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
+def evidence_candidates(items: DataFrame, limit: int = EVIDENCE_LIMIT, sentiments: list[str] | None = None, fill: str | None = "aspect") -> DataFrame:
     """A bounded set of items per product that holds every greedy pick.
 
     Take a sentiment and aspect of a product. When its pick is made, at most
@@ -56,24 +58,36 @@ def evidence_candidates(items: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFr
     left the first ``2 * limit * (limit - 1) + 1``, as a blocked text or review
     accounts for at most ``limit`` rows before the pick.
 
-    The filling pass reads the first ``limit`` items of the pool whatever they
-    are, so the first ``limit`` of each aspect are kept for it.
+    That holds for the pick among any part of the rows too. So rows are cut in
+    ``SPREAD`` parts of a product first, and what is left, a bounded number of
+    rows however hot the product is, is cut again where the product's rows are.
+
+    ``sentiments`` are those to be picked from, all by default. The filling
+    pass reads the first ``limit`` items of the pool whatever they are: those of
+    each aspect are kept for it, where it may be asked for some aspects only,
+    those of the product (``fill="product"``), or none.
     """
     order = [F.desc("confidence"), "item_id", "text"]
-    group = ["product_id", "sentiment", "aspect"]
-    enough = 2 * limit * (limit - 1) + 1
     pool = items.withColumn("text", F.trim("sentence")).filter(F.length("text") > 0)
-    pool = pool.select(*group, "review_id", "confidence", "item_id", "text")
+    pool = pool.select("product_id", "sentiment", "aspect", "review_id", "confidence", "item_id", "text")
+    wanted = pool if sentiments is None else pool.filter(F.col("sentiment").isin(sentiments))
+    part = F.pmod(F.xxhash64("item_id", "review_id", "text"), F.lit(SPREAD)).cast("int")
+    picks = _judge(wanted).filter("quality").withColumns({"phase": F.lit(0), "__part": part})
+    out = _cut(picks.repartition("product_id", "__part"), ["product_id", "__part"], order, limit).drop("__part")
+    if fill:
+        head = top_rows(pool, ["product_id", "aspect"] if fill == "aspect" else ["product_id"], order, limit)
+        out = out.unionByName(_judge(head).withColumn("phase", F.lit(1)))
+    return _cut(out.repartition("product_id"), ["product_id"], order, limit)
+
+
+def _cut(rows: DataFrame, where: list[str], order: list, limit: int) -> DataFrame:
+    """Rows of the picking pass cut as ``evidence_candidates`` says, in each of the places that rows lie by; the others stay."""
     # rows without a review id block no review, so each counts as its own
-    who = F.when(F.coalesce("review_id", F.lit("")) == "", F.col("key")).otherwise(F.col("review_id"))
-    picks = _judge(pool).filter("quality").withColumn("who", who)
-    picks = top_rows(picks, [*group, "key", "who"], order, 1)
-    picks = top_rows(picks, [*group, "key"], order, limit)
-    picks = top_rows(picks, [*group, "who"], order, limit)
-    picks = top_rows(picks, group, order, enough).drop("who")
-    fill = _judge(top_rows(pool, ["product_id", "aspect"], order, limit))
-    picks = picks.withColumn("phase", F.lit(0))
-    return picks.unionByName(fill.withColumn("phase", F.lit(1)))
+    rows = rows.withColumn("who", F.when(F.coalesce("review_id", F.lit("")) == "", F.col("key")).otherwise(F.col("review_id")))
+    group = [*where, "phase", "sentiment", "aspect"]
+    for keys, k in ((["key", "who"], 1), (["key"], limit), (["who"], limit), ([], 2 * limit * (limit - 1) + 1)):
+        rows = top_rows(rows, [*group, *keys], order, None, rank="__n").filter((F.col("phase") == 1) | (F.col("__n") <= k)).drop("__n")
+    return rows.drop("who")
 
 
 def _judge(rows: DataFrame) -> DataFrame:
@@ -157,8 +171,9 @@ def _of(rows: Column, sentiments: list[str]) -> Column:
 
 def diverse_evidence(items: DataFrame, sentiments: list[str] | None = None, limit: int = 5, fill: bool = True) -> DataFrame:
     """Evidence rows of different aspects, texts and reviews, per product."""
-    lists = candidate_lists(evidence_candidates(items, limit))
-    picked = greedy(_of(F.col("rows"), sentiments or SENTIMENT_ORDER), limit, fill)
+    wanted = sentiments or SENTIMENT_ORDER
+    lists = candidate_lists(evidence_candidates(items, limit, wanted, "product" if fill else None))
+    picked = greedy(_of(F.col("rows"), wanted), limit, fill)
     return explode_evidence(lists.select("product_id", as_evidence(picked).alias("evidence")), "evidence")
 
 
