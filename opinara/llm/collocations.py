@@ -113,7 +113,7 @@ def numbered(folded: bytes) -> tuple[np.ndarray, pa.Array]:
     """The words of folded text as numbers from 1, with a 0 where a piece ends between two, and the distinct words in order of their numbers."""
     text = np.frombuffer(folded, np.uint8)
     inside = (text != 0x20) & (text != 0x09) & (text != 0xFF)
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)).astype(np.int32)  # a task holds far fewer bytes than that counts
     starts, lengths = edges[::2], edges[1::2] - edges[::2]
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
@@ -142,6 +142,7 @@ class Held:
     def flush(self) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
         for lang in list(self.texts):
             yield lang, *numbered(BREAK.join(self.texts.pop(lang)))
+            pa.default_memory_pool().release_unused()  # a worker keeps no more than the next texts need
         self.size = 0
 
 
