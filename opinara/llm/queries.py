@@ -46,7 +46,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_documents(_documents(spark, sf_dir))
+    return katz.score_documents(_documents(spark, sf_dir), least=1)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,8 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents
+-
+]')) AS piece FROM documents
 ), words AS (
   SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces
 ), totals AS (
