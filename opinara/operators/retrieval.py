@@ -15,7 +15,8 @@ from opinara import constants as K
 from opinara.functions import text as X
 from opinara.functions.labels import chunk_label
 from opinara.functions.numbers import round_up
-from opinara.operators.ranking import first_rows, top_rows
+from opinara.operators.ranking import first_of_stored, first_rows, top_rows
+from opinara.session import materialise
 
 #: Rows that a task forms into blocks at once.
 HELD = 1 << 16
@@ -25,16 +26,20 @@ def indexable(text: Column, aspect: Column, sentiment: Column) -> Column:
     return (F.length(F.trim(text)) >= 24) & (F.trim(aspect) != "") & sentiment.isin(K.SENTIMENTS)
 
 
-def opinion_chunks(items: DataFrame) -> DataFrame:
-    """Distinct short texts of opinions with a deterministic id."""
+def opinion_chunks(items: DataFrame, stored: bool = False) -> DataFrame:
+    """Distinct short texts of opinions with a deterministic id.
+
+    To be read more than once they are ``stored``: then the texts are written, and move only if they may be there twice.
+    """
     out = items.select(
         "product_id", F.coalesce("review_id", F.lit("")).alias("review_id"), F.trim("aspect").alias("aspect"),
         F.trim(F.coalesce("sentiment", F.lit("neutral"))).alias("sentiment"),
         F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"),
         F.explode_outer(F.array(X.compress("sentence"))).alias("text"), "item_id",
     ).filter(indexable(F.col("text"), F.col("aspect"), F.col("sentiment")))
-    out = out.withColumn("low", F.lower("text"))
-    out = first_rows(out, ["product_id", "review_id", "aspect", "sentiment", "low"], ["item_id", F.desc("confidence"), "text"])
+    out = (materialise(out, "chunk-texts") if stored else out).withColumn("low", F.lower("text"))
+    first = first_of_stored if stored else first_rows
+    out = first(out, ["product_id", "review_id", "aspect", "sentiment", "low"], ["item_id", F.desc("confidence"), "text"])
     columns = [F.col(c) for c in ("product_id", "review_id", "aspect", "sentiment", "text")]
     return out.select(
         X.point_id(*columns).alias("point_id"), *columns, "confidence", chunk_label(F.col("aspect")).alias("aspect_label")
