@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from opinara import constants as K
 from opinara.functions import text as X
 from opinara.functions.numbers import round_up
+from opinara.operators import ngram_blocks
 from opinara.operators.ranking import number_rows
 
 #: Features of the classifiers unless more are asked for; features per gradient block; numbers of a product held at once.
@@ -316,11 +317,7 @@ def train_and_report(samples: DataFrame, max_iter: int = 100) -> DataFrame:
 
 def weights_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """TF-IDF weights of every document and term, fitted on the same documents."""
-    counts = term_counts(docs, key, text)
-    n = docs.agg(F.count("*").alias("n")).scalar()
-    out = tfidf(counts, fit_vocabulary(counts, key), n, key)
-    return out.select(key, "term", "idx", round_up(F.col("weight"), 6).alias("weight"))
-
+    return ngram_blocks.weights(docs, key, text).select(key, "term", "idx", round_up(F.col("weight"), 6).alias("weight"))
 
 
 __all__ = ["AspectModel", "fit", "predict", "train_and_report", "weights_table"]
