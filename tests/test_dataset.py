@@ -36,3 +36,32 @@ def test_word_swap_of_a_long_text_is_not_quadratic(spark):
     got = docs.select(DS.word_swap(F.col("text"), 1, F.lit("k")).alias("t")).first().t.split(" ")
     assert sorted(map(int, got)) == list(range(1, 60_001))
     assert time.time() - start < 15  # 3,000 rounds over 60,000 words took far longer
+
+
+def test_repeated_terms_are_tagged_once_and_split_once(spark):
+    """A term that comes again finds its place taken, whatever its sentiment; it is not split and looked for again."""
+    from opinara.functions import arrays as R
+
+    quads = [("good", "x"), ("b c", "negative"), (" a ", None), ("a", "negative"), ("b c", "neutral"), ("", "positive"), ("c", "neutral"), ("c d", "positive"), (None, "neutral"), ("zz", "neutral"), ("B!", "neutral"), ("d", "NEGATIVE ")]
+    row = [("a b c a d b !", [(t, "C", "o", s) for t, s in quads]), (None, []), ("a", None)]
+    kind = "text string, quadruples array<struct<aspect_term:string,aspect_category:string,opinion_term:string,sentiment:string>>"
+    docs = spark.createDataFrame(row, kind)
+    from opinara.functions import text as X
+
+    tags = docs.select(R.bio_tags(X.tokens("text"), F.col("quadruples")).alias("t"))
+    got = [r.t for r in tags.collect()]
+    assert got == [["B-positive", "B-negative", "I-negative", "O", "B-negative", "B-neutral", "I-neutral"], ["O"], ["O"]]
+    plan = tags._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in plan
+
+
+def test_samples_are_made_once(spark, monkeypatch):
+    """The split reads its samples several times, so they are written first."""
+    from opinara.plans import jobs
+
+    tags, real = [], jobs.materialise
+    monkeypatch.setattr(jobs, "materialise", lambda df, tag, *a, **k: tags.append(tag) or real(df, tag, *a, **k))
+    rows = [(str(i), f"text a {i}", [("a", "PRODUCT#QUALITY", "o", "negative")], False) for i in range(20)]
+    kind = "review_id string, text string, quadruples array<struct<aspect_term:string,aspect_category:string,opinion_term:string,sentiment:string>>, conflict boolean"
+    out = jobs.build_dataset(spark.createDataFrame(rows, kind))
+    assert tags[:2] == ["samples", "split"] and {r["split"] for r in out["report"].select("split").distinct().collect()} == {"train", "val", "test"}
