@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara import constants as K
@@ -49,27 +49,11 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return grams.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def fit_vocabulary(counts: DataFrame, key: str, min_df: int = 2, max_features: int | None = None) -> DataFrame:
-    """Terms with their document frequency, numbered by term: all, or the ``max_features`` most frequent in the corpus."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    if max_features is not None:
-        df = df.orderBy(F.desc("total"), "term").limit(max_features)
-    return number_rows(df, ["term"], "idx").select("term", "df", (F.col("idx") - 1).cast("int").alias("idx"))
-
-
-def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: Column, key: str) -> DataFrame:
-    """L2-normalised weights (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)."""
-    idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
-    rows = counts.join(vocab, "term").withColumn("w", (1 + F.log("tf")) * idf)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return rows.filter(F.col(key).isNotNull()).select(key, "idx", "term", (F.col("w") / norm).alias("weight"))
-
-
-def feature_lists(docs: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """``idx`` and ``weight`` of each document's terms, two arrays in order of number; none for a document without terms."""
-    lists = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("pairs"))
-    part = lambda c, kind: F.coalesce(F.transform("pairs", lambda p: p[c]), F.array().cast(f"array<{kind}>")).alias(c)
-    return docs.join(lists, key, "left").select(*docs.columns, part("idx", "int"), part("weight", "double"))
+def _features(docs: DataFrame, vocab: DataFrame, n_docs: int, key: str, text: str, *more: str) -> DataFrame:
+    """``idx`` and ``weight`` of each document's terms beside ``more`` columns, two arrays in order of number; empty for a document without terms."""
+    lists = ngram_blocks.features(docs, key, text, vocab.toArrow(), n_docs)
+    part = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return docs.select(key, *more).join(lists, key, "left").select(key, *more, part("idx", "int"), part("weight", "double"))
 
 
 @dataclass(frozen=True)
@@ -145,11 +129,9 @@ def _loss(sizes: np.ndarray, idx: np.ndarray, data: np.ndarray, y: np.ndarray, c
     """Squared hinge loss of each model; its gradient is added to ``gradient``."""
     short = np.maximum(0.0, 1.0 - y * _margins(sizes, idx, data, coefficients))
     pull = -2.0 * cost * short * y
-    order = np.argsort(idx, kind="stable")
-    if len(order):
-        part = (data[:, None] * np.repeat(pull, sizes, axis=0))[order]
-        terms, first = np.unique(idx[order], return_index=True)
-        gradient[terms] += np.add.reduceat(part, first)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    for model in range(gradient.shape[1]):
+        gradient[:, model] += np.bincount(idx, data * pull[row, model], len(gradient))
     gradient[-1] += pull.sum(axis=0)
     return (cost * short * short).sum(axis=0)
 
@@ -253,11 +235,10 @@ def fit(train: DataFrame, key: str = "review_id", text: str = "text", max_iter:
     """
     from opinara.session import materialise
 
-    counts = materialise(term_counts(train, key, text), "term-counts")
-    vocab = materialise(fit_vocabulary(counts, key, max_features=max_features), "tfidf-vocabulary")
+    terms = ngram_blocks.vocabulary(train, key, text, most=max_features)
+    vocab = materialise(number_rows(terms, ["term"], "idx").select("term", "df", (F.col("idx") - 1).cast("int").alias("idx")), "tfidf-vocabulary", done=True)
     n_docs, size = train.count(), vocab.count()
-    weights = tfidf(counts, vocab, F.lit(n_docs), key)
-    rows = materialise(feature_lists(train.select(key, "labels"), weights, key), "tfidf-features")
+    rows = materialise(_features(train, vocab, n_docs, key, text, "labels"), "tfidf-features", done=True)
     # label counts of all categories in one pass: 17 x 4 numbers
     tally: dict = {}
     for r in rows.select(F.posexplode("labels").alias("i", "v")).groupBy("i", "v").count().collect():
@@ -272,8 +253,7 @@ def fit(train: DataFrame, key: str = "review_id", text: str = "text", max_iter:
 
 def predict(model: AspectModel, docs: DataFrame, key: str = "review_id", text: str = "text") -> DataFrame:
     """Label arrays: polarity only where an aspect is detected, positive by default."""
-    weights = tfidf(term_counts(docs, key, text), model.vocab, F.lit(model.n_docs), key)
-    rows = feature_lists(docs.select(key), weights, key)
+    rows = _features(docs, model.vocab, model.n_docs, key, text)
     spark, questions, fixed, kinds = docs.sparkSession, model.questions, model.fixed, model.kinds
     shared = spark.sparkContext.broadcast(model.coefficients)
 

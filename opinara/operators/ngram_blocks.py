@@ -1,4 +1,4 @@
-"""TF-IDF weights of all n-grams of a corpus, without moving the n-grams.
+"""TF-IDF weights of the n-grams of a corpus, without moving the n-grams.
 
 Documents are dealt to blocks by key. In a block, words are numbered in the
 order of their bytes, so that an n-gram is three numbers, and n-grams sorted by
@@ -69,18 +69,30 @@ class Grams:
         self.word_of[1:] = order % max(n, 1)
         self.pairs: np.ndarray | None = None
 
-    def codes(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
-        """Of n-grams as numbers of words, -1 for none."""
+    def _pair(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
         end, more = self.form
         out = np.where(second < 0, end[first], more[first])
         out *= self.base
         out += np.where(third < 0, end[second], more[second])
+        return out
+
+    def codes(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """Of n-grams as numbers of words, -1 for none."""
+        out = self._pair(first, second, third)
         if self.base > MOST:
             self.pairs, out = np.unique(out, return_inverse=True)
         out *= self.base
-        out += end[third]
+        out += self.form[0, third]
         return out
 
+    def find(self, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """The same once ``codes`` has been called; -1 if none of its n-grams begins so."""
+        out = self._pair(first, second, third)
+        if self.pairs is not None:
+            at = np.minimum(np.searchsorted(self.pairs, out), len(self.pairs) - 1)
+            out = np.where(self.pairs[at] == out, at, -1)
+        return np.where(out < 0, -1, out * self.base + self.form[0, third])
+
     def parts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers of words again."""
         pair, c = np.divmod(codes, self.base)
@@ -150,8 +162,8 @@ class Block:
         return [0, *places, len(self.codes)]
 
 
-def _question(grams: Grams, codes: np.ndarray, df: np.ndarray) -> tuple:
-    """N-grams, in order, as a word list and numbers into it: ``n`` to ``df`` of ``QUESTION``."""
+def _question(grams: Grams, codes: np.ndarray, df: np.ndarray, total: np.ndarray) -> tuple:
+    """N-grams, in order, as a word list and numbers into it: ``n`` to ``total`` of ``QUESTION``."""
     parts = grams.parts(codes)
     used = np.unique(np.concatenate(parts))
     used = used[used >= 0]
@@ -160,18 +172,18 @@ def _question(grams: Grams, codes: np.ndarray, df: np.ndarray) -> tuple:
     local[used] = np.arange(1, len(used) + 1)
     first, second, third = (local[p] for p in parts)
     text, steps = b" ".join([grams.words[i] for i in used.tolist()]), np.diff(first, prepend=0) & 0xFFFFFFFF
-    return len(codes), len(text), pa.compress(text, codec="zstd", asbytes=True), *(_packed(x) for x in (steps, second, third, df))
+    return len(codes), len(text), pa.compress(text, codec="zstd", asbytes=True), *(_packed(x) for x in (steps, second, third, df, total))
 
 
 def _asked_grams(row: dict, number: dict[bytes, int]) -> tuple[np.ndarray, ...]:
-    """A question's n-grams, in ``number``'s numbers of words, -1 for none, and their document frequencies in the block."""
+    """A question's n-grams, in ``number``'s numbers of words, -1 for none, and their document frequencies and counts in the block."""
     words = pa.decompress(row["words"], row["size"], codec="zstd", asbytes=True).split(b" ")
     known = np.append(-1, np.fromiter(map(number.__getitem__, words), np.int64, len(words))).astype(np.int32)
-    steps, second, third, df = (_unpacked(row[c], row["n"]) for c in ("a", "b", "c", "df"))
-    return known[np.cumsum(steps) & 0xFFFFFFFF], known[second], known[third], df
+    steps, second, third, df, total = (_unpacked(row[c], row["n"]) for c in ("a", "b", "c", "df", "total"))
+    return known[np.cumsum(steps) & 0xFFFFFFFF], known[second], known[third], df, total
 
 
-QUESTION = "block long, shard long, n long, size long, words binary, a binary, b binary, c binary, df binary"
+QUESTION = "block long, shard long, n long, size long, words binary, a binary, b binary, c binary, df binary, total binary"
 #: ``steps`` has 0 for an n-gram that is not kept, and else what to add to the number of the last one kept; ``kept`` is of the shard.
 ANSWER = "block long, shard long, kept long, n long, steps binary, df binary"
 
@@ -202,33 +214,40 @@ def _sent(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
     return rows.mapInArrow(deal, "block long, rows binary")
 
 
-def _asked(sent: DataFrame, bounds: list[bytes]) -> DataFrame:
-    """What each block asks each shard, see ``QUESTION``."""
+def _asked(sent: DataFrame, bounds: list[bytes], totals: bool = False) -> DataFrame:
+    """What each block asks each shard, see ``QUESTION``; counts are 0 without ``totals``."""
 
     def ask(table: pa.Table) -> pa.Table:
         block = Block(table)
         df, cuts, rows = np.bincount(block.place, minlength=len(block.codes)), block.cuts(bounds), []
+        total = np.bincount(block.place, block.times if totals else np.zeros(len(block.place)), len(df)).astype(np.int64)
         for shard, (at, to) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if to > at:
-                rows.append((table["block"][0].as_py(), shard, *_question(block.grams, block.codes[at:to], df[at:to])))
+                rows.append((table["block"][0].as_py(), shard, *_question(block.grams, block.codes[at:to], df[at:to], total[at:to])))
         return _table(rows, QUESTION)
 
     return sent.groupBy("block").applyInArrow(ask, QUESTION)
 
 
+def _merged(rows: list[dict]) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's questions: distinct n-grams, the place of each asked one among them, and their document frequencies and counts."""
+    pa.default_memory_pool().release_unused()
+    number: dict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    *parts, df, total = (np.concatenate(x) for x in zip(*(_asked_grams(r, number) for r in rows), strict=True))
+    grams = Grams(list(number))
+    codes = grams.codes(*parts)
+    del parts
+    found, place = _distinct(codes)
+    return grams, found, place, *(np.bincount(place, x, len(found)).astype(np.int64) for x in (df, total))
+
+
 def _answered(asked: DataFrame, min_df: int) -> DataFrame:
     """Number in its shard and document frequency of each n-gram asked for, see ``ANSWER``."""
 
     def answer(table: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
         rows = table.to_pylist()
-        *parts, df = (np.concatenate(x) for x in zip(*(_asked_grams(r, number) for r in rows), strict=True))
-        codes = Grams(list(number)).codes(*parts)
-        del parts
-        found, place = _distinct(codes)
-        total = np.bincount(place, df, len(found)).astype(np.int64)
+        _, found, place, total, _ = _merged(rows)
         numbers = np.where(total >= min_df, np.cumsum(total >= min_df), 0)
         out, at = [], 0
         for r in rows:
@@ -260,15 +279,24 @@ def _bounds(docs: DataFrame, key: str, text: str, n: int, shards: int) -> list[b
     return sorted({grams[len(grams) * i // shards] for i in range(1, shards)}) if grams else []
 
 
+def _size(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Rows, and bytes of text."""
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text).cast("string")))).first()
+    return n, size or 0
+
+
+def _parts(size: int, each: int) -> int:
+    return max(-(-size // each), min(SOME, -(-size // SMALL_BYTES)), 1)
+
+
 def weights(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
     """``key, term, idx, weight`` of every document and n-gram that ``min_df`` documents have, fitted on the same documents.
 
     Rows of one key are one document; rows without key are one too, which counts but gets no weights.
     """
-    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text).cast("string")))).first()
-    parts = lambda each: max(-(-(size or 0) // each), min(SOME, -(-(size or 0) // SMALL_BYTES)), 1)
-    sent = _sent(docs, key, text, parts(BLOCK_BYTES))
-    answers = materialise(_answered(_asked(sent, _bounds(docs, key, text, n, parts(SHARD_BYTES))), min_df), "tfidf-answers", done=True)
+    n, size = _size(docs, text)
+    sent = _sent(docs, key, text, _parts(size, BLOCK_BYTES))
+    answers = materialise(_answered(_asked(sent, _bounds(docs, key, text, n, _parts(size, SHARD_BYTES))), min_df), "tfidf-answers", done=True)
     first, before = {}, 0
     for r in answers.groupBy("shard").agg(F.max("kept").alias("kept")).orderBy("shard").collect():  # a number for each shard
         first[r["shard"]], before = before, before + r["kept"]
@@ -300,3 +328,58 @@ def weights(docs: DataFrame, key: str, text: str, min_df: int = 2) -> DataFrame:
 
     found = sent.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(weigh, f"key {kind}, term string, idx int, weight double")
     return found.withColumnRenamed("key", key)
+
+
+def vocabulary(docs: DataFrame, key: str, text: str, min_df: int = 2, most: int | None = None) -> DataFrame:
+    """``term, df, total`` of the n-grams that ``min_df`` documents have: all, or the ``most`` frequent in the corpus."""
+    n, size = _size(docs, text)
+    asked = _asked(_sent(docs, key, text, _parts(size, BLOCK_BYTES)), _bounds(docs, key, text, n, _parts(size, SHARD_BYTES)), totals=True)
+
+    def top(table: pa.Table) -> pa.Table:
+        grams, found, _, df, total = _merged(table.to_pylist())
+        kept = np.flatnonzero(df >= min_df)
+        kept = kept[np.lexsort((kept, -total[kept]))][:most]
+        return pa.table({"term": grams.texts(found[kept]), "df": df[kept], "total": total[kept]})
+
+    terms = asked.groupBy("shard").applyInArrow(top, "term string, df long, total long")
+    return terms if most is None else terms.orderBy(F.desc("total"), "term").limit(most)
+
+
+def features(docs: DataFrame, key: str, text: str, terms: pa.Table, n: int) -> DataFrame:
+    """``key, idx, weight``: numbers, in order, and TF-IDF weights of the ``terms`` (``term, df, idx``) of each document that has any, out of ``n`` documents.
+
+    The terms go to every task.
+    """
+    number: dict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    split = [[number[w] for w in t.encode().split(b" ")] for t in terms["term"].to_pylist()]
+    parts = np.array([x + [-1] * (3 - len(x)) for x in split], np.int32).reshape(-1, 3)
+    spark, (_, size) = docs.sparkSession, _size(docs, text)
+    shared = spark.sparkContext.broadcast((list(number), parts, *(np.asarray(terms[c]).astype(np.int64) for c in ("df", "idx"))))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def weigh(table: pa.Table) -> pa.Table:
+        words, parts, df, idx = shared.value
+        block = Block(table)
+        own = {w: i for i, w in enumerate(block.grams.words)}
+        local = np.append([own.get(w, -2) for w in words], -1).astype(np.int32)[parts]
+        here = np.flatnonzero((local > -2).all(axis=1))
+        codes = block.grams.find(*local[here].T)
+        at = np.minimum(np.searchsorted(block.codes, codes), max(len(block.codes) - 1, 0))
+        hit = block.codes[at] == codes if len(block.codes) else np.zeros(0, bool)
+        of = np.full(len(block.codes), -1, np.int64)
+        of[at[hit]] = here[hit]
+        named = block.keys.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero((of[block.place] >= 0) & named[block.doc])
+        doc, term = block.doc[rows], of[block.place[rows]]
+        rows = rows[np.lexsort((idx[term], doc))]
+        doc, term = block.doc[rows], of[block.place[rows]]
+        w = (1 + np.log(block.times[rows])) * (np.log((1 + n) / (1 + df[term])) + 1)
+        w = w / np.sqrt(np.bincount(doc, w * w, len(block.keys)))[doc]
+        docs, first = np.unique(doc, return_index=True)
+        cuts = pa.array(np.append(first, len(doc)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (idx[term].astype(np.int32), w)]
+        return pa.Table.from_arrays([block.keys.take(pa.array(docs)), *lists], ["key", "idx", "weight"])
+
+    sent = _sent(docs, key, text, _parts(size, BLOCK_BYTES))
+    return sent.groupBy("block").applyInArrow(weigh, f"key {kind}, idx array<int>, weight array<double>").withColumnRenamed("key", key)

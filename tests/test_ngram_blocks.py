@@ -72,3 +72,34 @@ def test_shuffled_files_go_when_they_are_read(spark):
 
     materialise(spark.range(10).repartition(3), "x", done=True)
     assert spark.conf.get(CLEANUP, None) in (None, "false")
+
+
+def test_features_of_the_most_frequent(spark, monkeypatch):
+    """The classifiers' n-grams: counted in blocks, and weighed at the documents with the few that are asked for."""
+    monkeypatch.setattr(NB, "SMALL_BYTES", 500)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "id long, text string")
+    total, df = Counter(), Counter()
+    for key in {k for k, _ in rows}:
+        own = Counter(t for k, text in rows if k == key for w in [(text or "").lower().split()] for n in (1, 2, 3) for t in (" ".join(w[i : i + n]) for i in range(len(w) - n + 1)))
+        total.update(own)
+        df.update(set(own))
+    order = sorted((t for t in df if df[t] >= 2), key=lambda t: (-total[t], t.encode()))
+    for most in (25, None):
+        top = NB.vocabulary(docs, "id", "text", most=most)
+        assert sorted(map(tuple, top.collect())) == sorted((t, df[t], total[t]) for t in order[:most])
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "hashpartitioning(term" not in plan
+    few = sorted(order[:25], key=lambda t: t.encode())
+    vocab = spark.createDataFrame([(t, df[t], i) for i, t in enumerate(few)], "term string, df long, idx int").toArrow()
+    for big in (NB.MOST, 0):
+        monkeypatch.setattr(NB, "MOST", big)
+        got = {r.id: dict(zip(r.idx, r.weight, strict=True)) for r in NB.features(docs, "id", "text", vocab, len(rows)).collect()}
+        raw = defaultdict(dict)
+        for (key, t, _), _w in brute(rows).items():
+            if t in few:
+                n = sum(1 for k, text in rows if k == key for w in [(text or "").lower().split()] for m in (1, 2, 3) for i in range(len(w) - m + 1) if " ".join(w[i : i + m]) == t)
+                raw[key][few.index(t)] = (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1)
+        norm = {k: math.sqrt(sum(x * x for x in v.values())) for k, v in raw.items()}
+        assert got.keys() == raw.keys()
+        assert all(got[k].keys() == raw[k].keys() and list(got[k]) == sorted(got[k]) and abs(got[k][i] - raw[k][i] / norm[k]) < 1e-9 for k in raw for i in raw[k])
