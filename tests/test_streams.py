@@ -156,3 +156,17 @@ def test_python_is_called_by_group_of_keys(spark):
     got = sorted(map(tuple, spark.read.parquet(target).select("k", "s", "v").collect()), key=repr)
     want = [*first[:-2], (0.0, "z", 1), (1.0, "new", 4)]
     assert sorted(((r[0] + 0.0, *r[1:]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_a_late_batch_leaves_the_state_as_it_is(spark):
+    """What was seen before changes nothing, so no group's state is written again."""
+    source = Source(spark, CHANGES)
+    table = VersionedTable(spark, f"{source.path}/table", ["product"], sums=["n", "good", "w"])
+    rows = [(i, "p", "good", None, 2, False) for i in range(50)]
+    written = []
+    for batch in (rows, rows, [(*r[:4], 1, True) for r in rows]):
+        source.put(batch)
+        query = ST.refresh_sums(source.stream(), "key", "version", "deleted", measures, table, f"{source.path}/q")
+        query.awaitTermination()
+        written.append(sum(op["numRowsUpdated"] for p in query.recentProgress for op in p["stateOperators"]))
+    assert written[0] > 0 and written[1:] == [0, 0] and table.read().first()["n"] == 50
